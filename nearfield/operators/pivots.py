@@ -7,8 +7,9 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nearfield.functions.distances import Metric, columns, distances_to
+from nearfield.functions.distances import Metric, columns, distances_to_list
 
 SAMPLE_ROWS = 512
 CANDIDATES = 32
@@ -51,31 +52,37 @@ def incremental_pivots(objects: DataFrame, metric: Metric, sample: Sequence[Row]
     head = list(sample[:candidates])
     if len(fixed) >= k or not head:
         return fixed
-    spark = objects.sparkSession
+    matrix = sample_distances(objects, metric, sample, fixed + head)
+    taken = {r["id"] for r in fixed}
+    allowed = [len(fixed) + j for j, r in enumerate(head) if r["id"] not in taken]
+    added = pick_columns(matrix, k, list(range(len(fixed))), allowed)
+    return fixed + [head[j - len(fixed)] for j in added]
+
+
+def sample_distances(objects: DataFrame, metric: Metric, sample: Sequence[Row], to: Sequence[Row]) -> np.ndarray:
+    """Distances from each sampled object to each object of ``to``."""
     schema = objects.select("id", *metric.columns).schema
-    indexed = spark.createDataFrame([tuple(r[c] for c in schema.names) for r in sample], schema)
-    rows = indexed.select("id", distances_to(metric, fixed + head, columns(metric)).alias("d")).collect()
-    by_id = {r["id"]: r["d"] for r in rows}
-    matrix = np.array([by_id[r["id"]] for r in sample], dtype=float)
-    pairs = len(sample) // 2
+    local = objects.sparkSession.createDataFrame(
+        [(i, *(r[c] for c in metric.columns)) for i, r in enumerate(sample)],
+        T.StructType([T.StructField("at", T.LongType()), *[schema[c] for c in metric.columns]]),
+    )
+    rows = local.select("at", distances_to_list(metric, to, columns(metric)).alias("d")).collect()
+    return np.array([r["d"] for r in sorted(rows, key=lambda r: r["at"])], dtype=float)
+
+
+def pick_columns(matrix: np.ndarray, k: int, start: Sequence[int], allowed: Sequence[int]) -> list[int]:
+    """Columns to add to ``start`` until there are ``k``, each the one that most
+    raises the mean over row pairs of the largest gap within a pair."""
+    pairs = len(matrix) // 2
     gaps = np.abs(matrix[0 : 2 * pairs : 2] - matrix[1 : 2 * pairs : 2])
-    best = gaps[:, : len(fixed)].max(axis=1) if fixed else np.zeros(pairs)
-    taken = {r["id"] for r in fixed}
-    chosen = fixed
-    while len(chosen) < k:
-        gain = np.array(
-            [
-                -1.0 if head[j]["id"] in taken else np.maximum(best, gaps[:, len(fixed) + j]).mean() if pairs else 0.0
-                for j in range(len(head))
-            ]
-        )
-        j = int(gain.argmax())
-        if gain[j] < 0:
-            break
-        taken.add(head[j]["id"])
-        best = np.maximum(best, gaps[:, len(fixed) + j]) if pairs else best
-        chosen = chosen + [head[j]]
-    return chosen
+    best = gaps[:, list(start)].max(axis=1) if len(start) and pairs else np.zeros(pairs)
+    left, added = list(allowed), []
+    while left and len(start) + len(added) < k:
+        gain = np.maximum(best[:, None], gaps[:, left]).mean(axis=0) if pairs else np.zeros(len(left))
+        column = left.pop(int(gain.argmax()))
+        best = np.maximum(best, gaps[:, column])
+        added.append(column)
+    return added
 
 
 def choose_pivots(objects: DataFrame, metric: Metric, k: int, seed: int = 0, fixed: Sequence[Row] = (), key: Column | None = None, total: int | None = None) -> list[Row]:

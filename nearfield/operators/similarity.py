@@ -6,19 +6,19 @@ that share a cell are compared. The join is an equi-join on the cell."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.distances import Metric, columns, distances_to
-from nearfield.operators.pivots import hash_key, incremental_pivots
+from nearfield.functions.distances import Metric, columns
+from nearfield.operators.pivots import hash_key, pick_columns, sample_distances
 from nearfield.operators.probes import MAX_PROBES
 from nearfield.schema import ANSWER_TOLERANCE, PRUNE_SLACK, RANK_PLACES
 from nearfield.session import BROADCAST_ROWS, fits_broadcast, lookup_join, stage
 
 GRID_BINS = 24
+_GRID_SAMPLE, _GRID_CANDIDATES = 256, 8
 _PEEK_ROWS = 4096
 
 
@@ -70,21 +70,17 @@ def _extend(reach: Column, bins: int):
     return lambda cell: F.transform(reach, lambda b: cell * bins + b)
 
 
-def plan_grid(objects: DataFrame, metric: Metric, pivots: Sequence[Row] | None = None, axes: int = 2, bins: int = GRID_BINS) -> Grid:
+def plan_grid(objects: DataFrame, metric: Metric, axes: int = 2, bins: int = GRID_BINS) -> Grid:
     """A grid fitted to the first few objects read. It decides speed only."""
-    side = columns(metric)
-    peek = objects.where(metric.complete(side)).select("id", *metric.columns).limit(256).collect()
+    peek = objects.select("id", *metric.columns).where(metric.complete(columns(metric))).limit(_GRID_SAMPLE).collect()
     if not peek:
         return Grid([], [], [])
-    if pivots is None:
-        pivots = incremental_pivots(objects, metric, peek, axes)
-    schema = objects.select("id", *metric.columns).schema
-    sample = objects.sparkSession.createDataFrame([tuple(r) for r in peek], schema)
-    seen = [r["d"] for r in sample.select(distances_to(metric, list(pivots), side).alias("d")).collect()]
-    low = [min(d[a] for d in seen) for a in range(len(pivots))]
-    high = [max(d[a] for d in seen) for a in range(len(pivots))]
-    width = [(h - lo) / bins or 1.0 for lo, h in zip(low, high)]
-    return Grid(list(pivots), low, width, bins)
+    head = peek[:_GRID_CANDIDATES]
+    matrix = sample_distances(objects, metric, peek, head)
+    picked = pick_columns(matrix, axes, [], range(len(head)))
+    low = [float(matrix[:, c].min()) for c in picked]
+    width = [float(matrix[:, c].max() - lo) / bins or 1.0 for c, lo in zip(picked, low)]
+    return Grid([head[c] for c in picked], low, width, bins)
 
 
 def range_query_batch(

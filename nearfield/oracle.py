@@ -122,7 +122,7 @@ def oracle_sql() -> dict[str, str]:
           round({vec('o', 'q')}, 6) AS d_vector, round({dist('o', 'q')}, 6) AS dist FROM o CROSS JOIN q""",
         "dist_map_sum": f"""WITH {O}, {Q} SELECT q.id AS qid, o.id, round(abs(o.n - q.n)
           + CASE WHEN o.id % 3 <> 0 AND q.id % 3 <> 0 THEN {vec('o', 'q')} ELSE 0 END
-          + CASE WHEN o.id % 2 = 0 AND q.id % 2 = 0 THEN abs(o.z - q.z) ELSE 0 END, 6) AS dist FROM o CROSS JOIN q""",
+          + CASE WHEN o.id % 2 = 0 AND q.id % 2 = 0 THEN abs(o.z - q.z) ELSE 0 END, 9) AS dist FROM o CROSS JOIN q""",
         "distance_report": f"WITH {O}, {P} SELECT o.id, round({dist('o', 'p0')}, 6) AS dist FROM o CROSS JOIN p0",
         "data_equal_groups": f1 + f"""SELECT number, CAST(CAST(x AS DECIMAL(9,1)) AS VARCHAR) || ',' || CAST(CAST(y AS DECIMAL(9,1)) AS VARCHAR)
           || ',' || CAST(CAST(z AS DECIMAL(9,1)) AS VARCHAR) AS vector, n FROM (SELECT {tenth('n')} AS number, {tenth('x')} AS x,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.functions.distances import columns, distances_to
 from nearfield.operators.pivots import incremental_pivots, sample_objects
 from nearfield.operators.splits import histogram_split
-from nearfield.plans.tree import ROOT, Level, Tree, depth_of
+from nearfield.plans.tree import ROOT, Level, Tree, depth_of, in_split_code
 from nearfield.session import stage
 
 # A leaf seen through fewer sampled objects than this is not split on a guess.
@@ -53,16 +53,15 @@ def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapp
         if not level.nodes and (n_rest * scale <= target or kept.get((number, ROOT), 0) or ROOT in level.final):
             break
         pivots = _pivots(rest, n_rest, level, number, limits, metric, fixed)
-        dists = distances_to(metric, pivots, side, checked=False)
+        dists = F.when(in_split_code(F.col("id").isNotNull()), distances_to(metric, pivots, side, checked=False))
         measured = stage(rest.withColumn("_pd", dists), "grow")
         ranges = measured.agg(
             *[F.min(F.get("_pd", F.lit(i))).alias(f"lo{i}") for i in range(len(pivots))],
             *[F.max(F.get("_pd", F.lit(i))).alias(f"hi{i}") for i in range(len(pivots))],
         ).first()
-        rooted = measured.withColumn("_node", F.lit(ROOT))
         depth = 0
         while depth < len(pivots) and depth <= level.depth:
-            placed = tree.descend(rooted, number).where(F.col("_node").between(1 << depth, (2 << depth) - 1))
+            placed = tree.descend(measured, number).where(F.col("_node").between(1 << depth, (2 << depth) - 1))
             splits = histogram_split(
                 placed.select("_node", F.get("_pd", F.lit(depth)).alias("dist")),
                 "_node", tree.rho, ranges[f"lo{depth}"], ranges[f"hi{depth}"], limits.bins,
@@ -78,7 +77,7 @@ def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapp
             depth += 1
         level.pivots = pivots[: max(level.depth, len(level.pivots))]
         level.final |= {n for n in level.leaves() if depth_of(n) >= limits.max_depth}
-        rest = tree.descend(rooted, number).where(F.col("_node").isNull()).select("id", *metric.columns)
+        rest = tree.descend(measured, number).where(F.col("_node").isNull()).select("id", *metric.columns)
         n_rest = rest.count()
     if tree.levels[-1].nodes:
         tree.levels.append(Level())

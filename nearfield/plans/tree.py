@@ -21,13 +21,18 @@ from nearfield.session import local_table
 
 ROOT = 1
 
-# Bounds of a depth are literal arrays up to this many slots, beyond it a
-# broadcast join on (level, node).
+# A level with at most this many inner nodes is applied as one CASE expression,
+# a bigger one as a broadcast join on (level, node) per depth.
+CASE_NODES = 256
+# Query descent reads bounds from literal arrays up to this many slots per depth.
 LITERAL_SLOTS = 1024
 # The whole description must stay small enough to sit on the driver.
 MAX_NODES = 500_000
 
 
+_PLACE = "struct<level int, bucket int, pd array<double>>"
+
+
 def depth_of(node: int) -> int:
     return node.bit_length() - 1
 
@@ -67,34 +72,34 @@ class Tree:
         """Add level, bucket and pd (distances to the level's pivots) to every
         object: the first level that does not exclude it takes it.
 
-        A chain of projections; the input is neither moved nor read twice."""
+        A few projections per level; the input is neither moved nor read twice,
+        and a level's distances are computed only for objects still open."""
         side = columns(self.metric)
-        placed = self.metric.validated(objects).withColumns(
-            {
-                "level": F.lit(None).cast("int"),
-                "bucket": F.lit(None).cast("int"),
-                "pd": F.lit(None).cast("array<double>"),
-            }
-        )
+        names = objects.columns
+        placed = self.metric.validated(objects).withColumn("_place", F.lit(None).cast(_PLACE))
         for number, level in enumerate(self.levels):
-            open_ = F.col("bucket").isNull()
-            dists = distances_to(self.metric, level.pivots, side, checked=False)
-            placed = placed.withColumns({"_pd": F.when(open_, dists), "_node": F.when(open_, ROOT)})
+            open_ = in_split_code(F.col("_place").isNull())
+            placed = placed.withColumn("_pd", F.when(open_, distances_to(self.metric, level.pivots, side, checked=False)))
             placed = self.descend(placed, number)
-            taken = open_ & F.col("_node").isNotNull()
-            placed = placed.withColumns(
-                {
-                    "level": F.when(taken, number).otherwise(F.col("level")),
-                    "pd": F.when(taken, F.col("_pd")).otherwise(F.col("pd")),
-                    "bucket": F.coalesce("bucket", "_node"),
-                }
-            ).drop("_pd", "_node")
-        return placed
+            here = F.when(
+                F.col("_node").isNotNull(),
+                F.struct(F.lit(number).alias("level"), F.col("_node").alias("bucket"), F.col("_pd").alias("pd")),
+            )
+            placed = placed.withColumn("_place", F.coalesce("_place", here)).drop("_pd", "_node")
+        # Generated columns keep filters on level and bucket above this point;
+        # pushed below, they would repeat the whole tree expression many times.
+        return placed.select(*names, F.inline(F.array("_place")))
 
     def descend(self, df: DataFrame, level: int, pd: str = "_pd", node: str = "_node") -> DataFrame:
-        """Move ``node`` down to the leaf that takes the row, or to null when a
-        split on the way excludes it."""
-        for depth in range(self.levels[level].depth):
+        """Add ``node``: the leaf that takes a row with distances ``pd``, or null
+        when a split on the way excludes it or ``pd`` is null."""
+        tree = self.levels[level]
+        if len(tree.nodes) <= CASE_NODES:
+            # A decision tree as nested CASE, each node written once.
+            path = F.expr(_decisions(tree.nodes, ROOT, pd))
+            return df.withColumn(node, F.when(in_split_code(F.col(pd).isNotNull()), path))
+        df = df.withColumn(node, F.when(F.col(pd).isNotNull(), ROOT))
+        for depth in range(tree.depth):
             df = self._with_bounds(df, depth, [level], node)
             dist, at = F.get(pd, F.lit(depth)), F.col(node)
             step = (
@@ -181,15 +186,12 @@ class Tree:
             for n, bounds in self.levels[number].nodes.items()
             if depth_of(n) == depth
         ]
-        if slots * len(levels) <= LITERAL_SLOTS:
+        if len(levels) > 1 and slots * len(levels) <= LITERAL_SLOTS:
             inner, outer = [None] * (slots * len(levels)), [None] * (slots * len(levels))
             for number, n, low, high in found:
                 at = (number - levels[0]) * slots + n - slots
                 inner[at], outer[at] = low, high
-            slot = F.col(node) - slots
-            if len(levels) > 1:
-                slot = (F.col("level") - levels[0]) * slots + slot
-            slot = F.when(F.col(node) >= slots, slot)
+            slot = F.when(F.col(node) >= slots, (F.col("level") - levels[0]) * slots + F.col(node) - slots)
             return df.withColumns({"_in": F.get(_doubles(inner), slot), "_out": F.get(_doubles(outer), slot)})
         table = local_table(
             df.sparkSession,
@@ -227,6 +229,24 @@ class Tree:
         return local_table(spark, {name: ([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
 
 
+def in_split_code(condition: Column) -> Column:
+    """The same condition by way of an array function.
+
+    A projection with one is compiled as many small methods instead of joining
+    whole-stage code, where a few dozen distances make one method longer than
+    the JVM's compiler accepts and run many times slower."""
+    return F.exists(F.array(condition), lambda c: c)
+
+
+def _decisions(nodes: dict[int, tuple[float, float]], node: int, pd: str) -> str:
+    if node not in nodes:
+        return str(node)
+    inner, outer = nodes[node]
+    dist = f"get({pd}, {depth_of(node)})"
+    left, right = (_decisions(nodes, child, pd) for child in (2 * node, 2 * node + 1))
+    return f"CASE WHEN {dist} <= {inner!r}D THEN {left} WHEN {dist} > {outer!r}D THEN {right} END"
+
+
 def _doubles(values: Sequence[float | None]) -> Column:
     """A literal array, folded into one constant by the optimizer."""
     items = ", ".join("cast(null as double)" if v is None else f"{v!r}D" for v in values)

@@ -131,7 +131,7 @@ def export_objects_text(spark, sf_dir):
     text_records.write_objects_text(metric_objects(spark, sf_dir), path, places=6)
     records = text_records.read_records(spark, path)
     return records.select(
-        F.substring_index("record", "\n", 1).cast("long").alias("id"), F.rtrim("record").alias("record")
+        F.substring_index("record", "\n", 1).cast("long").alias("id"), F.rtrim("record", F.lit("\n")).alias("record")
     )
 
 
@@ -236,7 +236,8 @@ def dist_map_sum(spark, sf_dir):
     side = columns(metric)
     near = probes.smallest_ids(objects, N_QUERIES)
     rows = probes.distances_to_probes(objects, near, lambda p: metric.distance(side, metric.literal(p)))
-    return rounded(rows.withColumnRenamed("value", "dist"), "dist")
+    # Often a bare difference of prices, with exact ties at six places: keep nine.
+    return rows.select("qid", "id", F.round("value", 9).alias("dist"))
 
 
 def distance_report(spark, sf_dir):
