@@ -5,13 +5,13 @@ aggregation over it; only one row per overflowing node reaches the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from nearfield.functions.distances import columns, distances_to
+from nearfield.functions.distances import Metric, columns, distances_to
 from nearfield.operators.pivots import incremental_pivots, sample_objects
 from nearfield.operators.splits import histogram_split
 from nearfield.plans.tree import ROOT, Level, Tree, depth_of, in_split_code
@@ -32,7 +32,7 @@ class Limits:
     bins: int = 4096
 
 
-def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapping[tuple[int, int], int], fixed: Sequence[Row] = ()) -> None:
+def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapping[tuple[int, int], int]) -> None:
     """Extend ``tree`` in place until no leaf is expected to overflow.
 
     ``sample`` holds objects that are going to be (re)placed, each standing for
@@ -52,7 +52,7 @@ def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapp
             break
         if not level.nodes and (n_rest * scale <= target or kept.get((number, ROOT), 0) or ROOT in level.final):
             break
-        pivots = _pivots(rest, n_rest, level, number, limits, metric, fixed)
+        pivots = _pivots(rest, n_rest, level, number, limits, metric)
         dists = F.when(in_split_code(F.col("id").isNotNull()), distances_to(metric, pivots, side, checked=False))
         measured = stage(rest.withColumn("_pd", dists), "grow")
         ranges = measured.agg(
@@ -83,12 +83,7 @@ def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapp
         tree.levels.append(Level())
 
 
-def _pivots(rest: DataFrame, n_rest: int, level: Level, number: int, limits: Limits, metric, fixed) -> list[Row]:
-    """Pivots the level has, then chosen ones, in all one per possible depth.
-
-    Fixed pivots lead the first level only: what their splits exclude lies in
-    the middle of those very splits, so they could not divide it again."""
-    held = {p["id"] for p in level.pivots}
-    start = list(level.pivots) + [p for p in fixed if number == 0 and p["id"] not in held]
+def _pivots(rest: DataFrame, n_rest: int, level: Level, number: int, limits: Limits, metric: Metric) -> list[Row]:
+    """Pivots the level has, then chosen ones, in all one per possible depth."""
     sample = sample_objects(rest, metric, limits.seed + number, total=n_rest)
-    return incremental_pivots(rest, metric, sample, limits.max_depth, start)
+    return incremental_pivots(rest, metric, sample, limits.max_depth, level.pivots)

@@ -52,11 +52,13 @@ class MetricIndex:
         """Bulk build in three steps: grow the tree on a sample, place and write
         every object in one pass, then split the buckets that still overflow.
 
-        When the sample size covers all objects the tree is grown on all."""
+        When the sample size covers all objects the tree is grown on all. Fixed
+        pivots lead the first level only: what their splits exclude lies in the
+        middle of those very splits, so they could not divide it again."""
         spark = objects.sparkSession
         if path_exists(spark, f"{path}/meta"):
             raise ValueError(f"an index exists at {path}")
-        tree = Tree(metric, rho)
+        tree = Tree(metric, rho, [Level(list(fixed_pivots)[: limits.max_depth])])
         objects = objects.select("id", *metric.columns)
         index = cls(spark, path, tree, limits, objects.schema.fields)
         objects = metric.validated(objects)
@@ -67,7 +69,7 @@ class MetricIndex:
         if wanted < total:
             sample = stage(sample, "build-sample")
             scale = max(1.0, total / max(1, sample.count()))
-        grow(tree, sample, scale, limits, {}, fixed_pivots)
+        grow(tree, sample, scale, limits, {})
         append_buckets(tree.assign(objects), index.objects_path)
         index._split_overflow()
         index.save()
