@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.functions.distances import Metric, columns, distances_to_list
+from nearfield.functions.distances import Metric, columns, distances_to
 
 SAMPLE_ROWS = 512
 CANDIDATES = 32
@@ -66,7 +66,7 @@ def sample_distances(objects: DataFrame, metric: Metric, sample: Sequence[Row],
         [(i, *(r[c] for c in metric.columns)) for i, r in enumerate(sample)],
         T.StructType([T.StructField("at", T.LongType()), *[schema[c] for c in metric.columns]]),
     )
-    rows = local.select("at", distances_to_list(metric, to, columns(metric)).alias("d")).collect()
+    rows = local.select("at", distances_to(metric, to, columns(metric), looped=True).alias("d")).collect()
     return np.array([r["d"] for r in sorted(rows, key=lambda r: r["at"])], dtype=float)
 
 

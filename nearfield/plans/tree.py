@@ -119,50 +119,35 @@ class Tree:
         level's pivots), contains (the ball lies inside the bucket), own (the
         query object itself lies in it) and gap (how far outside it lies)."""
         side = columns(self.metric)
-        by_level = F.array(*[distances_to(self.metric, lv.pivots, side) for lv in self.levels])
+        by_level = F.array(*[distances_to(self.metric, lv.pivots, side, looped=True) for lv in self.levels])
         rows = queries.withColumn("_levels", by_level)
-        rows = rows.select("*", F.posexplode("_levels").alias("level", "pd")).drop("_levels")
-        rows = rows.withColumn(
-            "_at",
-            F.struct(
-                F.lit(ROOT).alias("node"),
-                F.lit(True).alias("contains"),
-                F.lit(True).alias("own"),
-                F.lit(float("-inf")).alias("gap"),
-            ),
-        )
-        radius = F.col("radius")
-        for depth in range(max(lv.depth for lv in self.levels)):
-            rows = rows.withColumn("_node", F.col("_at.node"))
-            rows = self._with_bounds(rows, depth, range(len(self.levels)), "_node")
-            dist, inner, outer = F.get("pd", F.lit(depth)), F.col("_in"), F.col("_out")
-
-            def child(offset: int, contains: Column, own: Column, gap: Column) -> Column:
-                return F.struct(
-                    (F.col("_at.node") * 2 + offset).alias("node"),
-                    (F.col("_at.contains") & contains).alias("contains"),
-                    (F.col("_at.own") & own).alias("own"),
-                    F.greatest(F.col("_at.gap"), gap).alias("gap"),
-                )
-
-            left = F.when(
-                dist - radius <= inner + PRUNE_SLACK,
-                child(0, dist + radius + PRUNE_SLACK <= inner, dist <= inner, dist - inner),
-            )
-            right = F.when(
-                dist + radius + PRUNE_SLACK > outer,
-                child(1, dist - radius - PRUNE_SLACK > outer, dist > outer, outer - dist),
-            )
-            both = F.filter(F.array(left, right), lambda c: c.isNotNull())
-            step = F.when(inner.isNull(), F.array("_at")).otherwise(both)
-            rows = rows.withColumn("_at", F.explode(step)).drop("_in", "_out", "_node")
-        return rows.select(
-            "*",
-            F.col("_at.node").alias("bucket"),
-            F.col("_at.contains").alias("contains"),
-            F.col("_at.own").alias("own"),
-            F.col("_at.gap").alias("gap"),
-        ).drop("_at")
+        rows = rows.select(*queries.columns, F.posexplode("_levels").alias("level", "pd"))
+        keep = rows.columns
+        depths, levels = max(lv.depth for lv in self.levels), range(len(self.levels))
+        literal = 0
+        states = _START
+        while literal < depths and (1 << literal) * len(levels) <= LITERAL_SLOTS:
+            states = self._literal_step(states, literal)
+            literal += 1
+        rows = rows.select(*keep, F.explode(F.expr(states)).alias("_at"))
+        for depth in range(literal, depths):
+            rows = self._with_bounds(rows.withColumn("_node", F.col("_at.node")), depth, levels, "_node")
+            step = _step("_at", "_in", "_out", f"get(pd, {depth})")
+            rows = rows.select(*keep, F.explode(F.expr(step)).alias("_at"))
+        return rows.select(*keep, F.expr("_at.node as bucket"), "_at.contains", "_at.own", "_at.gap")
+
+    def _literal_step(self, states: str, depth: int) -> str:
+        """One depth further for a list of states, bounds read from literals."""
+        slots = 1 << depth
+        inner, outer = [None] * (slots * len(self.levels)), [None] * (slots * len(self.levels))
+        for number, level in enumerate(self.levels):
+            for n, (low, high) in level.nodes.items():
+                if depth_of(n) == depth:
+                    inner[number * slots + n - slots], outer[number * slots + n - slots] = low, high
+        slot = f"CASE WHEN s.node >= {slots} THEN level * {slots} + s.node - {slots} END"
+        bounds = f"named_struct('i', get({_doubles(inner)}, {slot}), 'o', get({_doubles(outer)}, {slot}), 'd', get(pd, {depth}))"
+        step = _step("s", "b.i", "b.o", "b.d")
+        return f"flatten(transform({states}, s -> flatten(transform(array({bounds}), b -> {step}))))"
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         """Buckets each query must read. Levels after one whose bucket contains
@@ -177,22 +162,15 @@ class Tree:
 
     def _with_bounds(self, df: DataFrame, depth: int, levels: Sequence[int], node: str) -> DataFrame:
         """Add ``_in`` and ``_out``: the bounds of inner nodes of one depth, null
-        for rows that are not at one."""
+        for rows that are not at one. A broadcast join with at most the level's
+        nodes, whose number is bounded when the tree is built."""
         levels = list(levels)
-        slots = 1 << depth
         found = [
             (number, n, *bounds)
             for number in levels
             for n, bounds in self.levels[number].nodes.items()
             if depth_of(n) == depth
         ]
-        if len(levels) > 1 and slots * len(levels) <= LITERAL_SLOTS:
-            inner, outer = [None] * (slots * len(levels)), [None] * (slots * len(levels))
-            for number, n, low, high in found:
-                at = (number - levels[0]) * slots + n - slots
-                inner[at], outer[at] = low, high
-            slot = F.when(F.col(node) >= slots, (F.col("level") - levels[0]) * slots + F.col(node) - slots)
-            return df.withColumns({"_in": F.get(_doubles(inner), slot), "_out": F.get(_doubles(outer), slot)})
         table = local_table(
             df.sparkSession,
             {
@@ -247,7 +225,31 @@ def _decisions(nodes: dict[int, tuple[float, float]], node: int, pd: str) -> str
     return f"CASE WHEN {dist} <= {inner!r}D THEN {left} WHEN {dist} > {outer!r}D THEN {right} END"
 
 
-def _doubles(values: Sequence[float | None]) -> Column:
+def _doubles(values: Sequence[float | None]) -> str:
     """A literal array, folded into one constant by the optimizer."""
     items = ", ".join("cast(null as double)" if v is None else f"{v!r}D" for v in values)
-    return F.expr(f"array({items})")
+    return f"array({items})"
+
+
+# Where a query stands in a level: the node, whether the ball lies inside every
+# split taken so far, whether the query object does, and how far outside it is.
+_START = "array(named_struct('node', 1, 'contains', true, 'own', true, 'gap', double('-Infinity')))"
+
+
+def _step(state: str, inner: str, outer: str, dist: str) -> str:
+    """The children of a node that a ball reaches, or the node if it is a leaf."""
+    reach = f"radius + {PRUNE_SLACK!r}D"
+
+    def child(offset: int, contains: str, own: str, gap: str) -> str:
+        return (
+            f"named_struct('node', {state}.node * 2 + {offset}, 'contains', {state}.contains AND {contains}, "
+            f"'own', {state}.own AND {own}, 'gap', greatest({state}.gap, {gap}))"
+        )
+
+    left = child(0, f"{dist} + {reach} <= {inner}", f"{dist} <= {inner}", f"{dist} - {inner}")
+    right = child(1, f"{dist} - ({reach}) > {outer}", f"{dist} > {outer}", f"{outer} - {dist}")
+    return (
+        f"CASE WHEN {inner} IS NULL THEN array({state}) ELSE filter(array("
+        f"CASE WHEN {dist} - ({reach}) <= {inner} THEN {left} END, "
+        f"CASE WHEN {dist} + {reach} > {outer} THEN {right} END), c -> c IS NOT NULL) END"
+    )

@@ -15,14 +15,14 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize("length", [None, 3])
 def test_l2(spark, length):
-    got = one(spark, l2(F.col("a"), F.col("b"), length), a=([1.0, 2.0, 3.0], "array<double>"), b=([1.0, 4.0, 3.0], "array<float>"))
+    got = one(spark, F.expr(l2("a", "b", length)), a=([1.0, 2.0, 3.0], "array<double>"), b=([1.0, 4.0, 3.0], "array<float>"))
     assert got == 2.0
 
 
 @pytest.mark.parametrize("length", [None, 2])
 def test_l2_refuses_other_length(spark, length):
     with pytest.raises(PySparkException, match="number of dimensions"):
-        one(spark, l2(F.col("a"), F.col("b"), length), a=([1.0, 2.0], "array<double>"), b=([1.0, 2.0, 3.0], "array<double>"))
+        one(spark, F.expr(l2("a", "b", length)), a=([1.0, 2.0], "array<double>"), b=([1.0, 2.0, 3.0], "array<double>"))
 
 
 @pytest.mark.parametrize("length", [None, 2])
@@ -49,7 +49,7 @@ def test_map_distance_uses_shared_names(spark):
 
 
 def test_custom_metric(spark):
-    manhattan = CustomMetric(["x", "y"], lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"]))
+    manhattan = CustomMetric({"x": "double", "y": "double"}, lambda a, b: F.abs(a["x"] - b["x"]) + F.abs(a["y"] - b["y"]))
     df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
     assert df.select(manhattan.distance(columns(manhattan), manhattan.literal({"x": 4.0, "y": 0.0})).alias("v")).first()["v"] == 5.0
 
