@@ -5,6 +5,7 @@ aggregation over it; only one row per overflowing node reaches the driver."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -59,7 +60,8 @@ def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapp
             *[F.min(F.get("_pd", F.lit(i))).alias(f"lo{i}") for i in range(len(pivots))],
             *[F.max(F.get("_pd", F.lit(i))).alias(f"hi{i}") for i in range(len(pivots))],
         ).first()
-        depth = 0
+        # On a level that has splits already, begin where a leaf overflows.
+        depth = _first_overflow(tree.descend(measured, number), scale, target) if level.nodes else 0
         while depth < len(pivots) and depth <= level.depth:
             placed = tree.descend(measured, number).where(F.col("_node").between(1 << depth, (2 << depth) - 1))
             splits = histogram_split(
@@ -83,6 +85,13 @@ def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapp
         tree.levels.append(Level())
 
 
+def _first_overflow(placed: DataFrame, scale: float, target: float) -> int:
+    """Depth of the shallowest leaf above ``target``; past any depth if none."""
+    over = placed.groupBy("_node").count().where(F.col("_node").isNotNull() & (F.col("count") * scale > target))
+    smallest = over.agg(F.min("_node")).first()[0]
+    return sys.maxsize if smallest is None else depth_of(smallest)
+
+
 def _pivots(rest: DataFrame, n_rest: int, level: Level, number: int, limits: Limits, metric: Metric) -> list[Row]:
     """Pivots the level has, then chosen ones, in all one per possible depth."""
     sample = sample_objects(rest, metric, limits.seed + number, total=n_rest)

@@ -13,7 +13,7 @@ from nearfield.session import BROADCAST_ROWS, lookup_join, stage
 from nearfield.sources.buckets import bucket_filter
 
 # Above this many distinct buckets a scan filter is not worth its length.
-PRUNED_BUCKETS = 2000
+PRUNED_BUCKETS = 10_000
 
 BUCKET_KEYS = ["level", "bucket"]
 
@@ -110,22 +110,34 @@ def pivot_included(objects: DataFrame, queries: DataFrame, pivots: int, max_broa
     return found.distinct() if pivots > 1 else found
 
 
+def bucket_cost(tree: Tree, objects: DataFrame, queries: DataFrame, counts: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """What each query does in each bucket it reads: candidate objects there
+    (from the stored counts, no scan) and those left for the exact distance
+    after the pivot filter."""
+    chosen = _probe_rows(tree, queries, tree.candidates(queries), "radius")
+    pairs = _filtered(tree, _read(tree, objects, chosen, max_broadcast_rows))
+    after = pairs.groupBy("qid", *BUCKET_KEYS).agg(F.count("*").alias("after_filter"))
+    zero = F.lit(0)
+    # counts has one row per bucket, bounded like the tree itself
+    return (
+        chosen.select("qid", *BUCKET_KEYS)
+        .join(F.broadcast(counts), BUCKET_KEYS, "left")
+        .join(after, ["qid", *BUCKET_KEYS], "left")
+        .select("qid", *BUCKET_KEYS, F.coalesce("n", zero).alias("candidates"), F.coalesce("after_filter", zero).alias("after_filter"))
+    )
+
+
 def query_cost(tree: Tree, objects: DataFrame, queries: DataFrame, counts: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """What each query reads: buckets, candidate objects in them (from the
-    stored counts, no scan), and candidates left for the exact distance after
-    the pivot filter."""
-    chosen = tree.candidates(queries)
-    sizes = chosen.select("qid", *BUCKET_KEYS).join(F.broadcast(counts), BUCKET_KEYS, "left")
-    reads = sizes.groupBy("qid").agg(
-        F.count("*").alias("buckets"), F.sum(F.coalesce("n", F.lit(0))).alias("candidates")
+    """The same per query, with the number of buckets read; queries that read
+    none keep a row. Addressing adds one distance per pivot of the tree."""
+    per_bucket = bucket_cost(tree, objects, queries, counts, max_broadcast_rows)
+    totals = per_bucket.groupBy("qid").agg(
+        F.count("*").alias("buckets"), F.sum("candidates").alias("candidates"), F.sum("after_filter").alias("after_filter")
     )
-    pairs = _filtered(tree, _read(tree, objects, _probe_rows(tree, queries, chosen, "radius"), max_broadcast_rows))
-    after = pairs.groupBy("qid").agg(F.count("*").alias("after_filter"))
     zero = F.lit(0)
     return (
         queries.select("qid")
-        .join(reads, "qid", "left")
-        .join(after, "qid", "left")
+        .join(totals, "qid", "left")
         .select("qid", *[F.coalesce(c, zero).alias(c) for c in ("buckets", "candidates", "after_filter")])
     )
 

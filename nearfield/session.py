@@ -16,10 +16,11 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
-# A key holding more rows than this is split over several tasks.
+# A key holding more rows than this is cut up for a shuffled join.
 SPLIT_ROWS = 100_000
-# Splitting is planned so that at most about this many keys need it.
+# At most this many keys are cut, each into at most so many pieces.
 SPLIT_KEYS = 100_000
+MAX_PIECES = 10_000
 
 _local_roots: dict[str, str] = {}
 
@@ -106,46 +107,47 @@ def lookup_join(
 
     A right side measured as small is broadcast and the left side never moves.
     Otherwise both sides shuffle, and a key with too many rows is cut into a
-    grid: its left rows spread over ``_ls`` pieces by hash of ``split_on`` and,
-    for inner joins with ``right_split_on``, its right rows over ``_rs`` pieces;
+    grid: its left rows spread over ``_lp`` pieces by hash of ``split_on`` and,
+    for inner joins with ``right_split_on``, its right rows over ``_rp`` pieces;
     each piece of one side meets every piece of the other."""
     on = list(on)
     if fits_broadcast(right, max_broadcast_rows):
         return left.join(F.broadcast(right), on, how)
+    if split_on in on:  # the key names one row of the left side: nothing to cut
+        return left.join(right, on, how)
 
     cut_right = how == "inner" and right_split_on is not None
-    sizes = left.groupBy(on).agg(F.count("*").alias("_nl"))
+    size = F.count("*").alias("_nl")
+    sizes = left.groupBy(on).agg(size)
     if cut_right:
         sizes = sizes.join(right.groupBy(on).agg(F.count("*").alias("_nr")), on)
     else:
         sizes = sizes.withColumn("_nr", F.lit(0).cast("long"))
-    sizes = stage(sizes, "join-sizes")
-    total = sizes.agg(F.sum(F.col("_nl") + F.col("_nr"))).first()[0] or 0
-    # At most SPLIT_KEYS keys can exceed total / SPLIT_KEYS rows, so the list of
-    # hot keys stays small whatever the data looks like.
-    piece = max(split_rows, total // SPLIT_KEYS)
-    hot = F.broadcast(
-        sizes.where((F.col("_nl") > piece) | (F.col("_nr") > piece)).select(
-            *on,
-            F.ceil(F.col("_nl") / piece).cast("int").alias("_ls"),
-            F.greatest(F.ceil(F.col("_nr") / piece), F.lit(1)).cast("int").alias("_rs"),
-        )
-    )
-    one = F.lit(1)
-    ls, rs = F.coalesce("_ls", one), F.coalesce("_rs", one)
-    cells = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cut_left = left.join(hot, on, "left").withColumn(
-        "_lp", F.pmod(F.xxhash64(split_on), ls).cast("int")
-    )
-    spread = right.join(hot, on, "left").withColumn("_lp", cells(ls))
-    keys = on + ["_lp"]
+    # The biggest keys only, so the list stays small whatever the data looks
+    # like: a key left whole has at most 1 / SPLIT_KEYS of all rows.
+    sizes = sizes.where((F.col("_nl") > split_rows) | (F.col("_nr") > split_rows))
+    sizes = sizes.orderBy(F.desc(F.greatest("_nl", "_nr"))).limit(SPLIT_KEYS)
+
+    def pieces(n: str):
+        return F.least(F.greatest(F.ceil(F.col(n) / split_rows), F.lit(1)), F.lit(MAX_PIECES)).cast("int")
+
+    hot = F.broadcast(stage(sizes.select(*on, pieces("_nl").alias("_ls"), pieces("_nr").alias("_rs")), "hot-keys"))
+    ls, rs = F.coalesce("_ls", F.lit(1)), F.coalesce("_rs", F.lit(1))
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    def one(column, n):
+        return F.pmod(F.xxhash64(column), n).cast("int")
+
+    cut = left.join(hot, on, "left").withColumn("_lp", one(split_on, ls))
+    spread = right.join(hot, on, "left").withColumn("_lp", every(ls))
+    keys = [*on, "_lp"]
     if cut_right:
-        cut_left = cut_left.withColumn("_rp", cells(rs))
-        spread = spread.withColumn("_rp", F.pmod(F.xxhash64(right_split_on), rs).cast("int"))
+        cut = cut.withColumn("_rp", every(rs))
+        spread = spread.withColumn("_rp", one(right_split_on, rs))
         keys.append("_rp")
-    extra = ["_ls", "_rs"]
-    joined = cut_left.drop(*extra).join(spread.drop(*extra), keys, how)
-    return joined.drop("_lp", "_rp")
+    return cut.drop("_ls", "_rs").join(spread.drop("_ls", "_rs"), keys, how).drop("_lp", "_rp")
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -27,13 +27,14 @@ def place_stream(tree: Tree, arriving: DataFrame) -> DataFrame:
     return tree.assign(arriving.select("id", *tree.metric.columns))
 
 
-def start_placing(tree: Tree, arriving: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def start_placing(tree: Tree, arriving: DataFrame, sink: str, checkpoint: str, files_per_bucket: int = FILES_PER_BUCKET) -> StreamingQuery:
     """Write placed objects to a bucketed Parquet sink and stop when the files
     at hand are done. The file sink commits every batch once.
 
-    Rows of a bucket meet in a few tasks, however many objects hit one bucket."""
+    Rows of a bucket meet in ``files_per_bucket`` tasks, so a bucket that takes
+    much of a batch is still written by several."""
     placed = place_stream(tree, arriving)
-    spread = F.pmod(F.xxhash64("id"), F.lit(FILES_PER_BUCKET))
+    spread = F.pmod(F.xxhash64("id"), F.lit(files_per_bucket))
     return (
         placed.repartition("level", "bucket", spread)
         .writeStream.format("parquet")

@@ -317,7 +317,10 @@ def split_report(spark, sf_dir):
 def choose_pivots(spark, sf_dir):
     objects = metric_objects(spark, sf_dir)
     key = F.md5(F.concat(F.lit("0:"), F.col("id").cast("string")).cast("binary"))
-    chosen = pivots.choose_pivots(objects, METRIC, 3, key=key)
+    # Only the smallest keys matter: a threshold keeps each task's share short.
+    share = 8 * pivots.SAMPLE_ROWS / max(1, objects.count())
+    thinned = objects if share >= 1 else objects.where(F.substring(key, 1, 6) < f"{int(share * 16**6):06x}")
+    chosen = pivots.choose_pivots(thinned, METRIC, 3, key=key)
     rank = F.create_map(*[F.lit(x) for i, p in enumerate(chosen) for x in (p["id"], i)])
     picked = objects.where(F.col("id").isin([p["id"] for p in chosen]))
     return picked.select(F.try_element_at(rank, F.col("id")).alias("pivot_idx"), "id")
@@ -460,6 +463,11 @@ def query_cost(spark, sf_dir):
     return search.query_cost(tree, objects, batch(objects, 0.1), buckets.bucket_counts(objects))
 
 
+def bucket_cost(spark, sf_dir):
+    tree, objects = fixed_objects(spark, sf_dir)
+    return search.bucket_cost(tree, objects, batch(objects, 0.1), buckets.bucket_counts(objects))
+
+
 def merge_answers(spark, sf_dir):
     tree, objects, queries = _indexed(spark, sf_dir, 0.2)
     parts = [
@@ -521,5 +529,6 @@ def registered() -> dict[str, Query]:
         "ranked_answers": ranked_answers,
         "answer_counts": answer_counts,
         "query_cost": query_cost,
+        "query_cost_by_bucket": bucket_cost,
         "merge_answers": merge_answers,
     }
