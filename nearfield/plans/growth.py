@@ -16,7 +16,7 @@ from nearfield.functions.distances import Metric, columns, distances_to
 from nearfield.operators.pivots import incremental_pivots, sample_objects
 from nearfield.operators.splits import histogram_split
 from nearfield.plans.tree import ROOT, Level, Tree, depth_of, in_split_code
-from nearfield.session import stage
+from nearfield.session import Stages
 
 # A leaf seen through fewer sampled objects than this is not split on a guess.
 MIN_SAMPLED = 32
@@ -39,6 +39,11 @@ def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapp
     ``sample`` holds objects that are going to be (re)placed, each standing for
     ``scale`` of them. ``kept`` counts objects already stored per leaf that are
     not being replaced; such leaves are left as they are."""
+    with Stages(sample.sparkSession) as stage:
+        _grow(tree, sample, scale, limits, kept, stage)
+
+
+def _grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapping[tuple[int, int], int], stage: Stages) -> None:
     metric, side = tree.metric, columns(tree.metric)
     target = limits.capacity * (HEADROOM if scale > 1 else 1.0)
     least = MIN_SAMPLED if scale > 1 else 2

@@ -4,7 +4,7 @@ describe the tree. Built, extended, saved and loaded by ordinary Spark jobs."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 import pyarrow as pa
@@ -16,7 +16,7 @@ from nearfield.functions.distances import Metric
 from nearfield.operators.pivots import hash_fraction, hash_key
 from nearfield.plans.growth import Limits, grow
 from nearfield.plans.tree import MAX_NODES, Level, Tree, depth_of
-from nearfield.session import bounded_rows, local_table, path_exists, stage
+from nearfield.session import Stages, bounded_rows, local_table, path_exists
 from nearfield.sources.buckets import append_buckets, bucket_filter, drop_buckets, read_buckets
 
 SAMPLE_FLOOR = 1_000_000
@@ -66,10 +66,11 @@ class MetricIndex:
         wanted = max(sample_floor, SAMPLE_PER_BUCKET * math.ceil(total / limits.capacity))
         sample = hash_fraction(objects, wanted, total, hash_key(limits.seed))
         scale = 1.0
-        if wanted < total:
-            sample = stage(sample, "build-sample")
-            scale = max(1.0, total / max(1, sample.count()))
-        grow(tree, sample, scale, limits, {})
+        with Stages(spark) as stage:
+            if wanted < total:
+                sample = stage(sample, "build-sample")
+                scale = max(1.0, total / max(1, sample.count()))
+            grow(tree, sample, scale, limits, {})
         append_buckets(tree.assign(objects), index.objects_path)
         index._split_overflow()
         index.save()
@@ -86,11 +87,13 @@ class MetricIndex:
 
     def insert(self, batch: DataFrame) -> int:
         """Add objects, splitting buckets that overflow; returns how many."""
-        batch = stage(batch.select("id", *self.tree.metric.columns), "insert")
-        append_buckets(self.tree.assign(batch), self.objects_path)
+        with Stages(self.spark) as stage:
+            batch = stage(batch.select("id", *self.tree.metric.columns), "insert")
+            append_buckets(self.tree.assign(batch), self.objects_path)
+            added = batch.count()
         self._split_overflow()
         self.save()
-        return batch.count()
+        return added
 
     def _split_overflow(self) -> None:
         """Split stored buckets above capacity until none is left that a split
@@ -102,24 +105,28 @@ class MetricIndex:
             if not over:
                 return
             before = sum(len(lv.nodes) for lv in self.tree.levels)
-            source = stage(self.objects().where(bucket_filter(over)).select("id", *self.tree.metric.columns), "overflow")
-            total = source.count()
-            wanted = max(SAMPLE_FLOOR, SAMPLE_PER_BUCKET * math.ceil(total / self.limits.capacity))
-            sample = hash_fraction(source, wanted, total, hash_key(self.limits.seed))
-            kept = {key: n for key, n in counts.items() if key not in set(over)}
-            grow(self.tree, sample, max(1.0, total / wanted), self.limits, kept)
-            if sum(len(lv.nodes) for lv in self.tree.levels) == before:
+            with Stages(self.spark) as stage:
+                self._regrow(over, counts, stage)
+                split = [(level, b) for level, b in over if b in self.tree.levels[level].nodes]
                 for level, bucket in over:
-                    self.tree.levels[level].final.add(bucket)
-                return
-            # Rewrite only buckets that did get split.
-            split = [(level, b) for level, b in over if b in self.tree.levels[level].nodes]
-            moving = self.objects().where(bucket_filter(split)).select("id", *self.tree.metric.columns)
-            append_buckets(self.tree.assign(stage(moving, "moving")), self.objects_path)
-            drop_buckets(self.spark, self.objects_path, split)
-            for level, bucket in over:
-                if (level, bucket) not in split:
-                    self.tree.levels[level].final.add(bucket)
+                    if (level, bucket) not in split:
+                        self.tree.levels[level].final.add(bucket)
+                if sum(len(lv.nodes) for lv in self.tree.levels) == before:
+                    return
+                # Only the buckets that did get split are rewritten; new rows
+                # are in place before the old partitions go.
+                moving = self.objects().where(bucket_filter(split)).select("id", *self.tree.metric.columns)
+                append_buckets(self.tree.assign(stage(moving, "moving")), self.objects_path)
+                drop_buckets(self.spark, self.objects_path, split)
+
+    def _regrow(self, over: Sequence[tuple[int, int]], counts: Mapping[tuple[int, int], int], stage: Stages) -> None:
+        """Grow the tree below the overflowing buckets."""
+        held = self.objects().where(bucket_filter(over)).select("id", *self.tree.metric.columns)
+        total = sum(counts[key] for key in over)
+        wanted = max(SAMPLE_FLOOR, SAMPLE_PER_BUCKET * math.ceil(total / self.limits.capacity))
+        sample = stage(hash_fraction(held, wanted, total, hash_key(self.limits.seed)), "overflow")
+        kept = {key: n for key, n in counts.items() if key not in set(over)}
+        grow(self.tree, sample, max(1.0, total / wanted), self.limits, kept)
 
     def _splittable(self, level: int, bucket: int) -> bool:
         return (

@@ -49,11 +49,35 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     The copy outlives executors, so lineage ends here and rows that depend on
     partition numbers or sampling cannot change on a retry."""
-    path = stage_path(df.sparkSession, label)
+    return _written(df, stage_path(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Stage tables of a job that ends inside a ``with`` block; all are removed
+    when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *error) -> None:
+        for path in self.paths:
+            remove_path(self.spark, path)
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        path = stage_path(self.spark, label)
+        self.paths.append(path)
+        return _written(df, path)
+
+
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list[Row]:
     """Fetch a table that must be small; refuse instead of truncating."""
     rows = df.limit(max_rows + 1).collect()

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfield.session import lookup_join, remove_path, stage
+from nearfield.session import Stages, bounded_rows, lookup_join, remove_path
 
 KEYS = ("level", "bucket")
+# Bucket numbers are handled on the driver up to this many.
+MAX_BUCKETS = 500_000
 
 
 def read_buckets(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -49,8 +51,7 @@ def drop_buckets(spark: SparkSession, path: str, buckets: Iterable[tuple[int, in
 def drop_bucket_range(spark: SparkSession, path: str, level: int, low: int, high: int) -> int:
     """Delete the buckets numbered ``low`` to ``high`` inclusive of one level."""
     numbers = read_buckets(spark, path).where((F.col("level") == level) & F.col("bucket").between(low, high))
-    found = [r["bucket"] for r in numbers.select("bucket").distinct().collect()]
-    return drop_buckets(spark, path, [(level, b) for b in found])
+    return drop_buckets(spark, path, _bucket_list(numbers))
 
 
 def without_bucket_range(objects: DataFrame, low: int, high: int, column: str = "bucket") -> DataFrame:
@@ -82,20 +83,26 @@ def without_objects(objects: DataFrame, victims: DataFrame, by: Sequence[str] =
 def delete_objects(spark: SparkSession, path: str, victims: DataFrame, by: Sequence[str] = ("id",), limit: int | None = None) -> int:
     """Delete objects from a stored table, rewriting only the buckets that hold
     some; returns how many went."""
-    stored = read_buckets(spark, path)
-    doomed = doomed_ids(stored, victims, by, limit)
-    gone = stage(lookup_join(stored.select("id", *KEYS), doomed, ["id"], "left_semi"), "delete-gone")
-    touched = {(r["level"], r["bucket"]) for r in gone.select(*KEYS).distinct().collect()}
-    if not touched:
-        return 0
-    part = stored.where(bucket_filter(touched))
-    survivors = stage(lookup_join(part, gone.select("id"), ["id"], "left_anti"), "delete-survivors")
-    left = {(r["level"], r["bucket"]) for r in survivors.select(*KEYS).distinct().collect()}
-    keys = [F.col(k) for k in KEYS]
-    writer = survivors.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*KEYS)
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-    drop_buckets(spark, path, touched - left)
-    return gone.count()
+    with Stages(spark) as stage:
+        stored = read_buckets(spark, path)
+        doomed = doomed_ids(stored, victims, by, limit)
+        gone = stage(lookup_join(stored.select("id", *KEYS), doomed, ["id"], "left_semi"), "delete-gone")
+        touched = _bucket_list(gone)
+        if not touched:
+            return 0
+        part = stored.where(bucket_filter(touched))
+        survivors = stage(lookup_join(part, gone.select("id"), ["id"], "left_anti"), "delete-survivors")
+        left = _bucket_list(survivors)
+        keys = [F.col(k) for k in KEYS]
+        writer = survivors.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*KEYS)
+        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+        drop_buckets(spark, path, touched - left)
+        return gone.count()
+
+
+def _bucket_list(objects: DataFrame) -> set[tuple[int, int]]:
+    rows = bounded_rows(objects.select(*KEYS).distinct(), MAX_BUCKETS, "buckets")
+    return {(r["level"], r["bucket"]) for r in rows}
 
 
 def bucket_counts(objects: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
