@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from nearfield.functions.distances import Metric, columns
+from nearfield.functions.distances import Metric, columns, distances_to
 from nearfield.operators.pivots import hash_key, pick_columns, sample_distances
 from nearfield.operators.probes import MAX_PROBES
 from nearfield.schema import ANSWER_TOLERANCE, PRUNE_SLACK, RANK_PLACES
@@ -136,48 +136,39 @@ def _with_knn_radius(objects: DataFrame, queries: DataFrame, k: int, metric: Met
     unbounded = F.lit(float("inf"))
     if fits_broadcast(queries, max_probes):
         probes = queries.collect()
-        if not probes:
+        kth = _kth_distances(subset, probes, k, metric)
+        if not kth:
             return queries.withColumn("radius", unbounded)
-        side = columns(metric)
-        # A sorted list of at most _PEEK_ROWS numbers per probe.
-        kth = subset.agg(
-            F.array(
-                *[
-                    F.get(F.array_sort(F.collect_list(metric.distance(side, metric.literal(p)))), F.lit(k - 1))
-                    for p in probes
-                ]
-            ).alias("kth")
-        ).first()["kth"]
         # The slack keeps distances that tie with the bound after rounding.
-        radius = {p["qid"]: kth[i] + PRUNE_SLACK for i, p in enumerate(probes) if kth[i] is not None}
-        if not radius:
-            return queries.withColumn("radius", unbounded)
-        known = F.create_map(*[F.lit(x) for item in radius.items() for x in item])
+        known = F.create_map(*[F.lit(x) for i, d in kth.items() for x in (probes[i]["qid"], d + PRUNE_SLACK)])
         return queries.withColumn("radius", F.coalesce(F.try_element_at(known, F.col("qid")), unbounded))
 
     # Many queries: d(q, o) <= d(q, p) + d(p, o), so a pivot with k objects close
     # by bounds every query near it. Then tighten on a thin slice of the data.
-    peek = subset.where(metric.complete(columns(metric))).limit(MAX_PROBES).collect()
-    rows = queries
-    if peek:
-        side = columns(metric)
-        kth = subset.where(metric.complete(side)).agg(
-            F.array(
-                *[
-                    F.get(F.array_sort(F.collect_list(metric.distance(side, metric.literal(p)))), F.lit(k - 1))
-                    for p in peek
-                ]
-            ).alias("kth")
-        ).first()["kth"]
-        reach = [metric.distance(side, metric.literal(p)) + d + PRUNE_SLACK for p, d in zip(peek, kth) if d is not None]
-        bound = F.array_min(F.array(*reach)) if reach else unbounded
-        rows = queries.withColumn("radius", F.when(metric.complete(side), bound).otherwise(unbounded))
-    else:
-        rows = queries.withColumn("radius", unbounded)
-    rows = stage(rows, "knn-radius")
-    slice_ = objects.where(F.pmod(hash_key(0), F.lit(64)) == 0)
-    closer = range_query_batch(slice_, rows, metric)
+    side = columns(metric)
+    whole = subset.where(metric.complete(side))
+    pivots = whole.limit(MAX_PROBES).collect()
+    kth = _kth_distances(whole, pivots, k, metric)
+    bound = unbounded
+    if kth:
+        known = sorted(kth)
+        spread = F.array(*[F.lit(kth[i] + PRUNE_SLACK) for i in known])
+        near = distances_to(metric, [pivots[i] for i in known], side, looped=True)
+        best = F.array_min(F.zip_with(near, spread, lambda d, s: d + s))
+        bound = F.when(metric.complete(side), best).otherwise(unbounded)
+    rows = stage(queries.withColumn("radius", bound), "knn-radius")
+    thin = objects.where(F.pmod(hash_key(0), F.lit(64)) == 0)
+    closer = range_query_batch(thin, rows, metric)
     tight = nearest(closer, k).where(F.col("rank") == k).select("qid", (F.col("dist") + PRUNE_SLACK).alias("_tight"))
-    return stage(
-        rows.join(tight, "qid", "left").withColumn("radius", F.least("radius", "_tight")).drop("_tight"), "knn-radius"
-    )
+    tighter = rows.join(tight, "qid", "left").withColumn("radius", F.least("radius", "_tight")).drop("_tight")
+    return stage(tighter, "knn-radius")
+
+
+def _kth_distances(subset: DataFrame, probes: list[Row], k: int, metric: Metric) -> dict[int, float]:
+    """For each probe the k-th smallest distance within ``subset``, which holds
+    at most _PEEK_ROWS objects; probes that see fewer than k are left out."""
+    if not probes:
+        return {}
+    near = subset.select(F.posexplode(distances_to(metric, probes, columns(metric), looped=True)).alias("probe", "d"))
+    kth = near.groupBy("probe").agg(F.get(F.array_sort(F.collect_list("d")), F.lit(k - 1)).alias("kth"))
+    return {r["probe"]: r["kth"] for r in kth.collect() if r["kth"] is not None}
