@@ -67,7 +67,8 @@ def doomed_ids(objects: DataFrame, victims: DataFrame, by: Sequence[str] = ("id"
     by = list(by)
     if by == ["id"] and limit is None:
         return victims.select("id").distinct()
-    match = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("_match")
+    # A digest keeps the join key short however long a vector is.
+    match = F.sha2(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}), 256).alias("_match")
     hit = lookup_join(objects.select("id", match), victims.select(match).distinct(), ["_match"], "left_semi")
     if limit is not None:
         order = F.row_number().over(Window.partitionBy("_match").orderBy("id"))
