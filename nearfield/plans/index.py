@@ -17,7 +17,7 @@ from nearfield.operators.pivots import hash_fraction, hash_key
 from nearfield.plans.growth import Limits, grow
 from nearfield.plans.tree import MAX_NODES, Level, Tree, depth_of
 from nearfield.session import Stages, bounded_rows, local_table, path_exists
-from nearfield.sources.buckets import append_buckets, bucket_filter, drop_buckets, read_buckets
+from nearfield.sources.buckets import append_buckets, bucket_filter, delete_objects, drop_buckets, read_buckets
 
 SAMPLE_FLOOR = 1_000_000
 SAMPLE_PER_BUCKET = 200
@@ -27,7 +27,8 @@ class MetricIndex:
     """An index over a stored object table.
 
     ``path/objects`` is Parquet partitioned by level and bucket; ``path/nodes``,
-    ``path/pivots`` and ``path/meta`` describe the tree. One writer at a time."""
+    ``path/pivots``, ``path/buckets`` (object counts) and ``path/meta`` describe
+    it. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, tree: Tree, limits: Limits, fields: Sequence[T.StructField]):
         self.spark = spark
@@ -35,6 +36,7 @@ class MetricIndex:
         self.tree = tree
         self.limits = limits
         self.fields = list(fields)
+        self.counts: dict[tuple[int, int], int] = {}
 
     # -- building --------------------------------------------------------
 
@@ -100,7 +102,8 @@ class MetricIndex:
         can make smaller. Only their partitions are read and rewritten; what a
         split excludes moves to later levels and may overflow those in turn."""
         for _ in range(self.limits.max_levels * self.limits.max_depth):
-            counts = self._counts()
+            self.refresh()
+            counts = self.counts
             over = [key for key, n in counts.items() if n > self.limits.capacity and self._splittable(*key)]
             if not over:
                 return
@@ -118,6 +121,7 @@ class MetricIndex:
                 moving = self.objects().where(bucket_filter(split)).select("id", *self.tree.metric.columns)
                 append_buckets(self.tree.assign(stage(moving, "moving")), self.objects_path)
                 drop_buckets(self.spark, self.objects_path, split)
+        self.refresh()
 
     def _regrow(self, over: Sequence[tuple[int, int]], counts: Mapping[tuple[int, int], int], stage: Stages) -> None:
         """Grow the tree below the overflowing buckets."""
@@ -135,6 +139,13 @@ class MetricIndex:
             and bucket not in self.tree.levels[level].final
         )
 
+    def delete(self, victims: DataFrame, by: Sequence[str] = ("id",), limit: int | None = None) -> int:
+        """Remove objects equal to the given ones; returns how many went."""
+        gone = delete_objects(self.spark, self.objects_path, victims, by, limit)
+        self.refresh()
+        self.save()
+        return gone
+
     # -- reading ---------------------------------------------------------
 
     @property
@@ -144,13 +155,27 @@ class MetricIndex:
     def objects(self) -> DataFrame:
         return read_buckets(self.spark, self.objects_path, stored_schema(self.fields))
 
-    def bucket_counts(self) -> DataFrame:
-        """Stored objects per bucket; reads no column but the partition keys."""
-        return self.objects().groupBy("level", "bucket").agg(F.count("*").alias("n"))
+    def bucket_objects(self, wanted: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+        """Objects of the wanted buckets only. Their folders are named one by
+        one, so a query does not list an index of very many buckets."""
+        if wanted is None:
+            return self.objects()
+        schema = stored_schema(self.fields)
+        paths = [f"{self.objects_path}/level={lv}/bucket={b}" for lv, b in sorted(set(wanted) & self.counts.keys())]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.objects_path).parquet(*paths)
+
+    def refresh(self) -> None:
+        """Count the stored objects again; reads the partition keys only."""
+        counts = self.objects().groupBy("level", "bucket").agg(F.count("*").alias("n"))
+        self.counts = {(r["level"], r["bucket"]): r["n"] for r in bounded_rows(counts, MAX_NODES, "buckets")}
 
-    def _counts(self) -> dict[tuple[int, int], int]:
-        rows = bounded_rows(self.bucket_counts(), MAX_NODES, "buckets")
-        return {(r["level"], r["bucket"]): r["n"] for r in rows}
+    def bucket_counts(self) -> DataFrame:
+        """Stored objects per bucket, as of the last change through the index."""
+        kinds = {"level": pa.int32(), "bucket": pa.int32(), "n": pa.int64()}
+        rows = [(*key, n) for key, n in sorted(self.counts.items())]
+        return local_table(self.spark, {name: ([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
 
     # -- saving and loading ----------------------------------------------
 
@@ -159,6 +184,7 @@ class MetricIndex:
         tree, limits = self.tree, self.limits
         tree.nodes_table(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/nodes")
         pivots_table(self.spark, tree, self.fields).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pivots")
+        self.bucket_counts().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/buckets")
         meta = {
             "rho": ([tree.rho], pa.float64()),
             "levels": ([len(tree.levels)], pa.int32()),
@@ -186,7 +212,10 @@ class MetricIndex:
         names = ("capacity", "max_levels", "max_depth", "seed", "bins")
         limits = replace(Limits(), **{n: meta[n] for n in names})
         fields = [stored_pivots.schema[n] for n in ("id", *metric.columns)]
-        return cls(spark, path, Tree(metric, meta["rho"], levels), limits, fields)
+        index = cls(spark, path, Tree(metric, meta["rho"], levels), limits, fields)
+        counts = bounded_rows(spark.read.parquet(f"{path}/buckets"), MAX_NODES, "buckets")
+        index.counts = {(r["level"], r["bucket"]): r["n"] for r in counts}
+        return index
 
 
 def stored_schema(fields: Sequence[T.StructField]) -> T.StructType:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ PRUNED_BUCKETS = 10_000
 
 BUCKET_KEYS = ["level", "bucket"]
 
+# Placed objects as a table, or a function that gives the table of some buckets
+# (of all for None), as ``MetricIndex.bucket_objects`` does.
+Objects = DataFrame | Callable[[list[tuple[int, int]] | None], DataFrame]
+
 
 def candidate_buckets(tree: Tree, queries: DataFrame) -> DataFrame:
     """(qid, level, bucket) to read for complete answers at any radius."""
@@ -29,13 +35,13 @@ def limited_radius(queries: DataFrame, rho: float) -> DataFrame:
     return queries.withColumn("full", F.col("radius")).withColumn("radius", F.least("radius", F.lit(rho)))
 
 
-def range_query_indexed(tree: Tree, objects: DataFrame, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def range_query_indexed(tree: Tree, objects: Objects, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Complete answers (qid, id, dist)."""
     read = _probe_rows(tree, queries, tree.candidates(queries), "radius")
     return _refine(tree, _read(tree, objects, read, max_broadcast_rows)).select("qid", "id", "dist")
 
 
-def range_query_ids(tree: Tree, objects: DataFrame, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def range_query_ids(tree: Tree, objects: Objects, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Complete answers without distances: (qid, id). Pairs that the pivots
     already prove to be answers skip the exact distance."""
     read = _probe_rows(tree, queries, tree.candidates(queries), "radius")
@@ -45,7 +51,7 @@ def range_query_ids(tree: Tree, objects: DataFrame, queries: DataFrame, max_broa
     return pairs.where(sure | (dist < F.col("radius") + ANSWER_TOLERANCE)).select("qid", "id")
 
 
-def range_query_limited(tree: Tree, objects: DataFrame, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def range_query_limited(tree: Tree, objects: Objects, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """At most one bucket per level is read; answers up to rho are complete
     (``guaranteed``), farther ones are those that happened to be read."""
     limited = limited_radius(queries, tree.rho)
@@ -68,7 +74,7 @@ def approximate_plan(tree: Tree, queries: DataFrame) -> DataFrame:
     return certified
 
 
-def range_query_approx(tree: Tree, objects: DataFrame, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def range_query_approx(tree: Tree, objects: Objects, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Answers from the query's own zone of every level: (qid, id, dist,
     guaranteed, radius_certified)."""
     plan = stage(approximate_plan(tree, queries), "approximate")
@@ -110,7 +116,7 @@ def pivot_included(objects: DataFrame, queries: DataFrame, pivots: int, max_broa
     return found.distinct() if pivots > 1 else found
 
 
-def bucket_cost(tree: Tree, objects: DataFrame, queries: DataFrame, counts: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def bucket_cost(tree: Tree, objects: Objects, queries: DataFrame, counts: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """What each query does in each bucket it reads: candidate objects there
     (from the stored counts, no scan) and those left for the exact distance
     after the pivot filter."""
@@ -127,7 +133,7 @@ def bucket_cost(tree: Tree, objects: DataFrame, queries: DataFrame, counts: Data
     )
 
 
-def query_cost(tree: Tree, objects: DataFrame, queries: DataFrame, counts: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def query_cost(tree: Tree, objects: Objects, queries: DataFrame, counts: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The same per query, with the number of buckets read; queries that read
     none keep a row. Addressing adds one distance per pivot of the tree."""
     per_bucket = bucket_cost(tree, objects, queries, counts, max_broadcast_rows)
@@ -150,11 +156,14 @@ def _probe_rows(tree: Tree, queries: DataFrame, chosen: DataFrame, radius: str)
     return stage(side.join(place, "qid"), "probes")
 
 
-def _read(tree: Tree, objects: DataFrame, probes: DataFrame, max_broadcast_rows: int) -> DataFrame:
+def _read(tree: Tree, objects: Objects, probes: DataFrame, max_broadcast_rows: int) -> DataFrame:
     """Objects of the chosen buckets next to the queries that chose them."""
-    buckets = probes.select(*BUCKET_KEYS).distinct().limit(PRUNED_BUCKETS + 1).collect()
-    if len(buckets) <= PRUNED_BUCKETS:
-        objects = objects.where(bucket_filter((r["level"], r["bucket"]) for r in buckets))
+    rows = probes.select(*BUCKET_KEYS).distinct().limit(PRUNED_BUCKETS + 1).collect()
+    wanted = [(r["level"], r["bucket"]) for r in rows] if len(rows) <= PRUNED_BUCKETS else None
+    if callable(objects):
+        objects = objects(wanted)
+    elif wanted is not None:
+        objects = objects.where(bucket_filter(wanted))
     return lookup_join(objects, probes, BUCKET_KEYS, right_split_on="qid", max_broadcast_rows=max_broadcast_rows)
 
 

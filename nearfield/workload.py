@@ -190,7 +190,7 @@ def index_roundtrip(spark, sf_dir):
     saved = built_index(spark, sf_dir)
     loaded = MetricIndex.load(spark, saved.path, METRIC)
     queries = batch(metric_objects(spark, sf_dir), 0.1)
-    return rounded(search.range_query_indexed(loaded.tree, loaded.objects(), queries), "dist")
+    return rounded(search.range_query_indexed(loaded.tree, loaded.bucket_objects, queries), "dist")
 
 
 def bucket_counts(spark, sf_dir):
@@ -403,7 +403,7 @@ def candidate_buckets_wide(spark, sf_dir):
 
 def _indexed(spark, sf_dir, radius):
     index = built_index(spark, sf_dir)
-    return index.tree, index.objects(), batch(metric_objects(spark, sf_dir), radius)
+    return index.tree, index.bucket_objects, batch(metric_objects(spark, sf_dir), radius)
 
 
 def range_query_indexed(spark, sf_dir, radius: float = 0.2):
@@ -469,7 +469,8 @@ def bucket_cost(spark, sf_dir):
 
 
 def merge_answers(spark, sf_dir):
-    tree, objects, queries = _indexed(spark, sf_dir, 0.2)
+    index, queries = built_index(spark, sf_dir), batch(metric_objects(spark, sf_dir), 0.2)
+    tree, objects = index.tree, index.objects()
     parts = [
         search.range_query_indexed(tree, objects.where(F.col("level") == number), queries)
         for number in range(len(tree.levels))

@@ -45,7 +45,7 @@ def check_whole(index, brute):
 
 def test_capacity_and_whole(index, brute):
     check_whole(index, brute)
-    for (level, bucket), n in index._counts().items():
+    for (level, bucket), n in index.counts.items():
         stuck = not index._splittable(level, bucket)
         assert n <= 120 or stuck
 
@@ -54,6 +54,7 @@ def test_capacity_and_whole(index, brute):
 def test_indexed_equals_brute_force(spark, index, brute, radius):
     q = queries(spark, brute, radius)
     assert pairs(search.range_query_indexed(index.tree, index.objects(), q)) == expected(brute, radius)
+    assert pairs(search.range_query_indexed(index.tree, index.bucket_objects, q)) == expected(brute, radius)
 
 
 def test_wide_rho_and_residual(spark, objects, brute):
@@ -131,7 +132,7 @@ def test_sampled_build_is_whole_and_within_capacity(spark, objects, brute, monke
     monkeypatch.setattr(ix, "SAMPLE_PER_BUCKET", 40)
     sampled = build(spark, objects, sample_floor=300)
     check_whole(sampled, brute)
-    assert all(n <= 120 or not sampled._splittable(*key) for key, n in sampled._counts().items())
+    assert all(n <= 120 or not sampled._splittable(*key) for key, n in sampled.counts.items())
     q = queries(spark, brute, 0.2)
     assert pairs(search.range_query_indexed(sampled.tree, sampled.objects(), q)) == expected(brute, 0.2)
 
@@ -149,15 +150,24 @@ def test_insert_load_and_delete(spark, objects, brute):
         MetricIndex.build(objects, index.path, w.METRIC)
 
     victims = objects.where(F.col("id") < 100)
-    assert buckets.delete_objects(spark, index.objects_path, victims) == victims.count()
+    assert loaded.delete(victims) == victims.count()
     left = {(qid, i) for qid, i in expected(brute, 0.2) if i >= 100}
-    assert pairs(search.range_query_indexed(loaded.tree, loaded.objects(), q)) == left
+    assert pairs(search.range_query_indexed(loaded.tree, loaded.bucket_objects, q)) == left
+    assert sum(MetricIndex.load(spark, index.path, w.METRIC).counts.values()) == objects.count() - victims.count()
+
+
+def test_only_reached_folders_are_read(spark, index, brute):
+    q = queries(spark, brute, 0.05, 1)
+    wanted = {(r["level"], r["bucket"]) for r in search.candidate_buckets(index.tree, q).collect()}
+    files = index.bucket_objects(list(wanted) + [(0, 999_999)]).inputFiles()
+    assert files and all(any(f"level={lv}/bucket={b}/" in f for lv, b in wanted) for f in files)
+    assert index.bucket_objects([(0, 999_999)]).count() == 0
 
 
 def test_equal_objects_end_in_a_final_bucket(spark):
     copies = spark.range(50).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
     index = MetricIndex.build(copies, stage_path(spark, "t-index"), VectorMetric(2), rho=0.1, limits=Limits(capacity=10, max_levels=3, max_depth=3))
-    assert index._counts() == {(0, 1): 50}
+    assert index.counts == {(0, 1): 50}
     assert index.tree.levels[0].final == {1}
 
 

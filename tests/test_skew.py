@@ -66,7 +66,7 @@ def test_batch(skewed, queries, expected, broadcast_rows):
 def test_index(spark, skewed, queries, expected):
     index = MetricIndex.build(skewed[0], stage_path(spark, "skew-index"), METRIC, rho=0.03, limits=Limits(capacity=200, max_levels=4, max_depth=5))
     assert index.objects().select("id").distinct().count() == index.objects().count() == 3000
-    biggest = max(index._counts().values())
+    biggest = max(index.counts.values())
     assert biggest >= 1001
     assert pairs(search.range_query_indexed(index.tree, index.objects(), queries)) == within(expected, 0.15)
     assert pairs(search.range_query_indexed(index.tree, index.objects(), queries, max_broadcast_rows=1)) == within(expected, 0.15)
