@@ -66,9 +66,9 @@ def _grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Map
             *[F.max(F.get("_pd", F.lit(i))).alias(f"hi{i}") for i in range(len(pivots))],
         ).first()
         # On a level that has splits already, begin where a leaf overflows.
-        depth = _first_overflow(tree.descend(measured, number), scale, target) if level.nodes else 0
+        depth = _first_overflow(tree.descend(measured, number, compiled=False), scale, target) if level.nodes else 0
         while depth < len(pivots) and depth <= level.depth:
-            placed = tree.descend(measured, number).where(F.col("_node").between(1 << depth, (2 << depth) - 1))
+            placed = tree.descend(measured, number, compiled=False).where(F.col("_node").between(1 << depth, (2 << depth) - 1))
             splits = histogram_split(
                 placed.select("_node", F.get("_pd", F.lit(depth)).alias("dist")),
                 "_node", tree.rho, ranges[f"lo{depth}"], ranges[f"hi{depth}"], limits.bins,
@@ -84,7 +84,7 @@ def _grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Map
             depth += 1
         level.pivots = pivots[: max(level.depth, len(level.pivots))]
         level.final |= {n for n in level.leaves() if depth_of(n) >= limits.max_depth}
-        rest = tree.descend(measured, number).where(F.col("_node").isNull()).select("id", *metric.columns)
+        rest = tree.descend(measured, number, compiled=False).where(F.col("_node").isNull()).select("id", *metric.columns)
         n_rest = rest.count()
     if tree.levels[-1].nodes:
         tree.levels.append(Level())

@@ -90,13 +90,18 @@ class Tree:
         # pushed below, they would repeat the whole tree expression many times.
         return placed.select(*names, F.inline(F.array("_place")))
 
-    def descend(self, df: DataFrame, level: int, pd: str = "_pd", node: str = "_node") -> DataFrame:
+    def descend(self, df: DataFrame, level: int, pd: str = "_pd", node: str = "_node", compiled: bool = True) -> DataFrame:
         """Add ``node``: the leaf that takes a row with distances ``pd``, or null
-        when a split on the way excludes it or ``pd`` is null."""
+        when a split on the way excludes it or ``pd`` is null.
+
+        ``compiled=False`` leaves the decision tree to the interpreter: slower
+        per row, but nothing to compile for a tree that is about to change."""
         tree = self.levels[level]
         if len(tree.nodes) <= CASE_NODES:
             # A decision tree as nested CASE, each node written once.
             path = F.expr(_decisions(tree.nodes, ROOT, pd))
+            if not compiled:
+                path = F.expr(f"get(transform(array({pd}), d -> {_decisions(tree.nodes, ROOT, 'd')}), 0)")
             return df.withColumn(node, F.when(in_split_code(F.col(pd).isNotNull()), path))
         df = df.withColumn(node, F.when(F.col(pd).isNotNull(), ROOT))
         for depth in range(tree.depth):
