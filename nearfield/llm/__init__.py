@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from nearfield.llm import mixing
+from nearfield.llm.mixing import op8_hash_thresholds
 from nearfield.llm.packing import op3_best_two_fit
+from nearfield.llm.quality import op1_byte_network
 from nearfield.llm.rules import op9_repetition_rules
 
-QUERIES = (op3_best_two_fit, op9_repetition_rules)
+QUERIES = (op1_byte_network, op3_best_two_fit, op8_hash_thresholds, op9_repetition_rules)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,4 +20,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(mixing.SQL)
