@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import mixing
+from nearfield.llm import mixing, topk
 from nearfield.llm.mixing import op8_hash_thresholds
 from nearfield.llm.packing import op3_best_two_fit
 from nearfield.llm.pii import op2_weak_supervision
 from nearfield.llm.quality import op1_byte_network
 from nearfield.llm.rules import op9_repetition_rules
+from nearfield.llm.topk import op7_dual_cover_tree
 
-QUERIES = (op1_byte_network, op2_weak_supervision, op3_best_two_fit, op8_hash_thresholds, op9_repetition_rules)
+QUERIES = (op1_byte_network, op2_weak_supervision, op3_best_two_fit, op7_dual_cover_tree, op8_hash_thresholds, op9_repetition_rules)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,4 +22,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(mixing.SQL)
+    return mixing.SQL | topk.SQL
