@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import mixing, topk
+from nearfield.llm.jaccard import op10_adaptive_prefixes
 from nearfield.llm.mixing import op8_hash_thresholds
 from nearfield.llm.packing import op3_best_two_fit
 from nearfield.llm.pii import op2_weak_supervision
@@ -14,7 +15,7 @@ from nearfield.llm.quality import op1_byte_network
 from nearfield.llm.rules import op9_repetition_rules
 from nearfield.llm.topk import op7_dual_cover_tree
 
-QUERIES = (op1_byte_network, op2_weak_supervision, op3_best_two_fit, op7_dual_cover_tree, op8_hash_thresholds, op9_repetition_rules)
+QUERIES = (op1_byte_network, op2_weak_supervision, op3_best_two_fit, op7_dual_cover_tree, op8_hash_thresholds, op9_repetition_rules, op10_adaptive_prefixes)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
