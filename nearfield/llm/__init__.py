@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from nearfield.llm import mixing, topk
 from nearfield.llm.jaccard import op10_adaptive_prefixes
 from nearfield.llm.lines import op4_deletion_neighbourhood
+from nearfield.llm.lm import op6_elias_fano_trie
 from nearfield.llm.mixing import op8_hash_thresholds
 from nearfield.llm.packing import op3_best_two_fit
 from nearfield.llm.pii import op2_weak_supervision
@@ -16,7 +17,7 @@ from nearfield.llm.quality import op1_byte_network
 from nearfield.llm.rules import op9_repetition_rules
 from nearfield.llm.topk import op7_dual_cover_tree
 
-QUERIES = (op1_byte_network, op2_weak_supervision, op3_best_two_fit, op4_deletion_neighbourhood, op7_dual_cover_tree, op8_hash_thresholds, op9_repetition_rules, op10_adaptive_prefixes)
+QUERIES = (op1_byte_network, op2_weak_supervision, op3_best_two_fit, op4_deletion_neighbourhood, op6_elias_fano_trie, op7_dual_cover_tree, op8_hash_thresholds, op9_repetition_rules, op10_adaptive_prefixes)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
