@@ -33,6 +33,20 @@ def encoder(path: str, spans: bool = False) -> ChunkEncoder:
     return _encoders[path, spans]
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level models write for each byte: printable ones for
+    themselves, the others in order from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def is_plain(piece: str) -> bool:
+    """A single lower-case word of Latin letters, which normalizing and cutting leave as
+    it is, so that the model alone gives its ids."""
+    return piece.isalpha() and max(piece) < "\u0180" and piece == piece.lower()
+
+
 class _Pieces(dict):
     """Numbers of pieces; new ones wait in ``new`` until they are encoded."""
 
@@ -54,6 +68,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.spans = spans
         self._clear()
 
@@ -87,21 +103,27 @@ class ChunkEncoder:
         encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
         memo, ended, at = self.memo, [], 0
         while at < len(memo.new):
-            names, which = [], []
-            while at < len(memo.new) and len(names) < ENCODE_AT_ONCE:
+            names, numbers, plain, plain_numbers = [], [], [], []
+            while at < len(memo.new) and len(names) + len(plain) < ENCODE_AT_ONCE:
                 piece = memo.new[at]
                 at += 1
                 if piece[-1:] in (".", ",") and piece[:-1].isalpha():
                     ended.append((memo[piece], memo[piece[:-1]], memo[piece[-1]], len(piece)))
+                elif is_plain(piece) and (piece.isascii() or not self.spans):
+                    plain.append(self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)))
+                    plain_numbers.append(memo[piece])
                 else:
                     names.append(piece)
-                    which.append(memo[piece])
-            found = encode(names, add_special_tokens=False)
-            ids = [x.ids for x in found]
+                    numbers.append(memo[piece])
+            found = encode(names, add_special_tokens=False) if names else []
+            ids = [[t.id for t in tokens] for tokens in plain] + [x.ids for x in found]
             count = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
-            offsets = np.array([y for x in found for y in x.offsets], np.int32).reshape(-1, 2) if self.spans else None
-            self._store(np.array(which, np.int64), count, flat, offsets)
+            offsets = None
+            if self.spans:
+                offsets = [t.offsets for tokens in plain for t in tokens] + [y for x in found for y in x.offsets]
+                offsets = np.array(offsets, np.int32).reshape(-1, 2)
+            self._store(np.array(plain_numbers + numbers, np.int64), count, flat, offsets)
         memo.new = []
         if ended:
             whole, word, mark, size = np.array(ended).T
