@@ -49,6 +49,12 @@ class Metric:
     """A distance over named descriptor columns, given with their SQL types."""
 
     types: Mapping[str, str] = {}
+    length: int | None = None
+
+    @property
+    def name(self) -> str:
+        """What tells metrics over the same objects apart; stored with an index."""
+        return f"{type(self).__name__}({', '.join(self.types)}; {self.length})"
 
     @property
     def columns(self) -> tuple[str, ...]:

@@ -13,7 +13,7 @@ from nearfield.functions.distances import Metric, columns, distances_to
 
 SAMPLE_ROWS = 512
 CANDIDATES = 32
-_HASH_SPAN = 1 << 20
+_HASH_SPAN = 1 << 40
 
 
 def hash_key(seed: int) -> Column:

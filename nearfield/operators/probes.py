@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from nearfield.functions.distances import CompositeMetric, Metric, columns, distances_to
-from nearfield.session import bounded_rows
+from nearfield.schema import PRUNE_SLACK
 
 MAX_PROBES = 64
 
@@ -23,10 +23,6 @@ def smallest_ids(objects: DataFrame, n: int) -> list[Row]:
     return objects.orderBy("id").limit(n).collect()
 
 
-def probe_rows(probes: DataFrame) -> list[Row]:
-    return bounded_rows(probes, MAX_PROBES, "probes")
-
-
 def distance_report(objects: DataFrame, probe: Row, metric: Metric) -> DataFrame:
     """Distance of every object to one given object."""
     dist = metric.distance(columns(metric), metric.literal(probe))
@@ -68,7 +64,8 @@ def pivot_gap_at_most(a: Column, b: Column, radius: Column, pivots: int) -> Colu
     keep = F.lit(True)
     for i in range(pivots):
         gap = F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i)))
-        keep = keep & F.coalesce(gap <= radius, F.lit(True))
+        slack = PRUNE_SLACK * (1 + radius + F.abs(F.get(b, F.lit(i))))
+        keep = keep & F.coalesce(gap <= radius + slack, F.lit(True))
     return keep
 
 

@@ -58,9 +58,8 @@ class Grid:
         cells = F.array(F.lit(0))
         for axis, pivot in enumerate(self.pivots):
             dist = metric.distance(side, metric.literal(pivot))
-            reach = F.sequence(
-                self._bin(dist - radius - PRUNE_SLACK, axis), self._bin(dist + radius + PRUNE_SLACK, axis)
-            )
+            far = radius + PRUNE_SLACK * (1 + dist + radius)
+            reach = F.sequence(self._bin(dist - far, axis), self._bin(dist + far, axis))
             reach = F.when(metric.complete(side), reach).otherwise(whole)
             cells = F.flatten(F.transform(cells, _extend(reach, self.bins)))
         return F.array_append(cells, F.lit(-1))
@@ -105,6 +104,11 @@ def range_query_batch(
     return found.select("qid", "id", "dist")
 
 
+def loosened(dist):
+    """A distance with room for float error, so that ties with it stay inside."""
+    return dist + PRUNE_SLACK * (1 + dist)
+
+
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The ``k`` best rows per query by (distance, id). Spark keeps only ``k``
     rows per query and task before the shuffle."""
@@ -140,7 +144,7 @@ def _with_knn_radius(objects: DataFrame, queries: DataFrame, k: int, metric: Met
         if not kth:
             return queries.withColumn("radius", unbounded)
         # The slack keeps distances that tie with the bound after rounding.
-        known = F.create_map(*[F.lit(x) for i, d in kth.items() for x in (probes[i]["qid"], d + PRUNE_SLACK)])
+        known = F.create_map(*[F.lit(x) for i, d in kth.items() for x in (probes[i]["qid"], loosened(d))])
         return queries.withColumn("radius", F.coalesce(F.try_element_at(known, F.col("qid")), unbounded))
 
     # Many queries: d(q, o) <= d(q, p) + d(p, o), so a pivot with k objects close
@@ -152,14 +156,14 @@ def _with_knn_radius(objects: DataFrame, queries: DataFrame, k: int, metric: Met
     bound = unbounded
     if kth:
         known = sorted(kth)
-        spread = F.array(*[F.lit(kth[i] + PRUNE_SLACK) for i in known])
+        spread = F.array(*[F.lit(loosened(kth[i])) for i in known])
         near = distances_to(metric, [pivots[i] for i in known], side, looped=True)
         best = F.array_min(F.zip_with(near, spread, lambda d, s: d + s))
         bound = F.when(metric.complete(side), best).otherwise(unbounded)
     rows = stage(queries.withColumn("radius", bound), "knn-radius")
     thin = objects.where(F.pmod(hash_key(0), F.lit(64)) == 0)
     closer = range_query_batch(thin, rows, metric)
-    tight = nearest(closer, k).where(F.col("rank") == k).select("qid", (F.col("dist") + PRUNE_SLACK).alias("_tight"))
+    tight = nearest(closer, k).where(F.col("rank") == k).select("qid", loosened(F.col("dist")).alias("_tight"))
     tighter = rows.join(tight, "qid", "left").withColumn("radius", F.least("radius", "_tight")).drop("_tight")
     return stage(tighter, "knn-radius")
 

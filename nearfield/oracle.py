@@ -180,11 +180,11 @@ def oracle_sql() -> dict[str, str]:
         "query_cost": reached(0.1) + """, m AS (SELECT c.qid, c.level, c.bucket, ad.d0, ad.d1, qq.d0 AS e0, qq.d1 AS e1
             FROM c JOIN ad USING (level, bucket) JOIN qq USING (qid))
           SELECT c.qid, count(*) AS buckets, coalesce(any_value(k.candidates), 0) AS candidates, coalesce(any_value(k.after_filter), 0) AS after_filter
-          FROM c LEFT JOIN (SELECT qid, count(*) AS candidates, count(*) FILTER (level = 1 OR (abs(d0 - e0) <= 0.1 AND abs(d1 - e1) <= 0.1))
+          FROM c LEFT JOIN (SELECT qid, count(*) AS candidates, count(*) FILTER (abs(d0 - e0) <= 0.1 AND abs(d1 - e1) <= 0.1)
             AS after_filter FROM m GROUP BY qid) k USING (qid) GROUP BY c.qid""",
         "query_cost_by_bucket": reached(0.1) + """, k AS (SELECT level, bucket, count(*) AS n FROM ad GROUP BY ALL)
           SELECT c.qid, c.level, c.bucket, coalesce(any_value(k.n), 0) AS candidates, count(*) FILTER (ad.id IS NOT NULL AND
-            (c.level = 1 OR (abs(ad.d0 - qq.d0) <= 0.1 AND abs(ad.d1 - qq.d1) <= 0.1))) AS after_filter
+            abs(ad.d0 - qq.d0) <= 0.1 AND abs(ad.d1 - qq.d1) <= 0.1) AS after_filter
           FROM c JOIN qq USING (qid) LEFT JOIN k USING (level, bucket) LEFT JOIN ad ON ad.level = c.level AND ad.bucket = c.bucket
           GROUP BY c.qid, c.level, c.bucket""",
         "merge_answers": indexed,

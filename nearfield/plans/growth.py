@@ -5,9 +5,10 @@ aggregation over it; only one row per overflowing node reaches the driver."""
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from nearfield.functions.distances import Metric, columns, distances_to
 from nearfield.operators.pivots import incremental_pivots, sample_objects
 from nearfield.operators.splits import histogram_split
-from nearfield.plans.tree import ROOT, Level, Tree, depth_of, in_split_code
-from nearfield.session import Stages
+from nearfield.plans.tree import MAX_NODES, ROOT, Level, Tree, depth_of, in_split_code
+from nearfield.session import Stages, bounded_rows
 
 # A leaf seen through fewer sampled objects than this is not split on a guess.
 MIN_SAMPLED = 32
@@ -26,12 +27,21 @@ HEADROOM = 0.8
 
 @dataclass(frozen=True)
 class Limits:
+    """``max_levels`` and ``max_depth`` follow from the number of objects where they
+    are 0: deep enough for all buckets to fit even if every split and every level
+    takes only part of what it is given."""
+
     capacity: int = 1_000_000
-    max_levels: int = 12
-    max_depth: int = 12
+    max_levels: int = 0
+    max_depth: int = 0
     seed: int = 0
     bins: int = 4096
 
+    def sized(self, total: int) -> Limits:
+        """The limits for ``total`` objects."""
+        least = math.ceil(math.log2(max(1.0, total / max(1, self.capacity)))) + 2
+        return replace(self, max_levels=self.max_levels or least, max_depth=self.max_depth or least)
+
 
 def grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Mapping[tuple[int, int], int]) -> None:
     """Extend ``tree`` in place until no leaf is expected to overflow.
@@ -73,7 +83,8 @@ def _grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Map
                 placed.select("_node", F.get("_pd", F.lit(depth)).alias("dist")),
                 "_node", tree.rho, ranges[f"lo{depth}"], ranges[f"hi{depth}"], limits.bins,
             )
-            for s in splits.where((F.col("n") * scale > target) & (F.col("n") >= least)).collect():
+            full = splits.where((F.col("n") * scale > target) & (F.col("n") >= least))
+            for s in bounded_rows(full, MAX_NODES, "full buckets"):
                 node = s["_node"]
                 if kept.get((number, node), 0) or node in level.final:
                     continue
@@ -83,7 +94,7 @@ def _grow(tree: Tree, sample: DataFrame, scale: float, limits: Limits, kept: Map
                     level.nodes[node] = (s["in_upper"], s["in_upper"] + 2 * tree.rho)
             depth += 1
         level.pivots = pivots[: max(level.depth, len(level.pivots))]
-        level.final |= {n for n in level.leaves() if depth_of(n) >= limits.max_depth}
+        tree.check_size()
         rest = tree.descend(measured, number, compiled=False).where(F.col("_node").isNull()).select("id", *metric.columns)
         n_rest = rest.count()
     if tree.levels[-1].nodes:

@@ -4,7 +4,10 @@ describe the tree. Built, extended, saved and loaded by ordinary Spark jobs."""
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from copy import deepcopy
 from dataclasses import replace
 
 import pyarrow as pa
@@ -16,19 +19,25 @@ from nearfield.functions.distances import Metric
 from nearfield.operators.pivots import hash_fraction, hash_key
 from nearfield.plans.growth import Limits, grow
 from nearfield.plans.tree import MAX_NODES, Level, Tree, depth_of
-from nearfield.session import Stages, bounded_rows, local_table, path_exists
-from nearfield.sources.buckets import append_buckets, bucket_filter, delete_objects, drop_buckets, read_buckets
+from nearfield.session import Stages, bounded_rows, folder_names, local_table, lookup_join, path_exists, remove_path
+from nearfield.sources.buckets import append_buckets, doomed_ids
 
 SAMPLE_FLOOR = 1_000_000
 SAMPLE_PER_BUCKET = 200
+# A bucket whose objects lie in more batches than this is written anew.
+MAX_BATCHES = 16
+MAX_FOLDERS = MAX_NODES * MAX_BATCHES
 
 
 class MetricIndex:
     """An index over a stored object table.
 
-    ``path/objects`` is Parquet partitioned by level and bucket; ``path/nodes``,
-    ``path/pivots``, ``path/buckets`` (object counts) and ``path/meta`` describe
-    it. One writer at a time."""
+    ``path/objects`` holds Parquet written batch by batch, partitioned by level and
+    bucket. ``path/v=N`` describes version N: the tree (``nodes``, ``pivots``), which
+    batch holds how many objects of which bucket (``buckets``), and ``meta``, which is
+    written last and makes the version count. A change only adds folders and then a
+    version, so a job that fails leaves the last version whole. What a version no longer
+    needs is removed when the next change succeeds. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, tree: Tree, limits: Limits, fields: Sequence[T.StructField]):
         self.spark = spark
@@ -36,7 +45,19 @@ class MetricIndex:
         self.tree = tree
         self.limits = limits
         self.fields = list(fields)
-        self.counts: dict[tuple[int, int], int] = {}
+        self.version = 0
+        # Changes with the tree; rows placed by another tree have to be placed again.
+        self.tree_version = 0
+        # (level, bucket) -> batch -> objects
+        self.parts: dict[tuple[int, int], dict[str, int]] = {}
+        # Names of input batches that are in the index already.
+        self.taken: set[str] = set()
+        self._unused: list[str] = []
+
+    @property
+    def counts(self) -> dict[tuple[int, int], int]:
+        """Stored objects per bucket."""
+        return {key: sum(batches.values()) for key, batches in self.parts.items()}
 
     # -- building --------------------------------------------------------
 
@@ -58,13 +79,13 @@ class MetricIndex:
         pivots lead the first level only: what their splits exclude lies in the
         middle of those very splits, so they could not divide it again."""
         spark = objects.sparkSession
-        if path_exists(spark, f"{path}/meta"):
+        if latest_version(spark, path) is not None:
             raise ValueError(f"an index exists at {path}")
-        tree = Tree(metric, rho, [Level(list(fixed_pivots)[: limits.max_depth])])
-        objects = objects.select("id", *metric.columns)
-        index = cls(spark, path, tree, limits, objects.schema.fields)
-        objects = metric.validated(objects)
+        objects = metric.validated(objects.select("id", *metric.columns))
         total = objects.count()
+        sized = limits.sized(total)
+        tree = Tree(metric, rho, [Level(list(fixed_pivots)[: sized.max_depth])])
+        index = cls(spark, path, tree, limits, objects.schema.fields)
         wanted = max(sample_floor, SAMPLE_PER_BUCKET * math.ceil(total / limits.capacity))
         sample = hash_fraction(objects, wanted, total, hash_key(limits.seed))
         scale = 1.0
@@ -72,8 +93,10 @@ class MetricIndex:
             if wanted < total:
                 sample = stage(sample, "build-sample")
                 scale = max(1.0, total / max(1, sample.count()))
-            grow(tree, sample, scale, limits, {})
-        append_buckets(tree.assign(objects), index.objects_path)
+            else:
+                sample = objects = stage(objects, "build-objects")
+            grow(tree, sample, scale, sized, {})
+            index._write(tree.assign(objects))
         index._split_overflow()
         index.save()
         return index
@@ -81,28 +104,73 @@ class MetricIndex:
     @classmethod
     def open_or_build(cls, objects: DataFrame, path: str, metric: Metric, **options) -> MetricIndex:
         """Load a saved index when there is one, build it otherwise."""
-        if path_exists(objects.sparkSession, f"{path}/meta"):
+        if latest_version(objects.sparkSession, path) is not None:
             return cls.load(objects.sparkSession, path, metric)
         return cls.build(objects, path, metric, **options)
 
     # -- extending -------------------------------------------------------
 
-    def insert(self, batch: DataFrame) -> int:
-        """Add objects, splitting buckets that overflow; returns how many."""
-        with Stages(self.spark) as stage:
+    @contextmanager
+    def _change(self) -> Iterator[None]:
+        """A change that is saved as a whole or, on a failure, forgotten."""
+        before = deepcopy((self.parts, self.tree.levels, self.taken, self.tree_version))
+        self._unused = []
+        try:
+            yield
+            self.save()
+        except BaseException:
+            self.parts, self.tree.levels, self.taken, self.tree_version = before
+            self._unused = []
+            raise
+
+    def insert(self, batch: DataFrame, names: Sequence[str] = ()) -> int:
+        """Add objects, splitting buckets that overflow; returns how many.
+
+        ``names`` are what the caller calls the batches that the objects come
+        from; if all of them were inserted before, nothing is added."""
+        if names and self.taken.issuperset(names):
+            return 0
+        with self._change(), Stages(self.spark) as stage:
             batch = stage(batch.select("id", *self.tree.metric.columns), "insert")
-            append_buckets(self.tree.assign(batch), self.objects_path)
-            added = batch.count()
-        self._split_overflow()
-        self.save()
+            added = self._write(self.tree.assign(batch))
+            self.taken.update(names)
+            self._split_overflow()
+            self._compact()
         return added
 
+    def _write(self, placed: DataFrame) -> int:
+        """Write placed objects as a batch and count them by bucket there."""
+        batch = uuid.uuid4().hex[:16]
+        path = f"{self.objects_path}/batch={batch}"
+        append_buckets(placed, path)
+        if not path_exists(self.spark, path):
+            return 0
+        written = self.spark.read.schema(stored_schema(self.fields)).parquet(path)
+        counts = bounded_rows(written.groupBy("level", "bucket").agg(F.count("*").alias("n")), MAX_NODES, "buckets")
+        for r in counts:
+            self.parts.setdefault((r["level"], r["bucket"]), {})[batch] = r["n"]
+        return sum(r["n"] for r in counts)
+
+    def _leave(self, keys: Iterable[tuple[int, int]]) -> None:
+        """Forget what is stored of some buckets; the files go after the save."""
+        for level, bucket in keys:
+            for batch in self.parts.pop((level, bucket), {}):
+                self._unused.append(f"{self.objects_path}/batch={batch}/level={level}/bucket={bucket}")
+
+    def _compact(self) -> None:
+        """Rewrite buckets whose objects lie in many batches."""
+        many = [key for key, batches in self.parts.items() if len(batches) > MAX_BATCHES]
+        if many:
+            with Stages(self.spark) as stage:
+                held = stage(self.bucket_objects(many), "compact")
+                self._leave(many)
+                self._write(held)
+
     def _split_overflow(self) -> None:
         """Split stored buckets above capacity until none is left that a split
         can make smaller. Only their partitions are read and rewritten; what a
         split excludes moves to later levels and may overflow those in turn."""
-        for _ in range(self.limits.max_levels * self.limits.max_depth):
-            self.refresh()
+        while True:
             counts = self.counts
             over = [key for key, n in counts.items() if n > self.limits.capacity and self._splittable(*key)]
             if not over:
@@ -116,35 +184,42 @@ class MetricIndex:
                         self.tree.levels[level].final.add(bucket)
                 if sum(len(lv.nodes) for lv in self.tree.levels) == before:
                     return
-                # Only the buckets that did get split are rewritten; new rows
-                # are in place before the old partitions go.
-                moving = self.objects().where(bucket_filter(split)).select("id", *self.tree.metric.columns)
-                append_buckets(self.tree.assign(stage(moving, "moving")), self.objects_path)
-                drop_buckets(self.spark, self.objects_path, split)
-        self.refresh()
+                self.tree_version += 1
+                moving = stage(self.bucket_objects(split).select("id", *self.tree.metric.columns), "moving")
+                self._leave(split)
+                self._write(self.tree.assign(moving))
 
     def _regrow(self, over: Sequence[tuple[int, int]], counts: Mapping[tuple[int, int], int], stage: Stages) -> None:
         """Grow the tree below the overflowing buckets."""
-        held = self.objects().where(bucket_filter(over)).select("id", *self.tree.metric.columns)
+        held = self.bucket_objects(over).select("id", *self.tree.metric.columns)
         total = sum(counts[key] for key in over)
         wanted = max(SAMPLE_FLOOR, SAMPLE_PER_BUCKET * math.ceil(total / self.limits.capacity))
         sample = stage(hash_fraction(held, wanted, total, hash_key(self.limits.seed)), "overflow")
         kept = {key: n for key, n in counts.items() if key not in set(over)}
-        grow(self.tree, sample, max(1.0, total / wanted), self.limits, kept)
+        grow(self.tree, sample, max(1.0, total / wanted), self._sized(), kept)
+
+    def _sized(self) -> Limits:
+        return self.limits.sized(sum(self.counts.values()))
 
     def _splittable(self, level: int, bucket: int) -> bool:
-        return (
-            level + 1 < self.limits.max_levels
-            and depth_of(bucket) < self.limits.max_depth
-            and bucket not in self.tree.levels[level].final
-        )
+        sized = self._sized()
+        return level + 1 < sized.max_levels and depth_of(bucket) < sized.max_depth and bucket not in self.tree.levels[level].final
 
     def delete(self, victims: DataFrame, by: Sequence[str] = ("id",), limit: int | None = None) -> int:
-        """Remove objects equal to the given ones; returns how many went."""
-        gone = delete_objects(self.spark, self.objects_path, victims, by, limit)
-        self.refresh()
-        self.save()
-        return gone
+        """Remove objects equal to the given ones; returns how many went. Only
+        the buckets that hold some are written anew."""
+        with self._change(), Stages(self.spark) as stage:
+            stored = self.objects()
+            doomed = doomed_ids(stored, victims, by, limit)
+            gone = stage(lookup_join(stored.select("id", "level", "bucket"), doomed, ["id"], "left_semi"), "delete-gone")
+            rows = bounded_rows(gone.select("level", "bucket").distinct(), MAX_NODES, "buckets")
+            touched = [(r["level"], r["bucket"]) for r in rows]
+            if touched:
+                left = lookup_join(self.bucket_objects(touched), gone.select("id"), ["id"], "left_anti")
+                left = stage(left, "delete-survivors")
+                self._leave(touched)
+                self._write(left)
+            return gone.count()
 
     # -- reading ---------------------------------------------------------
 
@@ -153,23 +228,22 @@ class MetricIndex:
         return f"{self.path}/objects"
 
     def objects(self) -> DataFrame:
-        return read_buckets(self.spark, self.objects_path, stored_schema(self.fields))
+        return self.bucket_objects(list(self.parts))
 
-    def bucket_objects(self, wanted: Sequence[tuple[int, int]] | None = None) -> DataFrame:
+    def bucket_objects(self, wanted: Sequence[tuple[int, int]]) -> DataFrame:
         """Objects of the wanted buckets only. Their folders are named one by
         one, so a query does not list an index of very many buckets."""
-        if wanted is None:
-            return self.objects()
         schema = stored_schema(self.fields)
-        paths = [f"{self.objects_path}/level={lv}/bucket={b}" for lv, b in sorted(set(wanted) & self.counts.keys())]
+        paths = [
+            f"{self.objects_path}/batch={batch}/level={lv}/bucket={b}"
+            for lv, b in sorted(set(wanted) & self.parts.keys())
+            for batch in sorted(self.parts[lv, b])
+        ]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self.objects_path).parquet(*paths)
-
-    def refresh(self) -> None:
-        """Count the stored objects again; reads the partition keys only."""
-        counts = self.objects().groupBy("level", "bucket").agg(F.count("*").alias("n"))
-        self.counts = {(r["level"], r["bucket"]): r["n"] for r in bounded_rows(counts, MAX_NODES, "buckets")}
+        whole = T.StructType([*schema, T.StructField("batch", T.StringType())])
+        read = self.spark.read.schema(whole).option("basePath", self.objects_path).parquet(*paths)
+        return read.select(*schema.names)
 
     def bucket_counts(self) -> DataFrame:
         """Stored objects per bucket, as of the last change through the index."""
@@ -180,11 +254,20 @@ class MetricIndex:
     # -- saving and loading ----------------------------------------------
 
     def save(self) -> None:
-        """Write the describing tables; ``meta`` last, as it marks a whole index."""
-        tree, limits = self.tree, self.limits
-        tree.nodes_table(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/nodes")
-        pivots_table(self.spark, tree, self.fields).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pivots")
-        self.bucket_counts().coalesce(1).write.mode("overwrite").parquet(f"{self.path}/buckets")
+        """Write the next version, ``meta`` last; then drop what the version
+        before it left unused, and versions older than that."""
+        tree, limits, metric = self.tree, self.limits, self.tree.metric
+        tree.check_size()
+        version = (latest_version(self.spark, self.path) or 0) + 1
+        at = f"{self.path}/v={version}"
+        tree.nodes_table(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{at}/nodes")
+        pivots_table(self.spark, tree, self.fields).coalesce(1).write.mode("overwrite").parquet(f"{at}/pivots")
+        parts = [(*key, batch, n) for key, batches in sorted(self.parts.items()) for batch, n in sorted(batches.items())]
+        kinds = {"level": pa.int32(), "bucket": pa.int32(), "batch": pa.string(), "n": pa.int64()}
+        table = {name: ([r[i] for r in parts], kind) for i, (name, kind) in enumerate(kinds.items())}
+        local_table(self.spark, table).coalesce(1).write.mode("overwrite").parquet(f"{at}/buckets")
+        for name, values in (("taken", sorted(self.taken)), ("unused", self._unused)):
+            local_table(self.spark, {"name": (values, pa.string())}).coalesce(1).write.mode("overwrite").parquet(f"{at}/{name}")
         meta = {
             "rho": ([tree.rho], pa.float64()),
             "levels": ([len(tree.levels)], pa.int32()),
@@ -193,19 +276,34 @@ class MetricIndex:
             "max_depth": ([limits.max_depth], pa.int32()),
             "seed": ([limits.seed], pa.int64()),
             "bins": ([limits.bins], pa.int32()),
+            "tree_version": ([self.tree_version], pa.int64()),
+            "metric": ([metric.name], pa.string()),
         }
-        local_table(self.spark, meta).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
+        local_table(self.spark, meta).coalesce(1).write.mode("overwrite").parquet(f"{at}/meta")
+        self.version = version
+        # The version just left may still be in use; the one before it is not.
+        before = f"{self.path}/v={version - 1}"
+        if path_exists(self.spark, f"{before}/unused"):
+            for r in bounded_rows(self.spark.read.parquet(f"{before}/unused"), MAX_FOLDERS, "unused folders"):
+                remove_path(self.spark, r["name"])
+        remove_path(self.spark, f"{self.path}/v={version - 2}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, metric: Metric) -> MetricIndex:
-        meta = spark.read.parquet(f"{path}/meta").first()
+        version = latest_version(spark, path)
+        if version is None:
+            raise ValueError(f"no index at {path}")
+        at = f"{path}/v={version}"
+        meta = spark.read.parquet(f"{at}/meta").first()
+        if meta["metric"] != metric.name:
+            raise ValueError(f"the index at {path} was built with {meta['metric']}, not {metric.name}")
         levels = [Level() for _ in range(meta["levels"])]
-        for r in bounded_rows(spark.read.parquet(f"{path}/nodes"), MAX_NODES, "tree nodes"):
+        for r in bounded_rows(spark.read.parquet(f"{at}/nodes"), MAX_NODES, "tree nodes"):
             if r["bucket"] is None:
                 levels[r["level"]].nodes[r["node"]] = (r["in_upper"], r["out_lower"])
             elif r["final"]:
                 levels[r["level"]].final.add(r["node"])
-        stored_pivots = spark.read.parquet(f"{path}/pivots")
+        stored_pivots = spark.read.parquet(f"{at}/pivots")
         pivots = bounded_rows(stored_pivots, MAX_NODES, "pivots")
         for r in sorted(pivots, key=lambda r: (r["level"], r["pivot_idx"])):
             levels[r["level"]].pivots.append(r)
@@ -213,13 +311,22 @@ class MetricIndex:
         limits = replace(Limits(), **{n: meta[n] for n in names})
         fields = [stored_pivots.schema[n] for n in ("id", *metric.columns)]
         index = cls(spark, path, Tree(metric, meta["rho"], levels), limits, fields)
-        counts = bounded_rows(spark.read.parquet(f"{path}/buckets"), MAX_NODES, "buckets")
-        index.counts = {(r["level"], r["bucket"]): r["n"] for r in counts}
+        index.version, index.tree_version = version, meta["tree_version"]
+        for r in bounded_rows(spark.read.parquet(f"{at}/buckets"), MAX_FOLDERS, "bucket folders"):
+            index.parts.setdefault((r["level"], r["bucket"]), {})[r["batch"]] = r["n"]
+        index.taken = {r["name"] for r in bounded_rows(spark.read.parquet(f"{at}/taken"), MAX_FOLDERS, "batch names")}
         return index
 
 
+def latest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest version that was written to its end."""
+    numbers = [int(name[2:]) for name in folder_names(spark, path) if name.startswith("v=")]
+    whole = [n for n in numbers if path_exists(spark, f"{path}/v={n}/meta/_SUCCESS")]
+    return max(whole, default=None)
+
+
 def stored_schema(fields: Sequence[T.StructField]) -> T.StructType:
-    place = [("pd", T.ArrayType(T.DoubleType())), ("level", T.IntegerType()), ("bucket", T.IntegerType())]
+    place = [("pd", T.ArrayType(T.ArrayType(T.DoubleType()))), ("level", T.IntegerType()), ("bucket", T.IntegerType())]
     return T.StructType([*fields, *[T.StructField(n, t) for n, t in place]])
 
 

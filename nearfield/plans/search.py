@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from nearfield.functions.distances import columns
 from nearfield.operators.probes import pivot_gap_at_most, pivot_sum_at_most
-from nearfield.plans.tree import Tree
+from nearfield.plans.tree import MAX_NODES, Tree
 from nearfield.schema import ANSWER_TOLERANCE, PRUNE_SLACK
-from nearfield.session import BROADCAST_ROWS, lookup_join, stage
+from nearfield.session import BROADCAST_ROWS, bounded_rows, lookup_join, stage
 from nearfield.sources.buckets import bucket_filter
 
-# Above this many distinct buckets a scan filter is not worth its length.
+# Above this many distinct buckets a scan filter is not worth its length, and a
+# table is narrowed by a join with the list instead.
 PRUNED_BUCKETS = 10_000
 
+# A pivot filter over more pivots than this loops instead of being written out.
+UNROLLED_PIVOTS = 64
+
 BUCKET_KEYS = ["level", "bucket"]
 
 # Placed objects as a table, or a function that gives the table of some buckets
@@ -47,7 +51,10 @@ def range_query_ids(tree: Tree, objects: Objects, queries: DataFrame, max_broadc
     read = _probe_rows(tree, queries, tree.candidates(queries), "radius")
     pairs = _filtered(tree, _read(tree, objects, read, max_broadcast_rows))
     dist = tree.metric.distance(columns(tree.metric), columns(tree.metric, "q_"))
-    sure = pivot_sum_at_most(F.col("pd"), F.col("q_pd"), F.col("radius"), tree.max_pivots)
+    sure = F.lit(False)
+    for number, level in enumerate(tree.levels):
+        pd, q_pd = F.get("pd", F.lit(number)), F.get("q_pd", F.lit(number))
+        sure = sure | pivot_sum_at_most(pd, q_pd, F.col("radius"), len(level.pivots))
     return pairs.where(sure | (dist < F.col("radius") + ANSWER_TOLERANCE)).select("qid", "id")
 
 
@@ -69,7 +76,7 @@ def approximate_plan(tree: Tree, queries: DataFrame) -> DataFrame:
     left_out = F.when(~F.col("own"), F.col("gap"))
     certified = reached.groupBy("qid").agg(
         F.min(left_out).alias("radius_certified"),
-        F.collect_list(F.when(F.col("own"), F.struct("level", "bucket", "pd"))).alias("read"),
+        F.collect_list(F.when(F.col("own"), F.struct("level", "bucket", "pds"))).alias("read"),
     )
     return certified
 
@@ -152,24 +159,34 @@ def _probe_rows(tree: Tree, queries: DataFrame, chosen: DataFrame, radius: str)
     """The query side of the bucket join: one row per (query, bucket)."""
     renamed = [F.col(c).alias("q_" + c) for c in tree.metric.columns]
     side = queries.select("qid", F.col(radius).alias("radius"), *renamed)
-    place = chosen.select("qid", *BUCKET_KEYS, F.col("pd").alias("q_pd"))
+    place = chosen.select("qid", *BUCKET_KEYS, F.col("pds").alias("q_pd"))
     return stage(side.join(place, "qid"), "probes")
 
 
 def _read(tree: Tree, objects: Objects, probes: DataFrame, max_broadcast_rows: int) -> DataFrame:
     """Objects of the chosen buckets next to the queries that chose them."""
-    rows = probes.select(*BUCKET_KEYS).distinct().limit(PRUNED_BUCKETS + 1).collect()
-    wanted = [(r["level"], r["bucket"]) for r in rows] if len(rows) <= PRUNED_BUCKETS else None
+    reached = probes.select(*BUCKET_KEYS).distinct()
+    wanted = [(r["level"], r["bucket"]) for r in bounded_rows(reached, MAX_NODES, "buckets")]
     if callable(objects):
         objects = objects(wanted)
-    elif wanted is not None:
+    elif len(wanted) <= PRUNED_BUCKETS:
         objects = objects.where(bucket_filter(wanted))
+    else:  # at most as many rows as the tree has leaves
+        objects = objects.join(F.broadcast(reached), BUCKET_KEYS, "left_semi")
     return lookup_join(objects, probes, BUCKET_KEYS, right_split_on="qid", max_broadcast_rows=max_broadcast_rows)
 
 
 def _filtered(tree: Tree, pairs: DataFrame) -> DataFrame:
-    reach = F.col("radius") + PRUNE_SLACK
-    return pairs.where(pivot_gap_at_most(F.col("pd"), F.col("q_pd"), reach, tree.max_pivots))
+    """Pairs that no pivot of any level both sides know proves too far apart."""
+    if sum(len(level.pivots) for level in tree.levels) > UNROLLED_PIVOTS:
+        slack = f"radius + {PRUNE_SLACK!r}D * (1D + radius + abs(y))"
+        level = f"forall(zip_with(a, b, (x, y) -> coalesce(abs(x - y) <= {slack}, true)), ok -> ok)"
+        return pairs.where(F.expr(f"coalesce(forall(zip_with(pd, q_pd, (a, b) -> coalesce({level}, true)), ok -> ok), true)"))
+    keep = F.lit(True)
+    for number, level in enumerate(tree.levels):
+        pd, q_pd = F.get("pd", F.lit(number)), F.get("q_pd", F.lit(number))
+        keep = keep & pivot_gap_at_most(pd, q_pd, F.col("radius"), len(level.pivots))
+    return pairs.where(keep)
 
 
 def _refine(tree: Tree, pairs: DataFrame) -> DataFrame:

@@ -30,7 +30,9 @@ LITERAL_SLOTS = 1024
 MAX_NODES = 500_000
 
 
-_PLACE = "struct<level int, bucket int, pd array<double>>"
+# Distances to the pivots of the levels an object has passed, a list per level.
+ALL_LEVELS = "array<array<double>>"
+_PLACE = f"struct<level int, bucket int, pd {ALL_LEVELS}>"
 
 
 def depth_of(node: int) -> int:
@@ -69,21 +71,24 @@ class Tree:
     # -- placing objects -------------------------------------------------
 
     def assign(self, objects: DataFrame) -> DataFrame:
-        """Add level, bucket and pd (distances to the level's pivots) to every
-        object: the first level that does not exclude it takes it.
+        """Add level, bucket and pd to every object: the first level that does
+        not exclude it takes it. ``pd`` keeps its distances to the pivots of that
+        level and of all levels before it.
 
         A few projections per level; the input is neither moved nor read twice,
         and a level's distances are computed only for objects still open."""
         side = columns(self.metric)
         names = objects.columns
         placed = self.metric.validated(objects).withColumn("_place", F.lit(None).cast(_PLACE))
+        placed = placed.withColumn("_known", F.array().cast(ALL_LEVELS))
         for number, level in enumerate(self.levels):
             open_ = in_split_code(F.col("_place").isNull())
             placed = placed.withColumn("_pd", F.when(open_, distances_to(self.metric, level.pivots, side, checked=False)))
             placed = self.descend(placed, number)
+            placed = placed.withColumn("_known", F.when(open_, F.array_append("_known", F.col("_pd"))))
             here = F.when(
                 F.col("_node").isNotNull(),
-                F.struct(F.lit(number).alias("level"), F.col("_node").alias("bucket"), F.col("_pd").alias("pd")),
+                F.struct(F.lit(number).alias("level"), F.col("_node").alias("bucket"), F.col("_known").alias("pd")),
             )
             placed = placed.withColumn("_place", F.coalesce("_place", here)).drop("_pd", "_node")
         # Generated columns keep filters on level and bucket above this point;
@@ -121,12 +126,12 @@ class Tree:
         """Buckets that a query ball reaches, before stopping rules.
 
         Adds to each query row: level, bucket, pd (the query's distances to that
-        level's pivots), contains (the ball lies inside the bucket), own (the
+        level's pivots), pds (to those of all levels), contains (the ball lies inside the bucket), own (the
         query object itself lies in it) and gap (how far outside it lies)."""
         side = columns(self.metric)
         by_level = F.array(*[distances_to(self.metric, lv.pivots, side, looped=True) for lv in self.levels])
         rows = queries.withColumn("_levels", by_level)
-        rows = rows.select(*queries.columns, F.posexplode("_levels").alias("level", "pd"))
+        rows = rows.select(*queries.columns, F.col("_levels").alias("pds"), F.posexplode("_levels").alias("level", "pd"))
         keep = rows.columns
         depths, levels = max(lv.depth for lv in self.levels), range(len(self.levels))
         literal = 0
@@ -157,11 +162,33 @@ class Tree:
     def candidates(self, queries: DataFrame) -> DataFrame:
         """Buckets each query must read. Levels after one whose bucket contains
         the whole ball are left out; a level whose exclusion zone contains the
-        ball has no touched bucket to begin with."""
+        ball has no touched bucket to begin with. A query that lacks a
+        descriptor obeys no triangle inequality: it reads every bucket, and has
+        no pivot distances to filter by."""
+        whole = self.metric.complete(columns(self.metric))
         inside = F.when(F.col("contains"), F.col("level"))
         first = F.coalesce(F.min(inside).over(Window.partitionBy("qid")), F.lit(len(self.levels)))
-        rows = self.touched(queries).withColumn("_first", first)
-        return rows.where(F.col("level") <= F.col("_first")).drop("_first")
+        rows = self.touched(queries.where(whole)).withColumn("_first", first)
+        rows = rows.where(F.col("level") <= F.col("_first")).drop("_first")
+        return rows.unionByName(self._everywhere(queries.where(~whole)))
+
+    def _everywhere(self, queries: DataFrame) -> DataFrame:
+        """Every bucket for each query, in the shape of ``touched``."""
+        found = [(number, n) for number, level in enumerate(self.levels) for n in level.leaves()]
+        table = local_table(
+            queries.sparkSession,
+            {
+                "_leaf": (range(len(found)), pa.int32()),
+                "level": ([f[0] for f in found], pa.int32()),
+                "bucket": ([f[1] for f in found], pa.int32()),
+            },
+        )
+        rows = queries.withColumn("_leaf", F.explode(F.sequence(F.lit(0), F.lit(len(found) - 1))))
+        rows = rows.join(F.broadcast(table), "_leaf").drop("_leaf")
+        return rows.select(
+            *queries.columns, F.lit(None).cast(ALL_LEVELS).alias("pds"), "level", F.lit(None).cast("array<double>").alias("pd"),
+            "bucket", F.lit(False).alias("contains"), F.lit(True).alias("own"), F.lit(float("-inf")).alias("gap"),
+        )
 
     # -- shared ----------------------------------------------------------
 
@@ -198,10 +225,13 @@ class Tree:
                 rows.append((number, n, depth_of(n), low, high, 2 * n, 2 * n + 1, None, False))
             for n in level.leaves():
                 rows.append((number, n, depth_of(n), None, None, None, None, n, n in level.final))
-        if len(rows) > MAX_NODES:
-            raise ValueError(f"more than {MAX_NODES} tree nodes; raise the bucket capacity")
         return rows
 
+    def check_size(self) -> None:
+        """Refuse a description that would not fit on the driver."""
+        if 2 * sum(len(level.nodes) for level in self.levels) + len(self.levels) > MAX_NODES:
+            raise ValueError(f"more than {MAX_NODES} tree nodes; raise the bucket capacity")
+
     def nodes_table(self, spark: SparkSession) -> DataFrame:
         rows = self.node_rows()
         kinds = {
@@ -243,7 +273,7 @@ _START = "array(named_struct('node', 1, 'contains', true, 'own', true, 'gap', do
 
 def _step(state: str, inner: str, outer: str, dist: str) -> str:
     """The children of a node that a ball reaches, or the node if it is a leaf."""
-    reach = f"radius + {PRUNE_SLACK!r}D"
+    reach = f"radius + {PRUNE_SLACK!r}D * (1D + abs({dist}) + radius)"
 
     def child(offset: int, contains: str, own: str, gap: str) -> str:
         return (

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-# Objects carry a key plus the descriptors a metric reads.
-OBJECT_SCHEMA = T.StructType(
-    [
-        T.StructField("id", T.LongType(), False),
-        T.StructField("number", T.DoubleType(), True),
-        T.StructField("vector", T.ArrayType(T.DoubleType()), True),
-    ]
-)
-
 # A range is inclusive: an answer counts when its distance, rounded to nine
 # places, is at most the radius. Comparing against radius + half a unit of the
 # ninth place says the same without rounding each candidate.
 ANSWER_TOLERANCE = 5e-10
 
-# Every pruning test is loosened by this much, so float error in the triangle
-# inequality can only ever keep a candidate, never lose one. Good for distances
-# up to about 1e6.
+# Every pruning test is loosened by this share of the distances it compares (and
+# by this much near zero), so float error in the triangle inequality can only
+# ever keep a candidate, never lose one.
 PRUNE_SLACK = 1e-9
 
 # Distances are ordered on this many places before ties fall to the id.

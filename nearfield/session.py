@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,30 +20,50 @@ BROADCAST_BYTES = 64 << 20
 
 # A key holding more rows than this is cut up for a shuffled join.
 SPLIT_ROWS = 100_000
-# At most this many keys are cut, each into at most so many pieces.
+# At most this many keys are cut: the biggest ones.
 SPLIT_KEYS = 100_000
-MAX_PIECES = 10_000
 
 _local_roots: dict[str, str] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for stage tables: the cluster's checkpoint folder, or a
-    temporary one when a local session names none."""
+    """Shared folder for stage tables: the cluster's checkpoint folder, or one
+    that goes with the process when a one-process session names none."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if root:
         return f"{root.rstrip('/')}/nearfield"
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise ValueError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
     app = context.applicationId
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="nearfield-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
     return _local_roots[app]
 
 
+# Stage tables that results of this process may still read, by application.
+_staged: dict[str, list[str]] = {}
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{stage_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def staged_paths(spark: SparkSession) -> list[str]:
+    """The stage tables written so far and not yet released."""
+    return list(_staged.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, keep: Sequence[str] = ()) -> int:
+    """Remove the stage tables of this process, but for ``keep``; to be called
+    when the results that read them are used up. Returns how many went."""
+    held = set(keep)
+    mine = staged_paths(spark)
+    _staged[spark.sparkContext.applicationId] = [p for p in mine if p in held]
+    return sum(remove_path(spark, p) for p in mine if p not in held)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -153,7 +175,7 @@ def lookup_join(
     sizes = sizes.orderBy(F.desc(F.greatest("_nl", "_nr"))).limit(SPLIT_KEYS)
 
     def pieces(n: str):
-        return F.least(F.greatest(F.ceil(F.col(n) / split_rows), F.lit(1)), F.lit(MAX_PIECES)).cast("int")
+        return F.greatest(F.ceil(F.col(n) / split_rows), F.lit(1)).cast("int")
 
     hot = F.broadcast(stage(sizes.select(*on, pieces("_nl").alias("_ls"), pieces("_nr").alias("_rs")), "hot-keys"))
     ls, rs = F.coalesce("_ls", F.lit(1)), F.coalesce("_rs", F.lit(1))
@@ -184,6 +206,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders and files right below a folder; none if it is missing."""
+    fs, target = _file_system(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(target)] if fs.exists(target) else []
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     fs, target = _file_system(spark, path)
     return fs.delete(target, True)

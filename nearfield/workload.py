@@ -97,7 +97,7 @@ _indexes: dict[tuple[str, str], MetricIndex] = {}
 
 
 def limits_for(count: int) -> Limits:
-    return Limits(capacity=min(1_000_000, max(1000, count // 64)), max_levels=6, max_depth=6)
+    return Limits(capacity=min(1_000_000, max(1000, count // 64)))
 
 
 def built_index(spark: SparkSession, sf_dir: str) -> MetricIndex:
@@ -317,10 +317,7 @@ def split_report(spark, sf_dir):
 def choose_pivots(spark, sf_dir):
     objects = metric_objects(spark, sf_dir)
     key = F.md5(F.concat(F.lit("0:"), F.col("id").cast("string")).cast("binary"))
-    # Only the smallest keys matter: a threshold keeps each task's share short.
-    share = 8 * pivots.SAMPLE_ROWS / max(1, objects.count())
-    thinned = objects if share >= 1 else objects.where(F.substring(key, 1, 6) < f"{int(share * 16**6):06x}")
-    chosen = pivots.choose_pivots(thinned, METRIC, 3, key=key)
+    chosen = pivots.choose_pivots(objects, METRIC, 3, key=key)  # each task hands on its few smallest keys
     rank = F.create_map(*[F.lit(x) for i, p in enumerate(chosen) for x in (p["id"], i)])
     picked = objects.where(F.col("id").isin([p["id"] for p in chosen]))
     return picked.select(F.try_element_at(rank, F.col("id")).alias("pivot_idx"), "id")
@@ -339,16 +336,14 @@ def overflowing_buckets(spark, sf_dir):
     return indexes.overflowing_buckets(fixed_objects(spark, sf_dir)[1], FIXED_CAPACITY)
 
 
-def _placed(spark, sf_dir, objects: DataFrame) -> DataFrame:
-    """Objects as an index stores them, with the distance to its first pivot."""
-    first = METRIC.literal(first_objects(metric_objects(spark, sf_dir), 1)[0])
-    known = F.when(F.col("level") == 0, F.get("pd", F.lit(0)))
-    pd0 = F.coalesce(known, METRIC.distance(columns(METRIC), first))
+def _placed(objects: DataFrame) -> DataFrame:
+    """Objects as an index stores them, with the stored distance to its first pivot."""
+    pd0 = F.get(F.get("pd", F.lit(0)), F.lit(0))
     return objects.select("id", "number", F.round(pd0, ROUND).alias("pd0"))
 
 
 def bulk_build(spark, sf_dir):
-    return _placed(spark, sf_dir, built_index(spark, sf_dir).objects())
+    return _placed(built_index(spark, sf_dir).objects())
 
 
 def incremental_insert(spark, sf_dir):
@@ -358,7 +353,7 @@ def incremental_insert(spark, sf_dir):
         even, stage_path(spark, "index"), METRIC, rho=RHO / 2, limits=limits_for(even.count()), fixed_pivots=first_objects(objects, 2)
     )
     index.insert(odd)
-    return _placed(spark, sf_dir, index.objects())
+    return _placed(index.objects())
 
 
 def index_report(spark, sf_dir):
@@ -375,8 +370,8 @@ def stream_assign(spark, sf_dir):
     for part in range(4):
         objects.where(F.col("id") % 4 == part).write.mode("append").parquet(source)
     stream = arrivals.object_stream(spark, source, objects.schema, files_per_trigger=2)
-    arrivals.start_placing(index.tree, stream, sink, state).awaitTermination()
-    return _placed(spark, sf_dir, arrivals.arrived(index, sink))
+    arrivals.start_placing(index, stream, sink, state).awaitTermination()
+    return _placed(arrivals.arrived(index, sink))
 
 
 # -- similarity queries ---------------------------------------------------

@@ -176,7 +176,7 @@ def test_object_excluded_everywhere_is_kept(spark):
     tree = trees.Tree(VectorMetric(1), 0.1, [level(), level(), trees.Level()])
     df = spark.createDataFrame([(1, [1.1]), (2, [0.5]), (3, [1.3])], "id long, vector array<double>")
     got = {r["id"]: (r["level"], r["bucket"], r["pd"]) for r in tree.assign(df).collect()}
-    assert got == {1: (2, 1, []), 2: (0, 2, [0.5]), 3: (0, 3, [1.3])}
+    assert got == {1: (2, 1, [[1.1], [1.1], []]), 2: (0, 2, [[0.5]]), 3: (0, 3, [[1.3]])}
 
 
 def test_empty_bucket_and_empty_answer(spark, index, brute):
@@ -202,7 +202,7 @@ def test_stream_equals_batch(spark, index, objects):
         plain.where(F.col("id") % 4 == part).coalesce(1).write.mode("append").parquet(source)
     for _ in range(2):  # a second run finds nothing new
         stream = arrivals.object_stream(spark, source, plain.schema, 1)
-        arrivals.start_placing(index.tree, stream, sink, state).awaitTermination()
+        arrivals.start_placing(index, stream, sink, state).awaitTermination()
     got = arrivals.arrived(index, sink).select("id", "level", "bucket").collect()
     want = index.tree.assign(plain).select("id", "level", "bucket").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
@@ -214,6 +214,105 @@ def test_absorb_arrivals(spark, objects, brute):
     source, sink, state = (stage_path(spark, n) for n in ("src", "sink", "state"))
     objects.where(F.col("id") % 2 == 1).select("id", "number", "vector").write.parquet(source)
     stream = arrivals.object_stream(spark, source, spark.read.parquet(source).schema)
-    arrivals.start_placing(index.tree, stream, sink, state).awaitTermination()
+    arrivals.start_placing(index, stream, sink, state).awaitTermination()
     arrivals.absorb(index, sink)
     check_whole(index, brute)
+
+
+def arrive(spark, index, rows, sink=None):
+    source, state = stage_path(spark, "src"), stage_path(spark, "state")
+    sink = sink or stage_path(spark, "sink")
+    rows.select("id", "number", "vector").write.parquet(source)
+    stream = arrivals.object_stream(spark, source, spark.read.parquet(source).schema)
+    arrivals.start_placing(index, stream, sink, state).awaitTermination()
+    return sink
+
+
+def test_queries_without_a_descriptor_lose_nothing(spark, index, objects, brute):
+    from nearfield.operators.similarity import range_query_batch
+
+    rows = [(r["id"], None if i % 2 else r["number"], None if i % 3 == 1 else r["vector"], 0.2) for i, r in enumerate(brute.rows[:6])]
+    q = spark.createDataFrame(rows, "qid long, number double, vector array<double>, radius double")
+    want = pairs(range_query_batch(objects, q, w.METRIC))
+    assert len(want) > 6
+    assert pairs(search.range_query_indexed(index.tree, index.bucket_objects, q)) == want
+    assert pairs(search.range_query_ids(index.tree, index.bucket_objects, q)) == want
+    near = {(r["qid"], r["id"]) for r in range_query_batch(objects, q, w.METRIC).where(F.col("dist") <= 0.05).collect()}
+    assert near <= pairs(search.range_query_limited(index.tree, index.bucket_objects, q).where("guaranteed"))
+    whole = {r[0] for i, r in enumerate(rows) if i % 2 or i % 3 == 1}
+    approx = pairs(search.range_query_approx(index.tree, index.bucket_objects, q))
+    assert {p for p in want if p[0] in whole} == {p for p in approx if p[0] in whole}
+    reached = search.candidate_buckets(index.tree, q).groupBy("qid").count().collect()
+    leaves = sum(len(lv.leaves()) for lv in index.tree.levels)
+    assert {r["qid"] for r in reached if r["count"] == leaves} >= whole
+    cost = {r["qid"]: r for r in search.query_cost(index.tree, index.bucket_objects, q, index.bucket_counts()).collect()}
+    assert all(cost[i]["candidates"] == cost[i]["after_filter"] == objects.count() for i in whole)
+
+
+def test_every_known_level_filters(spark, index, brute):
+    """Pairs left for the exact distance, also in the level that has no pivots."""
+    q = queries(spark, brute, 0.1)
+    cost = search.bucket_cost(index.tree, index.bucket_objects, q, index.bucket_counts())
+    by_level = {r["level"]: (r["c"], r["a"]) for r in cost.groupBy("level").agg(F.sum("candidates").alias("c"), F.sum("after_filter").alias("a")).collect()}
+    candidates, left = by_level[max(n for n, (c, _) in by_level.items() if c)]
+    assert left < candidates / 2
+
+
+@pytest.mark.parametrize("step", ["_write", "_split_overflow", "save"])
+def test_a_failed_insert_leaves_the_index_whole(spark, objects, brute, monkeypatch, step):
+    index = build(spark, objects.where(F.col("id") % 2 == 0))
+    old = {p for p in expected(brute, 0.2) if p[1] % 2 == 0}
+    q = queries(spark, brute, 0.2)
+    real = getattr(MetricIndex, step)
+
+    def fails(self, *args):
+        if step != "save":
+            real(self, *args)
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(MetricIndex, step, fails)
+        with pytest.raises(RuntimeError, match="lost"):
+            index.insert(objects.where(F.col("id") % 2 == 1))
+    for one in (index, MetricIndex.load(spark, index.path, w.METRIC)):
+        assert pairs(search.range_query_indexed(one.tree, one.bucket_objects, q)) == old
+        assert pairs(search.range_query_indexed(one.tree, one.objects(), q)) == old
+    assert index.insert(objects.where(F.col("id") % 2 == 1), ["odd"]) and index.insert(objects.where(F.col("id") % 2 == 1), ["odd"]) == 0
+    check_whole(MetricIndex.load(spark, index.path, w.METRIC), brute)
+
+
+def test_another_metric_is_refused(spark, index):
+    from nearfield.functions.distances import CompositeMetric
+
+    with pytest.raises(ValueError, match="built with"):
+        MetricIndex.load(spark, index.path, CompositeMetric(4))
+
+
+def test_many_small_inserts_are_compacted(spark, objects, brute, monkeypatch):
+    from nearfield.plans import index as ix
+
+    monkeypatch.setattr(ix, "MAX_BATCHES", 2)
+    index = build(spark, objects.where(F.col("id") % 4 == 0), capacity=5_000)
+    for part in (1, 2, 3):
+        index.insert(objects.where(F.col("id") % 4 == part))
+    assert max(map(len, index.parts.values())) <= 2
+    check_whole(index, brute)
+
+
+def test_arrivals_after_a_split_and_absorbing_twice(spark, objects, brute):
+    index = build(spark, objects.where(F.col("id") % 4 == 0), capacity=200)
+    sink = arrive(spark, index, objects.where(F.col("id") % 4 == 1))
+    nodes = len(index.tree.node_rows())
+    index.insert(objects.where(F.col("id") % 4 >= 2))
+    assert len(index.tree.node_rows()) > nodes
+    q = queries(spark, brute, 0.2)
+    assert pairs(search.range_query_indexed(index.tree, arrivals.with_arrivals(index, sink), q)) == expected(brute, 0.2)
+    assert arrivals.absorb(index, sink) > 0
+    assert arrivals.absorb(index, sink) == 0 and arrivals.arrived(index, sink).count() == 0
+    check_whole(index, brute)
+
+
+def test_limits_follow_the_number_of_objects():
+    huge = Limits(capacity=1_000_000).sized(10**12)
+    assert huge.max_levels == huge.max_depth == 22
+    assert Limits(capacity=100, max_levels=3).sized(10**6).max_levels == 3
