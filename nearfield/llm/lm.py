@@ -32,7 +32,7 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b" begin"))
 
 MU = 100.0
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 #: Words with more than this share of the training tokens are cut by context; there are at
 #: most as many as the reciprocal.
 HOT_SHARE = 2.0**-16
@@ -242,7 +242,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-SENT = "shard int, kind int, data binary"
+SENT = "shard int, kind int, parcel long, data binary"
 
 
 def sent_tokens(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
@@ -251,14 +251,14 @@ def sent_tokens(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        row = 0
+        part = TaskContext.get().partitionId()
+        parcel = 0
         held: list[tuple] = []
         size = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            word = np.concatenate([h[3] for h in held])
-            sizes = np.array([len(h[3]) for h in held])
+            word = np.concatenate([h[2] for h in held])
+            sizes = np.array([len(h[2]) for h in held])
             context = np.empty_like(word)
             context[1:] = word[:-1]
             context[np.cumsum(sizes) - sizes] = BEGIN
@@ -266,27 +266,26 @@ def sent_tokens(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards
             shard = shard_of(word, context, hot, shards)
             order = np.argsort(shard, kind="stable")
             present, at = np.unique(shard[order], return_index=True)
-            keys = np.array([h[0] for h in held])
-            ids = [h[1] for h in held]
-            train = np.array([h[2] for h in held])
+            ids = [h[0] for h in held]
+            train = np.array([h[1] for h in held])
             for s, rows in zip(present, np.split(order, at[1:])):
                 words, w = np.unique(word[rows], return_inverse=True)
                 contexts, u = np.unique(context[rows], return_inverse=True)
                 docs, d = np.unique(doc[rows], return_inverse=True)
                 run_ = np.lexsort((u, w))
                 narrow = lambda x: x[run_].astype(np.uint16 if x.max() < 1 << 16 else np.uint32)
-                data = _blob((keys[docs], [ids[i] for i in docs], train[docs], words, contexts, np.bincount(w), narrow(u), narrow(d)))
-                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([1], pa.int32()), pa.array([data], pa.binary())], names=["shard", "kind", "data"])
+                data = _blob((docs, [ids[i] for i in docs], train[docs], words, contexts, np.bincount(w), narrow(u), narrow(d)))
+                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([1], pa.int32()), pa.array([(part << 36) + parcel]), pa.array([data], pa.binary())], names=["shard", "kind", "parcel", "data"])
 
         for batch in batches:
             ids, out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             for doc_id, away, text in zip(ids, out, _texts(batch)):
-                held.append(((part << 36) + row, doc_id, not away, tokens_of(text, memo)))
-                row += 1
-                size += len(held[-1][3])
+                held.append((doc_id, not away, tokens_of(text, memo)))
+                size += len(held[-1][2])
                 if size >= SENT_TOKENS:
                     yield from send()
                     held, size = [], 0
+                    parcel += 1
         if held:
             yield from send()
 
@@ -314,16 +313,18 @@ def sent_counts(counts: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards: i
             present, first = np.unique(shard[order], return_index=True)
             for s, some in zip(present, np.split(order, first[1:])):
                 data = _blob((word[rows[some]], n[rows[some]]))
-                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], names=["shard", "kind", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([0], pa.int32()), pa.array([None], pa.int64()), pa.array([data], pa.binary())], names=["shard", "kind", "parcel", "data"])
 
     return counts.mapInArrow(run, SENT)
 
 
-PARTIAL = "key long, doc_id long, tokens long, known long, base double, score double"
+PARTIAL = "parcel long, data binary"
+WHOLE = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def scored_shard(lists: list[tuple], parcels: list[tuple], total: int, distinct: int, mu: float) -> tuple[list[np.ndarray], list]:
-    """Sums of each document over the tokens of one shard."""
+def scored_shard(lists: list[tuple], parcels: list[tuple], total: int, distinct: int, mu: float) -> Iterator[tuple]:
+    """For each parcel its documents' numbers and ids, and their tokens, known tokens and
+    two scores over the tokens of one shard."""
     scale = total + 0.5 * (distinct + 1)
     words = np.concatenate([x[0] for x in lists]) if lists else np.zeros(0, np.uint64)
     counts = np.concatenate([x[1] for x in lists]) if lists else np.zeros(0, np.int64)
@@ -355,17 +356,43 @@ def scored_shard(lists: list[tuple], parcels: list[tuple], total: int, distinct:
         # The last part is the token as the context of its follower; the end stands in for
         # the beginning, which is as frequent.
         score[at] = np.where(np.isnan(numerator), np.log10(mu * p), numerator) - np.log10(count + mu)
-    columns: list[list[np.ndarray]] = [[] for _ in range(5)]
-    ids: list = []
     done = 0
-    for keys, names, _, _, _, _, context, doc in parcels:
+    for docs, names, _, _, _, _, context, doc in parcels:
         mine = pair_of[done : done + len(context)]
         done += len(context)
-        k = len(keys)
-        ids += names
-        for column, values in zip(columns, (keys, np.bincount(doc, minlength=k), np.bincount(doc, known[mine], k), np.bincount(doc, base[mine], k), np.bincount(doc, score[mine], k))):
-            column.append(values)
-    return [np.concatenate(c) for c in columns], ids
+        k = len(docs)
+        yield docs, names, np.bincount(doc, minlength=k), np.bincount(doc, known[mine], k), np.bincount(doc, base[mine], k), np.bincount(doc, score[mine], k)
+
+
+def summed(partial: DataFrame) -> DataFrame:
+    """Whole documents from the parts that the shards sent back, parcel by parcel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parcel, parts = None, []
+
+        def done() -> pa.RecordBatch:
+            n = 1 + max(int(p[0].max()) for p in parts)
+            ids: list = [None] * n
+            sums = np.zeros((4, n))
+            for docs, names, *values in parts:
+                for i, name in zip(docs, names):
+                    ids[i] = name
+                for k, v in enumerate(values):
+                    sums[k, docs] += v
+            whole = [pa.array(sums[k].astype(np.int64)) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *whole, pa.array(sums[2]), pa.array(sums[3])], names=[f.split()[0] for f in WHOLE.split(", ")])
+
+        for batch in batches:
+            for p, data in zip(batch.column("parcel").to_pylist(), batch.column("data")):
+                if p != parcel and parts:
+                    yield done()
+                    parts = []
+                parcel = p
+                parts.append(_unblob(data.as_py()))
+        if parts:
+            yield done()
+
+    return partial.repartition("parcel").sortWithinPartitions("parcel").mapInArrow(run, WHOLE)
 
 
 def scores(documents: DataFrame, mu: float = MU, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -387,33 +414,34 @@ def scores(documents: DataFrame, mu: float = MU, shard_tokens: int = SHARD_TOKEN
     hot = (word[order][times[order] > 1], times[order][times[order] > 1])
 
     rows = sent_counts(counts, hot, shards).unionByName(sent_tokens(documents, hot, shards))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    # Two shards to a task on average, one after another, so that tasks come out more even.
+    rows = rows.repartition(-(-shards // 2), "shard").sortWithinPartitions("shard", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, lists, parcels = None, [], []
+        shard, lists, parcels, numbers = None, [], [], []
 
         def done() -> Iterator[pa.RecordBatch]:
-            if not parcels:
-                return
-            found, ids = scored_shard(lists, parcels, total, distinct, mu)
-            kinds = (np.int64, np.int64, np.int64, float, float)
-            columns = [pa.array(c.astype(k)) for c, k in zip(found, kinds)]
-            yield pa.RecordBatch.from_arrays([columns[0], pa.array(ids, pa.int64()), *columns[1:]], names=[f.split()[0] for f in PARTIAL.split(", ")])
+            if parcels:
+                for number, part in zip(numbers, scored_shard(lists, parcels, total, distinct, mu)):
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_blob(part)], pa.binary())], names=["parcel", "data"])
 
         for batch in batches:
-            for s, kind, data in zip(batch.column("shard").to_pylist(), batch.column("kind").to_pylist(), batch.column("data")):
+            for s, kind, number, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "kind", "parcel")), batch.column("data")):
                 if s != shard:
                     yield from done()
-                    shard, lists, parcels = s, [], []
-                (parcels if kind else lists).append(_unblob(data.as_py()))
+                    shard, lists, parcels, numbers = s, [], [], []
+                if kind:
+                    parcels.append(_unblob(data.as_py()))
+                    numbers.append(number)
+                else:
+                    lists.append(_unblob(data.as_py()))
         yield from done()
 
-    partial = rows.mapInArrow(run, PARTIAL)
-    sums = partial.groupBy("key").agg(
-        F.first("doc_id").alias("doc_id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score")
-    )
-    return sums.select(
-        "doc_id", held_out(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
+    whole = summed(rows.mapInArrow(run, PARTIAL))
+    names = ("n_tokens", "n_known", "base_score", "score")
+    columns = {n: F.col(n) for n in names}
+    return whole.select(
+        "doc_id", held_out(F.col("doc_id"), 5, 1).alias("held_out"), *(columns[n] for n in names[:2]), F.lit(total).cast("long").alias("train_tokens"), *(columns[n] for n in names[2:])
     )
 
 
