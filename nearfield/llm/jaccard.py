@@ -27,15 +27,20 @@ from nearfield.session import fits_broadcast, stage
 MOST_MATCHES = 5
 #: Cost of verifying a pair against reading one posting.
 VERIFY_COST = 50.0
-#: Shingle hashes below this share of the hash range are counted: prefixes of sets by hash
-#: lie there, apart from very small sets. Others just keep their place in the order.
-BAND = 0.2
+#: Shingle hashes below this share of the hash range are all counted: prefixes of sets by
+#: hash lie there, apart from very small sets. Of the others, those are counted that a batch
+#: of documents holds ``OFTEN`` times. Which shingles count as frequent only decides the
+#: order, and so the speed; any fixed choice gives the same links.
+BAND = 0.15
+OFTEN = 3
 #: At most this many frequent shingles are ordered last; their least count follows from it.
 FREQUENT = 1 << 17
 FREQUENT_FROM = 8
 #: Pairs of one node that one task verifies.
 VERIFY_ROWS = 2_000
 LEADER_ROUNDS = 2
+#: Lists with more members than this get leaders.
+LONG = 16
 
 
 def shingle_set(text: bytes, width: int, memo: WordHashes) -> np.ndarray:
@@ -71,13 +76,14 @@ def prefix_length(n: Column, matches: Column | int, percent: int) -> Column:
 
 
 def sets(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, th (hash of the text), n, node and the hashes in the counted band."""
+    """doc_id, th (hash of the text), n, node and the hashes in the counted band; the last
+    row of a batch also has the hashes outside it that the batch holds often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         limit = np.uint64(int(BAND * 2**64))
         for batch in batches:
-            counts, nodes, bands, ends = [], [], [], [0]
+            counts, nodes, bands, ends, outside = [], [], [], [0], []
             for value in batch.column("text"):
                 s = shingle_set(value.as_buffer().to_pybytes() if value.is_valid else b"", width, memo)
                 band = s[: np.searchsorted(s, limit)]
@@ -85,13 +91,22 @@ def sets(documents: DataFrame, width: int) -> DataFrame:
                 nodes.append(node_of(s) if len(s) else None)
                 bands.append(band.view(np.int64))
                 ends.append(ends[-1] + len(band))
-            flat = pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))
+                outside.append(s[len(band) :])
+            if not counts:
+                continue
+            token, times = np.unique(np.concatenate(outside), return_counts=True)
+            often = [None] * (len(counts) - 1)
+            listed = lambda x: pa.array([*often, x.astype(np.int64)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("th"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                names=["doc_id", "th", "n", "node", "band"],
-            )
+                [
+                    batch.column("doc_id"), batch.column("th"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands))),
+                    listed(token[times >= OFTEN].view(np.int64)), listed(times[times >= OFTEN]),
+                ],
+                names=["doc_id", "th", "n", "node", "band", "often", "times"],
+            )
 
-    return keyed(documents).mapInArrow(run, "doc_id long, th long, n long, node long, band array<long>")
+    return keyed(documents).mapInArrow(run, "doc_id long, th long, n long, node long, band array<long>, often array<long>, times array<long>")
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -100,11 +115,13 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of the band, at most ``FREQUENT``, with their counts.
+    """The most frequent counted shingles, at most ``FREQUENT``, with their counts.
 
     Counts cover all documents; the least count is the smallest at which the list stays
     within its bound, read from how many shingles have which count."""
-    counts = found.select(F.explode("band").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    inside = found.select(F.explode("band").alias("token"), F.lit(1).cast("long").alias("k"))
+    outside = found.where(F.col("often").isNotNull()).select(F.explode(F.arrays_zip("often", "times")).alias("e")).select("e.often", "e.times")
+    counts = inside.union(outside).groupBy("token").agg(F.sum("k").alias("df"))
     counts = stage(counts.where(F.col("df") >= FREQUENT_FROM), "frequent")
     by_count = counts.groupBy(F.ceil(F.log2("df") * 8).cast("int").alias("step")).agg(F.count("*").alias("n"), F.min("df").alias("df"))
     least, held = None, 0
@@ -156,41 +173,55 @@ def prefixes(documents: DataFrame, width: int, percent: int, common: tuple[np.nd
 
 
 def postings(prefix: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, matches: the prefix of each node at the ``l`` it chose, shared
+    """token, node, n, pos, matches: the prefix of each node at the ``l`` it chose, shared
     shingles only.
 
-    With ``s(l)`` postings of other nodes met by the prefix for ``l``, at most ``s(l) / l``
-    nodes share ``l`` of its shingles; ``l`` makes postings plus pairs to verify cheapest."""
+    The prefix for ``l`` meets some postings of other nodes, and about as many nodes share
+    ``l`` of its shingles as its ``l``-th longest list has others (exactly, where lists lie
+    within one another); ``l`` makes postings plus pairs to verify cheapest."""
     each = prefix.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = each.groupBy("token").agg(F.count("*").alias("listed")).where(F.col("listed") > 1)
     met = stage(each.join(shared, "token"), "postings")
     costs = []
     for matches in range(1, MOST_MATCHES + 1):
         read = F.sum(F.when(F.col("pos") < prefix_length(F.col("n"), matches, percent), F.col("listed") - 1).otherwise(0))
-        costs.append((read * (1 + VERIFY_COST / matches)).alias(f"c{matches}"))
-    chosen = met.groupBy("node").agg(*costs)
+        costs.append(read.alias(f"read{matches}"))
+    chosen = met.groupBy("node").agg(*costs, F.sort_array(F.collect_list(F.col("listed") - 1), asc=False).alias("others"))
+    pairs = lambda m: VERIFY_COST * F.coalesce(F.get("others", F.lit(m - 1)), F.lit(0))
+    chosen = chosen.select("node", *((F.col(f"read{m}") + pairs(m)).alias(f"c{m}") for m in range(1, MOST_MATCHES + 1)))
     best = F.array_position(F.array(*(F.col(f"c{m}") for m in range(1, MOST_MATCHES + 1))), F.least(*(F.col(f"c{m}") for m in range(1, MOST_MATCHES + 1))))
     chosen = chosen.select("node", best.cast("int").alias("matches"))
     kept = met.join(chosen, "node").where(F.col("pos") < prefix_length(F.col("n"), F.col("matches"), percent))
-    return kept.select("token", "node", "n", "matches")
+    return kept.select("token", "node", "n", "pos", "matches")
+
+
+def possible(x: str, y: str, percent: int, matches: Column | None = None) -> Column:
+    """A shared shingle that counts for a pair. For these two sizes the sets must share
+    ``a`` shingles, so the first ``size - a + l`` of each share ``l`` at least; a shingle
+    behind them is none of these."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    overlap = F.ceil((n + m) * percent / (100 + percent))
+    matches = F.least(f"{x}.matches", f"{y}.matches") if matches is None else matches
+    fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return fits & (F.col(f"{x}.pos") < n - overlap + matches) & (F.col(f"{y}.pos") < m - overlap + matches)
 
 
-def enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share as many prefix shingles as both prefixes call for and whose
-    sizes allow the similarity. Input: one row per pair and shared shingle."""
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    counted = pairs.where(fits).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("l_a", "l_b")).alias("wanted"))
+def enough(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share as many shingles as both prefixes call for. Input: one row
+    per pair and shared shingle, with ``wanted``, the smaller ``l`` of the two."""
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("wanted").alias("wanted"))
     return counted.where(F.col("shared") >= F.col("wanted")).select("a", "b")
 
 
-def leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Each list's members paired with one of them, its leader."""
-    leader = lists.groupBy("token").agg(F.min(F.struct("node", "n", "matches")).alias("top"))
-    rows = lists.join(leader, "token").where(F.col("node") != F.col("top.node"))
-    return enough(
-        rows.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.n").alias("n_a"), F.col("n").alias("n_b"), F.col("top.matches").alias("l_a"), F.col("matches").alias("l_b")),
-        percent,
-    )
+def leader_pairs(lists: DataFrame, number: int, percent: int) -> DataFrame:
+    """The members of each long list paired with one of them, its leader, where they may
+    be similar and are not connected yet. Lists get different leaders, so a group of near
+    copies is connected through many of its members."""
+    member = F.struct("node", "n", "pos", "root")
+    leader = lists.groupBy("token").agg(F.min_by(member, F.xxhash64("token", "node", F.lit(number))).alias("top"), F.count("*").alias("c"))
+    leader = leader.where(F.col("c") > LONG).select("token", "top.*").alias("x")
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & possible("x", "y", percent, F.lit(1))
+    return lists.alias("y").join(leader, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def mixed(lists: DataFrame) -> DataFrame:
@@ -203,21 +234,11 @@ def mixed(lists: DataFrame) -> DataFrame:
 def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list whose ends lie in different components. A pair has at least one
     end outside the list's largest component, so only those ends look for partners."""
-    columns = lambda p, q: [F.col(f"{p}.node").alias(q), F.col(f"{p}.n").alias(f"n_{q}"), F.col(f"{p}.matches").alias(f"l_{q}")]
     others = lists.where(F.col("root") != F.col("main")).alias("x")
-    fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    rows = others.join(lists.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & fits & once)
-    rows = rows.select(*columns("x", "a"), *columns("y", "b"))
-    swap = F.col("a") > F.col("b")
-    return enough(
-        rows.select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"),
-            F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), F.when(swap, F.col("l_b")).otherwise(F.col("l_a")).alias("l_a"),
-            F.when(swap, F.col("l_a")).otherwise(F.col("l_b")).alias("l_b"),
-        ),
-        percent,
-    )
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", percent)
+    rows = others.join(lists.alias("y"), meet)
+    return enough(rows.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.matches", "y.matches").alias("wanted")))
 
 
 def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -267,11 +288,8 @@ def links_of(documents: DataFrame, found: DataFrame, classes: DataFrame, width:
     prefix = stage(prefixes(documents, width, percent, frequent(found)), "prefixes")
     lists = stage(postings(prefix, percent), "lists").withColumn("root", F.col("node"))
     links = None
-    for _ in range(LEADER_ROUNDS):
-        long = lists.join(lists.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > 3).select("token"), "token", "left_semi")
-        if links is not None:
-            long = mixed(long).where(F.col("root") != F.col("main"))
-        new = verified(leader_pairs(long, percent), documents, classes, width, percent)
+    for number in range(LEADER_ROUNDS):
+        new = verified(leader_pairs(lists, number, percent), documents, classes, width, percent)
         links = new if links is None else links.unionByName(new)
         lists = stage(rooted(lists, links), "lists")
     rest = verified(cross_pairs(mixed(lists), percent), documents, classes, width, percent)
@@ -293,7 +311,7 @@ def similarity_classes(documents: DataFrame, width: int = 3, percent: int = 90)
     named = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = stage(named.join(smallest, "root").select(F.col("node").alias("_node"), "component_id"), "labels")
-    rows = found.drop("band").join(labels, F.col("node") == F.col("_node"), "left")
+    rows = found.drop("band", "often", "times").join(labels, F.col("node") == F.col("_node"), "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "node", own.alias("component_id"))
 
