@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.words import MIX, MIX_2, WordHashes, finish
+from nearfield.llm.words import MIX, MIX_2, MIX_3, WordHashes, finish
 from nearfield.session import fits_broadcast, stage
 
 #: Shorter lines are left alone: they repeat in any prose.
@@ -34,30 +34,85 @@ def words(line: Column) -> Column:
     return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def occurrences(documents: DataFrame) -> DataFrame:
-    """Every line with enough words: id, th (hash of the text), number, its words' array
-    and two hashes of it."""
+def keyed(documents: DataFrame) -> DataFrame:
+    """id (rows without one last), th (hash of the text) and text."""
     text = F.col("text").cast("string")
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    rows = rows.select("id", "th", "no", words(F.col("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
-    return rows.select("id", "th", "no", "w", F.xxhash64("w").alias("h1"), F.xxhash64("w", F.lit(1)).alias("h2"))
+    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def place() -> Column:
-    return F.struct("id", "no", "th")
+class Runs:
+    """Hashes of runs of words in a long sequence, from running sums of word hashes times
+    powers of an odd number: any run costs two look-ups."""
+
+    def __init__(self, h: np.ndarray, odd: int):
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(odd, len(h)), dtype=np.uint64)])
+        self.back = powers(pow(odd, -1, 1 << 64), len(h) + 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray, mark: np.ndarray | int = 0) -> np.ndarray:
+        total = (self.sums[end] - self.sums[start]) * self.back[start]
+        return finish(total + (end - start + mark).astype(np.uint64) * MIX_2).view(np.int64)
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers, kept by the worker."""
+    if base not in _powers or len(_powers[base]) < n:
+        ones = np.full(max(n, 1 << 16), base, np.uint64)
+        ones[0] = 1
+        _powers[base] = np.cumprod(ones, dtype=np.uint64)
+    return _powers[base][:n]
 
 
-def half_keys(lines: DataFrame) -> DataFrame:
-    """Keys of the halves of each line: as a line of its length, and as the longer of two
-    lines that differ by an inserted word."""
-    n = F.size("w")
+def line_hashes(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Two hashes of each line and the keys of its halves: as a line of its length, and as
+    the longer of two lines that differ by an inserted word."""
+    end = np.cumsum(sizes)
+    start = end - sizes
+    first, second = Runs(h, _ODD), Runs(h, int(MIX_3) | 1)
+    halves = []
+    for n in (sizes, np.maximum(sizes - 1, 0)):
+        cut = n // 2
+        halves += [first.of(start, start + cut, 4 * n), first.of(end - (n - cut), end, 4 * n + 1)]
+    return first.of(start, end), second.of(start, end), np.stack(halves, 1)
 
-    def halves(size: Column) -> list[Column]:
-        cut = F.floor(size / 2).cast("int")
-        rest = size - cut
-        return [F.xxhash64(F.slice("w", F.lit(1), cut), size, F.lit(0)), F.xxhash64(F.slice("w", n - rest + 1, rest), size, F.lit(1))]
 
-    return lines.select("h1", "h2", F.explode(F.array(*halves(n), *halves(n - 1))).alias("half"))
+def occurrences(documents: DataFrame) -> DataFrame:
+    """Every line with enough words: id, th, number, words, two hashes and half keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            row, number, sizes, words_ = [], [], [], []
+            for i, value in enumerate(batch.column("text")):
+                if not value.is_valid:
+                    continue
+                for no, line in enumerate(value.as_buffer().to_pybytes().split(b"\n")):
+                    some = line.split()
+                    if len(some) >= MIN_WORDS:
+                        row.append(i)
+                        number.append(no)
+                        sizes.append(len(some))
+                        words_.append(memo.of(some))
+            if not row:
+                continue
+            n = np.array(sizes)
+            h1, h2, halves = line_hashes(np.concatenate(words_), n)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id").take(at), batch.column("th").take(at), pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * 4, pa.int32()), pa.array(halves.ravel())),
+                ],
+                names=["id", "th", "no", "n", "h1", "h2", "halves"],
+            )
+
+    return keyed(documents).mapInArrow(run, "id long, th long, no long, n long, h1 long, h2 long, halves array<long>")
+
+
+def place() -> Column:
+    return F.struct("id", "no", "th")
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -67,14 +122,11 @@ def variants(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        powers = np.ones(1, np.uint64)
         for batch in batches:
             for i, line in enumerate(batch.column("w").to_pylist()):
                 h = memo.of([w.encode() for w in line])
                 n = len(h)
-                if n > len(powers):
-                    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, _ODD, np.uint64)]), dtype=np.uint64)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[:n], dtype=np.uint64)])
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(_ODD, n), dtype=np.uint64)])
                 without = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(_INVERSE)
                 key = np.concatenate([finish(sums[-1:] + np.uint64(n * int(MIX_2) % 2**64)), finish(without + np.uint64((n - 1) * int(MIX_2) % 2**64))])
                 ones = np.ones(n + 1, np.int64)
@@ -104,15 +156,18 @@ def one_edit(a: list[str], b: list[str]) -> bool:
     return head + tail >= max(len(a), len(b)) - 1
 
 
-def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
+def near_lines(documents: DataFrame, firsts: DataFrame) -> DataFrame:
     """h1, h2 of the distinct lines that are one edit away from an earlier line."""
-    long = firsts.where(F.col("words") >= NEAR_WORDS - 1).select("h1", "h2", F.col("first.id").alias("fi"), F.col("first.no").alias("fn"), F.col("first.th").alias("ft"))
-    first_only = (F.col("id") == F.col("fi")) & (F.col("no") == F.col("fn")) & (F.col("th") == F.col("ft"))
-    halves = stage(half_keys(lines.where(F.size("w") >= NEAR_WORDS - 1)).distinct(), "halves")
+    long = firsts.where(F.col("n") >= NEAR_WORDS - 1)
+    halves = long.select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where(F.col("c") > 1)
-    hopeful = stage(halves.join(shared, "half").select("h1", "h2").distinct().join(long, ["h1", "h2"]), "hopeful")
-    small = F.broadcast(hopeful) if fits_broadcast(hopeful) else hopeful
-    texts = stage(lines.join(small, ["h1", "h2"]).where(first_only).select("h1", "h2", "id", "no", "th", "w").dropDuplicates(["h1", "h2"]), "hopeful-lines")
+    hopeful = halves.join(shared, "half").select("h1", "h2").distinct().join(long, ["h1", "h2"])
+    hopeful = stage(hopeful.select("h1", "h2", F.col("first.id").alias("id"), F.col("first.no").alias("no"), F.col("first.th").alias("th")), "hopeful")
+    homes = stage(hopeful.select("id", "th").distinct(), "hopeful-documents")
+    small = F.broadcast(homes) if fits_broadcast(homes) else homes
+    cut = keyed(documents).join(small, ["id", "th"]).select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    texts = cut.join(hopeful, ["id", "th", "no"]).select("h1", "h2", "id", "no", "th", words(F.col("line")).alias("w"))
+    texts = stage(texts.dropDuplicates(["h1", "h2"]), "hopeful-lines")
 
     rows = stage(variants(texts), "variants")
     place_of = F.struct("id", "no", "th", "h1", "h2")
@@ -137,18 +192,17 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def dropped(documents: DataFrame) -> DataFrame:
     """id, th, exact and near: the numbers of the lines that each text loses."""
-    lines = occurrences(documents)
-    firsts = lines.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.max(place()).alias("last"), F.max(F.size("w")).alias("words"))
+    lines = stage(occurrences(documents), "lines")
+    firsts = lines.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.max(place()).alias("last"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     firsts = stage(firsts, "first-lines")
-    near = stage(near_lines(lines, firsts), "near-lines").withColumn("near", F.lit(True))
+    near = stage(near_lines(documents, firsts), "near-lines").withColumn("near", F.lit(True))
     repeated = firsts.join(near, ["h1", "h2"], "left").where(F.col("near") | (F.col("first") < F.col("last")))
     repeated = repeated.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     small = F.broadcast(repeated) if fits_broadcast(repeated) else repeated
     hit = lines.select("id", "th", "no", "h1", "h2").join(small, ["h1", "h2"])
     hit = hit.withColumn("later", place() > F.col("first")).where(F.col("near") | F.col("later"))
-    return hit.groupBy("id", "th").agg(
-        F.collect_set(F.when(F.col("later"), F.col("no"))).alias("exact"), F.collect_set(F.when(~F.col("later"), F.col("no"))).alias("near")
-    )
+    no = F.col("no").cast("int")
+    return hit.groupBy("id", "th").agg(F.collect_set(F.when(F.col("later"), no)).alias("exact"), F.collect_set(F.when(~F.col("later"), no)).alias("near"))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
