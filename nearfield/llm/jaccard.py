@@ -26,16 +26,20 @@ from nearfield.session import fits_broadcast, stage
 #: Longest lengthening of a prefix.
 MOST_MATCHES = 5
 #: Cost of verifying a pair against reading one posting.
-VERIFY_COST = 50.0
+VERIFY_COST = 20.0
 #: Shingle hashes below this share of the hash range are all counted: prefixes of sets by
 #: hash lie there, apart from very small sets. Of the others, those are counted that a batch
 #: of documents holds ``OFTEN`` times. Which shingles count as frequent only decides the
 #: order, and so the speed; any fixed choice gives the same links.
 BAND = 0.15
 OFTEN = 3
+#: Shingles looked at together for that.
+HELD = 1_000_000
 #: At most this many frequent shingles are ordered last; their least count follows from it.
 FREQUENT = 1 << 17
 FREQUENT_FROM = 8
+#: Buckets of a set's sketch: how many of its shingles fall into each.
+SKETCH = 128
 #: Pairs of one node that one task verifies.
 VERIFY_ROWS = 2_000
 LEADER_ROUNDS = 2
@@ -83,7 +87,14 @@ def sets(documents: DataFrame, width: int) -> DataFrame:
         memo = WordHashes()
         limit = np.uint64(int(BAND * 2**64))
         for batch in batches:
-            counts, nodes, bands, ends, outside = [], [], [], [0], []
+            counts, nodes, bands, ends, outside, often, times = [], [], [], [0], [], [], []
+
+            def count_often(outside: list[np.ndarray], often: list, times: list) -> None:
+                token, n = np.unique(np.concatenate(outside), return_counts=True)
+                often.append(token[n >= OFTEN].view(np.int64))
+                times.append(n[n >= OFTEN])
+
+            held = 0
             for value in batch.column("text"):
                 s = shingle_set(value.as_buffer().to_pybytes() if value.is_valid else b"", width, memo)
                 band = s[: np.searchsorted(s, limit)]
@@ -92,16 +103,21 @@ def sets(documents: DataFrame, width: int) -> DataFrame:
                 bands.append(band.view(np.int64))
                 ends.append(ends[-1] + len(band))
                 outside.append(s[len(band) :])
+                held += len(outside[-1])
+                if held >= HELD:
+                    count_often(outside, often, times)
+                    outside, held = [], 0
             if not counts:
                 continue
-            token, times = np.unique(np.concatenate(outside), return_counts=True)
-            often = [None] * (len(counts) - 1)
-            listed = lambda x: pa.array([*often, x.astype(np.int64)], pa.list_(pa.int64()))
+            if outside:
+                count_often(outside, often, times)
+            before = [None] * (len(counts) - 1)
+            listed = lambda x: pa.array([*before, np.concatenate(x).astype(np.int64)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("th"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands))),
-                    listed(token[times >= OFTEN].view(np.int64)), listed(times[times >= OFTEN]),
+                    listed(often), listed(times),
                 ],
                 names=["doc_id", "th", "n", "node", "band", "often", "times"],
             )
@@ -139,19 +155,20 @@ def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(documents: DataFrame, width: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """node, n and the longest prefix of each node."""
+    """node, n, the longest prefix and the sketch of each node."""
     tokens, counts = common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            nodes, sizes, parts, ends = [], [], [], [0]
+            nodes, sizes, parts, ends, sketches = [], [], [], [0], []
             seen = set()
             for value in batch.column("text"):
                 s = shingle_set(value.as_buffer().to_pybytes() if value.is_valid else b"", width, memo)
                 if not len(s) or (node := node_of(s)) in seen:
                     continue
                 seen.add(node)
+                sketches.append(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.int32))
                 length = min(len(s), len(s) - least_overlap(len(s), percent) + MOST_MATCHES)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
@@ -164,17 +181,20 @@ def prefixes(documents: DataFrame, width: int, percent: int, common: tuple[np.nd
                 ends.append(ends[-1] + length)
             flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
-                names=["node", "n", "tokens"],
-            )
+                [
+                    pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate(sketches or [np.zeros(0, np.int32)]))),
+                ],
+                names=["node", "n", "tokens", "sketch"],
+            )
 
-    rows = keyed(documents).mapInArrow(run, "node long, n long, tokens array<long>")
-    return rows.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    rows = keyed(documents).mapInArrow(run, "node long, n long, tokens array<long>, sketch array<int>")
+    return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
 
 
 def postings(prefix: DataFrame, percent: int) -> DataFrame:
-    """token, node, n, pos, matches: the prefix of each node at the ``l`` it chose, shared
-    shingles only.
+    """token, node, n, pos, matches, sketch: the prefix of each node at the ``l`` it chose,
+    shared shingles only; the sketch only in long lists.
 
     The prefix for ``l`` meets some postings of other nodes, and about as many nodes share
     ``l`` of its shingles as its ``l``-th longest list has others (exactly, where lists lie
@@ -192,7 +212,9 @@ def postings(prefix: DataFrame, percent: int) -> DataFrame:
     best = F.array_position(F.array(*(F.col(f"c{m}") for m in range(1, MOST_MATCHES + 1))), F.least(*(F.col(f"c{m}") for m in range(1, MOST_MATCHES + 1))))
     chosen = chosen.select("node", best.cast("int").alias("matches"))
     kept = met.join(chosen, "node").where(F.col("pos") < prefix_length(F.col("n"), F.col("matches"), percent))
-    return kept.select("token", "node", "n", "pos", "matches")
+    kept = kept.select("token", "node", "n", "pos", "matches", "listed")
+    sketches = kept.where(F.col("listed") > LONG).join(prefix.select("node", "sketch"), "node").drop("listed")
+    return sketches.unionByName(kept.where(F.col("listed") <= LONG).drop("listed").withColumn("sketch", F.lit(None).cast("array<int>")))
 
 
 def possible(x: str, y: str, percent: int, matches: Column | None = None) -> Column:
@@ -206,6 +228,14 @@ def possible(x: str, y: str, percent: int, matches: Column | None = None) -> Col
     return fits & (F.col(f"{x}.pos") < n - overlap + matches) & (F.col(f"{y}.pos") < m - overlap + matches)
 
 
+def overlapping(x: str, y: str, percent: int) -> Column:
+    """Whether the sketches leave room for the shingles that a pair must share: in each
+    bucket two sets share no more than the smaller of their counts."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    apart = F.aggregate(F.zip_with(f"{x}.sketch", f"{y}.sketch", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, v: s + v)
+    return F.coalesce(n + m - apart >= 2 * F.ceil((n + m) * percent / (100 + percent)), F.lit(True))
+
+
 def enough(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) that share as many shingles as both prefixes call for. Input: one row
     per pair and shared shingle, with ``wanted``, the smaller ``l`` of the two."""
@@ -236,7 +266,7 @@ def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
     end outside the list's largest component, so only those ends look for partners."""
     others = lists.where(F.col("root") != F.col("main")).alias("x")
     once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", percent)
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & once & possible("x", "y", percent) & overlapping("x", "y", percent)
     rows = others.join(lists.alias("y"), meet)
     return enough(rows.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.matches", "y.matches").alias("wanted")))
 

@@ -37,7 +37,7 @@ SHARD_TOKENS = 2_000_000
 #: most as many as the reciprocal.
 HOT_SHARE = 2.0**-16
 #: Tokens of documents sent together.
-SENT_TOKENS = 4_000_000
+SENT_TOKENS = 2_000_000
 LEVELS = 256
 
 
