@@ -22,7 +22,7 @@ from nearfield.session import stage, stage_path
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RADII = (0.05, 0.1, 0.2)
-N_QUERIES = 20
+N_QUERIES, MANY_QUERIES = 20, 1_000
 
 
 def drain(df: DataFrame) -> None:
@@ -72,6 +72,9 @@ def main() -> None:
             "share_read": round(sums[0] / (total * N_QUERIES), 4),
             "share_compared": round(sums[1] / (total * N_QUERIES), 4),
         }
+    q = w.batch(objects, 0.1, MANY_QUERIES)
+    timed("range_query_batch_many", lambda: drain(similarity.range_query_batch(objects, q, w.METRIC)))
+    timed("range_query_indexed_many", lambda: drain(search.range_query_indexed(index.tree, index.bucket_objects, q)))
     q = w.batch(objects, 0.2, N_QUERIES)
     timed("range_query", lambda: drain(similarity.range_query(objects, probe, 0.2, w.METRIC)))
     timed("range_query_approx", lambda: drain(search.range_query_approx(index.tree, index.bucket_objects, q)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.session import SPLIT_KEYS, stage
 
 GROUP_ROWS = 1_000_000
+MOST_PIECES = 20_000
 
 
 def running_total(
@@ -39,7 +40,9 @@ def running_total(
     hot = F.broadcast(stage(sizes.where(F.col("_n") > limit).select(*group), "hot-groups"))
     small = _window_total(df.join(hot, group, "left_anti"), group, order, value, name)
     big = df.join(hot, group, "left_semi")
-    pieces = max(2, -(-total[0] // group_rows))
+    # A piece only streams through its window, so it may be large; too many would
+    # weigh on the shuffle instead.
+    pieces = min(MOST_PIECES, max(2, -(-total[0] // group_rows)))
     # The piece number must be fixed before it is used twice: stage it.
     ranged = stage(
         big.withColumn("_v", value)

@@ -6,20 +6,24 @@ that share a cell are compared. The join is an equi-join on the cell."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distances import Metric, columns, distances_to
-from nearfield.operators.pivots import hash_key, pick_columns, sample_distances
+from nearfield.operators.pivots import hash_fraction, hash_key, pick_columns, sample_distances, sample_objects
 from nearfield.operators.probes import MAX_PROBES
 from nearfield.schema import ANSWER_TOLERANCE, PRUNE_SLACK, RANK_PLACES
 from nearfield.session import BROADCAST_ROWS, fits_broadcast, lookup_join, stage
 
-GRID_BINS = 24
+# Bins of an axis: at least so many, and more for cells of about CELL_ROWS objects.
+GRID_BINS, MOST_BINS = 24, 256
+CELL_ROWS = 10_000
 _GRID_SAMPLE, _GRID_CANDIDATES = 256, 8
-_PEEK_ROWS = 4096
+# About so many objects give a first kNN radius; slices grow by this factor.
+_PEEK_ROWS, _SLICE_GROWTH = 4096, 16
 
 
 def range_query(objects: DataFrame, query: Row, radius: float, metric: Metric) -> DataFrame:
@@ -69,11 +73,16 @@ def _extend(reach: Column, bins: int):
     return lambda cell: F.transform(reach, lambda b: cell * bins + b)
 
 
-def plan_grid(objects: DataFrame, metric: Metric, axes: int = 2, bins: int = GRID_BINS) -> Grid:
-    """A grid fitted to the first few objects read. It decides speed only."""
-    peek = objects.select("id", *metric.columns).where(metric.complete(columns(metric))).limit(_GRID_SAMPLE).collect()
+def plan_grid(objects: DataFrame, metric: Metric, axes: int = 2, bins: int | None = None) -> Grid:
+    """A grid fitted to the objects with the smallest hashed ids, so that it is
+    the same however the input is laid out. It decides speed only. More objects
+    get more cells."""
+    whole = objects.select("id", *metric.columns).where(metric.complete(columns(metric)))
+    peek = sample_objects(whole, metric, 0, _GRID_SAMPLE)
     if not peek:
         return Grid([], [], [])
+    if bins is None:
+        bins = min(MOST_BINS, max(GRID_BINS, math.ceil(math.sqrt(objects.count() / CELL_ROWS))))
     head = peek[:_GRID_CANDIDATES]
     matrix = sample_distances(objects, metric, peek, head)
     picked = pick_columns(matrix, axes, [], range(len(head)))
@@ -136,7 +145,8 @@ def knn(
 
 def _with_knn_radius(objects: DataFrame, queries: DataFrame, k: int, metric: Metric, max_probes: int) -> DataFrame:
     queries = queries.select("qid", *metric.columns)
-    subset = objects.select("id", *metric.columns).limit(_PEEK_ROWS)
+    total = objects.count()
+    subset = hash_fraction(objects.select("id", *metric.columns), _PEEK_ROWS, total, hash_key(0))
     unbounded = F.lit(float("inf"))
     if fits_broadcast(queries, max_probes):
         probes = queries.collect()
@@ -148,7 +158,7 @@ def _with_knn_radius(objects: DataFrame, queries: DataFrame, k: int, metric: Met
         return queries.withColumn("radius", F.coalesce(F.try_element_at(known, F.col("qid")), unbounded))
 
     # Many queries: d(q, o) <= d(q, p) + d(p, o), so a pivot with k objects close
-    # by bounds every query near it. Then tighten on a thin slice of the data.
+    # by bounds every query near it. Then tighten on growing slices of the data.
     side = columns(metric)
     whole = subset.where(metric.complete(side))
     pivots = whole.limit(MAX_PROBES).collect()
@@ -161,16 +171,19 @@ def _with_knn_radius(objects: DataFrame, queries: DataFrame, k: int, metric: Met
         best = F.array_min(F.zip_with(near, spread, lambda d, s: d + s))
         bound = F.when(metric.complete(side), best).otherwise(unbounded)
     rows = stage(queries.withColumn("radius", bound), "knn-radius")
-    thin = objects.where(F.pmod(hash_key(0), F.lit(64)) == 0)
-    closer = range_query_batch(thin, rows, metric)
-    tight = nearest(closer, k).where(F.col("rank") == k).select("qid", loosened(F.col("dist")).alias("_tight"))
-    tighter = rows.join(tight, "qid", "left").withColumn("radius", F.least("radius", "_tight")).drop("_tight")
-    return stage(tighter, "knn-radius")
+    size = _PEEK_ROWS * _SLICE_GROWTH
+    while size * 4 <= total:
+        closer = range_query_batch(hash_fraction(objects, size, total, hash_key(0)), rows, metric)
+        tight = nearest(closer, k).where(F.col("rank") == k).select("qid", loosened(F.col("dist")).alias("_tight"))
+        tighter = rows.join(tight, "qid", "left").withColumn("radius", F.least("radius", "_tight")).drop("_tight")
+        rows = stage(tighter, "knn-radius")
+        size *= _SLICE_GROWTH
+    return rows
 
 
 def _kth_distances(subset: DataFrame, probes: list[Row], k: int, metric: Metric) -> dict[int, float]:
     """For each probe the k-th smallest distance within ``subset``, which holds
-    at most _PEEK_ROWS objects; probes that see fewer than k are left out."""
+    about _PEEK_ROWS objects; probes that see fewer than k are left out."""
     if not probes:
         return {}
     near = subset.select(F.posexplode(distances_to(metric, probes, columns(metric), looped=True)).alias("probe", "d"))

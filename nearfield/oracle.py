@@ -165,6 +165,13 @@ def oracle_sql() -> dict[str, str]:
           SELECT qq.qid, ad.id, round({dist('ad', 'qq')}, 6) AS dist FROM ad CROSS JOIN qq JOIN s USING (qid)
           WHERE round({dist('ad', 'qq')}, 9) <= 0.2 AND (certified IS NULL OR {dist('ad', 'qq')} < certified)""",
         "range_query_indexed": indexed,
+        "incremental_insert_answers": indexed,
+        "stream_answers": indexed,
+        "range_query_indexed_partial": f"""WITH {O}, {Q}, d AS (SELECT q.id AS qid, o.id,
+          CASE WHEN q.id % 2 = 0 THEN abs(o.n-q.n) ELSE 0 END + {vec('o', 'q')} AS d FROM o CROSS JOIN q)
+          SELECT qid, id, round(d, 6) AS dist FROM d WHERE round(d, 9) <= 0.2""",
+        "pivot_exclude_pairs": reached(0.2) + """SELECT c.qid, ad.id FROM c JOIN ad USING (level, bucket) JOIN qq USING (qid)
+          WHERE abs(ad.d0 - qq.d0) <= 0.2 AND abs(ad.d1 - qq.d1) <= 0.2""",
         "pivot_exclude": pairs(0.2, "q.id AS qid, o.id"),
         "pivot_include": ADDRESS + """, qq AS (SELECT * FROM ad ORDER BY id LIMIT 10)
           SELECT qq.id AS qid, ad.id FROM ad CROSS JOIN qq WHERE ad.d0 + qq.d0 <= 0.6 OR ad.d1 + qq.d1 <= 0.6""",

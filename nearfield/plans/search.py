@@ -58,6 +58,13 @@ def range_query_ids(tree: Tree, objects: Objects, queries: DataFrame, max_broadc
     return pairs.where(sure | (dist < F.col("radius") + ANSWER_TOLERANCE)).select("qid", "id")
 
 
+def surviving_pairs(tree: Tree, objects: Objects, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Pairs (qid, id) of the buckets read that no known pivot distance excludes;
+    only these need the exact distance."""
+    read = _probe_rows(tree, queries, tree.candidates(queries), "radius")
+    return _filtered(tree, _read(tree, objects, read, max_broadcast_rows)).select("qid", "id")
+
+
 def range_query_limited(tree: Tree, objects: Objects, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """At most one bucket per level is read; answers up to rho are complete
     (``guaranteed``), farther ones are those that happened to be read."""

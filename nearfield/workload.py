@@ -356,6 +356,35 @@ def incremental_insert(spark, sf_dir):
     return _placed(index.objects())
 
 
+def _split_in_two(spark, sf_dir, keep):
+    """An index over part of the objects, and the others."""
+    objects = metric_objects(spark, sf_dir)
+    first = objects.where(keep)
+    index = MetricIndex.build(
+        first, stage_path(spark, "index"), METRIC, rho=RHO / 2, limits=limits_for(first.count()), fixed_pivots=first_objects(objects, 2)
+    )
+    return index, objects
+
+
+def incremental_insert_answers(spark, sf_dir):
+    """Range queries over an index that took half of its objects later."""
+    index, objects = _split_in_two(spark, sf_dir, F.col("id") % 2 == 0)
+    index.insert(objects.where(F.col("id") % 2 == 1))
+    return rounded(search.range_query_indexed(index.tree, index.bucket_objects, batch(objects, 0.2)), "dist")
+
+
+def stream_answers(spark, sf_dir):
+    """Range queries over an index and arrivals placed before it was extended."""
+    index, objects = _split_in_two(spark, sf_dir, F.col("id") % 4 == 0)
+    source, sink, state = (stage_path(spark, n) for n in ("arriving", "placed", "stream"))
+    objects.where(F.col("id") % 4 == 1).select("id", "number", "vector").write.parquet(source)
+    stream = arrivals.object_stream(spark, source, spark.read.parquet(source).schema)
+    arrivals.start_placing(index, stream, sink, state).awaitTermination()
+    index.insert(objects.where(F.col("id") % 4 >= 2))
+    found = search.range_query_indexed(index.tree, arrivals.with_arrivals(index, sink), batch(objects, 0.2))
+    return rounded(found, "dist")
+
+
 def index_report(spark, sf_dir):
     tree, objects = fixed_objects(spark, sf_dir)
     pivot_rows = indexes.pivots_table(spark, tree, [objects.schema[c] for c in ("id", "number", "vector")])
@@ -405,6 +434,18 @@ def range_query_indexed(spark, sf_dir, radius: float = 0.2):
     return rounded(search.range_query_indexed(*_indexed(spark, sf_dir, radius)), "dist")
 
 
+def range_query_indexed_partial(spark, sf_dir):
+    """Some queries lack the number; they read every bucket."""
+    tree, objects, queries = _indexed(spark, sf_dir, 0.2)
+    partial = queries.withColumn("number", F.when(F.col("qid") % 2 == 0, F.col("number")))
+    return rounded(search.range_query_indexed(tree, objects, partial), "dist")
+
+
+def pivot_exclude_pairs(spark, sf_dir):
+    tree, objects = fixed_objects(spark, sf_dir)
+    return search.surviving_pairs(tree, objects, batch(objects, 0.2))
+
+
 def range_query_limited(spark, sf_dir):
     found = search.range_query_limited(*_indexed(spark, sf_dir, 0.2))
     return rounded(found.where("guaranteed").select("qid", "id", "dist"), "dist")
@@ -509,6 +550,8 @@ def registered() -> dict[str, Query]:
         "overflowing_buckets": overflowing_buckets,
         "bulk_build": bulk_build,
         "incremental_insert": incremental_insert,
+        "incremental_insert_answers": incremental_insert_answers,
+        "stream_answers": stream_answers,
         "index_report": index_report,
         "stream_assign": stream_assign,
         "range_query": range_query,
@@ -518,7 +561,9 @@ def registered() -> dict[str, Query]:
         "range_query_limited": range_query_limited,
         "range_query_approx": range_query_approx,
         "range_query_indexed": range_query_indexed,
+        "range_query_indexed_partial": range_query_indexed_partial,
         "pivot_exclude": pivot_exclude,
+        "pivot_exclude_pairs": pivot_exclude_pairs,
         "pivot_include": pivot_include,
         "knn": knn,
         "knn_embeddings": knn_embeddings,
