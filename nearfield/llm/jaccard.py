@@ -100,7 +100,7 @@ def sets(documents: DataFrame, width: int) -> DataFrame:
                 band = s[: np.searchsorted(s, limit)]
                 counts.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
-                bands.append(band.view(np.int64))
+                bands.append(band.view(np.int64).copy())  # a view would keep the whole set
                 ends.append(ends[-1] + len(band))
                 outside.append(s[len(band) :])
                 held += len(outside[-1])
@@ -177,7 +177,7 @@ def prefixes(documents: DataFrame, width: int, percent: int, common: tuple[np.nd
                         s = s[np.argsort(df, kind="stable")]
                 nodes.append(node)
                 sizes.append(len(s))
-                parts.append(s[:length].view(np.int64))
+                parts.append(s[:length].view(np.int64).copy())
                 ends.append(ends[-1] + length)
             flat = pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(

@@ -24,6 +24,8 @@ from nearfield.session import fits_broadcast, stage
 MIN_WORDS = 4
 #: Words from which on one edited word still counts as the same line.
 NEAR_WORDS = 10
+#: Words whose lines are hashed together.
+HASHED_WORDS = 300_000
 LAST = (1 << 63) - 1  # orders rows without id behind the others
 
 _ODD = int(MIX) | 1
@@ -84,7 +86,20 @@ def occurrences(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            row, number, sizes, words_ = [], [], [], []
+            row, number, sizes, held, size = [], [], [], [], 0
+
+            def hashed() -> pa.RecordBatch:
+                n = np.array(sizes)
+                h1, h2, halves = line_hashes(np.concatenate(held), n)
+                at = pa.array(row)
+                return pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(at), batch.column("th").take(at), pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * 4, pa.int32()), pa.array(halves.ravel())),
+                    ],
+                    names=["id", "th", "no", "n", "h1", "h2", "halves"],
+                )
+
             for i, value in enumerate(batch.column("text")):
                 if not value.is_valid:
                     continue
@@ -94,19 +109,13 @@ def occurrences(documents: DataFrame) -> DataFrame:
                         row.append(i)
                         number.append(no)
                         sizes.append(len(some))
-                        words_.append(memo.of(some))
-            if not row:
-                continue
-            n = np.array(sizes)
-            h1, h2, halves = line_hashes(np.concatenate(words_), n)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(at), batch.column("th").take(at), pa.array(number, pa.int64()), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * 4, pa.int32()), pa.array(halves.ravel())),
-                ],
-                names=["id", "th", "no", "n", "h1", "h2", "halves"],
-            )
+                        held.append(memo.of(some))
+                        size += len(some)
+                if size >= HASHED_WORDS:
+                    yield hashed()
+                    row, number, sizes, held, size = [], [], [], [], 0
+            if row:
+                yield hashed()
 
     return keyed(documents).mapInArrow(run, "id long, th long, no long, n long, h1 long, h2 long, halves array<long>")
 

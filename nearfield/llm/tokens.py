@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces remembered by a worker before it starts anew, and pieces of texts held at a time.
-MEMO_PIECES = 1_000_000
-HELD_PIECES = 400_000
+MEMO_PIECES = 500_000
+HELD_PIECES = 250_000
 ENCODE_AT_ONCE = 4096
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}

@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A memo is emptied when it holds this many words, so a worker's memory is bounded
 #: whatever the vocabulary.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xC2B2AE3D27D4EB4F)
