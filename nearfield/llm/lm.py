@@ -32,12 +32,12 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b" end"))
 BEGIN = np.uint64(xxhash.xxh3_64_intdigest(b" begin"))
 
 MU = 100.0
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 4_000_000
 #: Words with more than this share of the training tokens are cut by context; there are at
 #: most as many as the reciprocal.
 HOT_SHARE = 2.0**-16
 #: Tokens of documents sent together.
-SENT_TOKENS = 2_000_000
+SENT_TOKENS = 3_000_000
 LEVELS = 256
 
 
@@ -274,7 +274,9 @@ def sent_tokens(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards
                 docs, d = np.unique(doc[rows], return_inverse=True)
                 run_ = np.lexsort((u, w))
                 narrow = lambda x: x[run_].astype(np.uint16 if x.max() < 1 << 16 else np.uint32)
-                data = _blob((docs, [ids[i] for i in docs], train[docs], words, contexts, np.bincount(w), narrow(u), narrow(d)))
+                # The ids travel once for a parcel, by way of its first shard.
+                names = ids if s == present[0] else None
+                data = _blob((docs.astype(np.uint32), names, train[docs], words, contexts, np.bincount(w), narrow(u), narrow(d)))
                 yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([1], pa.int32()), pa.array([(part << 36) + parcel]), pa.array([data], pa.binary())], names=["shard", "kind", "parcel", "data"])
 
         for batch in batches:
@@ -323,7 +325,7 @@ WHOLE = "doc_id long, n_tokens long, n_known long, base_score double, score doub
 
 
 def scored_shard(lists: list[tuple], parcels: list[tuple], total: int, distinct: int, mu: float) -> Iterator[tuple]:
-    """For each parcel its documents' numbers and ids, and their tokens, known tokens and
+    """For each parcel its documents' numbers, the ids if they came, and their tokens, known tokens and
     two scores over the tokens of one shard."""
     scale = total + 0.5 * (distinct + 1)
     words = np.concatenate([x[0] for x in lists]) if lists else np.zeros(0, np.uint64)
@@ -361,7 +363,9 @@ def scored_shard(lists: list[tuple], parcels: list[tuple], total: int, distinct:
         mine = pair_of[done : done + len(context)]
         done += len(context)
         k = len(docs)
-        yield docs, names, np.bincount(doc, minlength=k), np.bincount(doc, known[mine], k), np.bincount(doc, base[mine], k), np.bincount(doc, score[mine], k)
+        tokens, mine_known = np.bincount(doc, minlength=k), np.bincount(doc, known[mine], k)
+        small = np.uint16 if tokens.max() < 1 << 16 else np.uint64
+        yield docs, names, tokens.astype(small), mine_known.astype(small), np.bincount(doc, base[mine], k), np.bincount(doc, score[mine], k)
 
 
 def summed(partial: DataFrame) -> DataFrame:
@@ -371,12 +375,9 @@ def summed(partial: DataFrame) -> DataFrame:
         parcel, parts = None, []
 
         def done() -> pa.RecordBatch:
-            n = 1 + max(int(p[0].max()) for p in parts)
-            ids: list = [None] * n
-            sums = np.zeros((4, n))
-            for docs, names, *values in parts:
-                for i, name in zip(docs, names):
-                    ids[i] = name
+            ids = next(names for _, names, *_ in parts if names is not None)
+            sums = np.zeros((4, len(ids)))
+            for docs, _, *values in parts:
                 for k, v in enumerate(values):
                     sums[k, docs] += v
             whole = [pa.array(sums[k].astype(np.int64)) for k in (0, 1)]
