@@ -1,4 +1,4 @@
-"""Every registered query against its SQL."""
+"""Every query of the reference's operators against its SQL."""
 
 from pathlib import Path
 
@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from nearfield import oracle, workload
 from tests.conftest import SF_DIR
 
-SQL = contract.oracle_sql()
+SQL, QUERIES = oracle.oracle_sql(), workload.registered()
 
 
 @pytest.fixture(scope="module")
@@ -25,16 +26,17 @@ def normal(rows, names):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(contract.queries())
+    assert set(SQL) == set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_sql(spark, duck, name):
-    df = contract.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     expected = duck.execute(SQL[name])
     names = [d[0] for d in expected.description]
     assert sorted(df.columns) == sorted(names)
