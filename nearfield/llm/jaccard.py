@@ -198,7 +198,8 @@ def postings(prefix: DataFrame, percent: int) -> DataFrame:
 
     The prefix for ``l`` meets some postings of other nodes, and about as many nodes share
     ``l`` of its shingles as its ``l``-th longest list has others (exactly, where lists lie
-    within one another); ``l`` makes postings plus pairs to verify cheapest."""
+    within one another); ``l`` makes postings plus pairs to verify cheapest. It is never more
+    than the node shares with any similar one, so no pair has to share more than it must."""
     each = prefix.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = each.groupBy("token").agg(F.count("*").alias("listed")).where(F.col("listed") > 1)
     met = stage(each.join(shared, "token"), "postings")
@@ -206,9 +207,10 @@ def postings(prefix: DataFrame, percent: int) -> DataFrame:
     for matches in range(1, MOST_MATCHES + 1):
         read = F.sum(F.when(F.col("pos") < prefix_length(F.col("n"), matches, percent), F.col("listed") - 1).otherwise(0))
         costs.append(read.alias(f"read{matches}"))
-    chosen = met.groupBy("node").agg(*costs, F.sort_array(F.collect_list(F.col("listed") - 1), asc=False).alias("others"))
+    chosen = met.groupBy("node").agg(F.first("n").alias("n"), *costs, F.sort_array(F.collect_list(F.col("listed") - 1), asc=False).alias("others"))
     pairs = lambda m: VERIFY_COST * F.coalesce(F.get("others", F.lit(m - 1)), F.lit(0))
-    chosen = chosen.select("node", *((F.col(f"read{m}") + pairs(m)).alias(f"c{m}") for m in range(1, MOST_MATCHES + 1)))
+    allowed = lambda m: F.ceil(F.col("n") * percent / 100) >= m
+    chosen = chosen.select("node", *(F.when(allowed(m), F.col(f"read{m}") + pairs(m)).alias(f"c{m}") for m in range(1, MOST_MATCHES + 1)))
     best = F.array_position(F.array(*(F.col(f"c{m}") for m in range(1, MOST_MATCHES + 1))), F.least(*(F.col(f"c{m}") for m in range(1, MOST_MATCHES + 1))))
     chosen = chosen.select("node", best.cast("int").alias("matches"))
     kept = met.join(chosen, "node").where(F.col("pos") < prefix_length(F.col("n"), F.col("matches"), percent))

@@ -61,6 +61,15 @@ def test_equals_all_pairs(make_documents, monkeypatch, width, percent):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows, width, percent)
 
 
+@pytest.mark.parametrize("width, percent", [(5, 80), (2, 40)])
+def test_short_texts_need_not_share_more_than_they_must(make_documents, width, percent):
+    words = [f"w{i}" for i in range(9)]
+    rows = [(1, " ".join(words[:8])), (2, " ".join(words))]
+    rows += [(10 + 2 * i + k, " ".join(f"g{i}x{j}" for j in range(n))) for i in range(20) for k, n in enumerate((i % 10 + 1, i % 10 + 2))]
+    got = jaccard.similarity_classes(make_documents(rows), width, percent).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows, width, percent)
+
+
 def test_hard_texts_and_stage_form(make_documents, hard_texts):
     df = make_documents(hard_texts)
     got = jaccard.similarity_classes(df).collect()
