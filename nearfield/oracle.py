@@ -18,9 +18,21 @@ def dist(a: str, b: str) -> str:
     return f"(abs({a}.n-{b}.n) + {vec(a, b)})"
 
 
-def pairs(radius: float | str, columns: str = "q.id AS qid, o.id, round({d}, 6) AS dist") -> str:
+def every(radius: float) -> str:
+    """Every object whose id 50 divides as a query, and a radius that falls with the rows."""
+    return f"q AS (SELECT * FROM o WHERE id % 50 = 0), {shrunk(radius)}"
+
+
+def shrunk(radius: float) -> str:
+    return f"r AS (SELECT round({radius}::DOUBLE * 5.5::DOUBLE / sqrt(sqrt(count(*))), 6) AS r FROM o)"
+
+
+R = "(SELECT r FROM r)"
+
+
+def pairs(radius: float | str, columns: str = "q.id AS qid, o.id, round({d}, 6) AS dist", asked: str = Q) -> str:
     d = dist("o", "q")
-    return f"WITH {O}, {Q} SELECT {columns.format(d=d)} FROM o CROSS JOIN q WHERE round({d}, 9) <= {radius}"
+    return f"WITH {O}, {asked} SELECT {columns.format(d=d)} FROM o CROSS JOIN q WHERE round({d}, 9) <= {radius}"
 
 
 # Distances to the smallest id, with the two counts a balanced split weighs.
@@ -45,11 +57,12 @@ ad AS (SELECT *, CASE WHEN leaf IS NULL THEN 1 ELSE 0 END AS level, coalesce(lea
 """
 
 
-def reached(radius: float) -> str:
-    """Buckets that balls of the ten queries reach, and how far outside each lies."""
-    r = f"{radius}::DOUBLE"
-    return ADDRESS + f""",
-qq AS (SELECT id AS qid, n, x, y, z, d0, d1 FROM ad ORDER BY id LIMIT 10),
+def reached(radius: float, all_queries: bool = False) -> str:
+    """Buckets that balls of the queries reach, and how far outside each lies."""
+    r = R if all_queries else f"{radius}::DOUBLE"
+    chosen = "WHERE id % 50 = 0" if all_queries else "ORDER BY id LIMIT 10"
+    return ADDRESS + (f", {shrunk(radius)}" if all_queries else "") + f""",
+qq AS (SELECT id AS qid, n, x, y, z, d0, d1 FROM ad {chosen}),
 t AS (SELECT qid, 0 AS level, 3 AS bucket, d0 + {r} > {ROOT_OUT} AS hit, d0 - {r} > {ROOT_OUT} AS inside,
     d0 > {ROOT_OUT} AS own, {ROOT_OUT} - d0 AS gap FROM qq
   UNION ALL SELECT qid, 0, 4, d0 - {r} <= {ROOT_IN} AND d1 - {r} <= {INNER_IN}, d0 + {r} <= {ROOT_IN} AND d1 + {r} <= {INNER_IN},
@@ -77,6 +90,43 @@ def digit_group(i: int) -> str:
     return f"('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT / 4294967296.0::DOUBLE"
 
 
+def many_sql() -> dict[str, str]:
+    """The queries over every object whose id 50 divides."""
+    indexed = pairs(R, asked=every(0.2))
+    ranked = f"""WITH {O}, {every(0.2)}, a AS (SELECT q.id AS qid, o.id, {dist('o', 'q')} AS d FROM o CROSS JOIN q),
+      s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM a"""
+    return {
+        "range_query_batch_many": indexed,
+        "range_query_indexed_many": indexed,
+        "incremental_insert_answers_many": indexed,
+        "stream_answers_many": indexed,
+        "merge_answers_many": indexed,
+        "range_query_limited_many": pairs(f"least({R}, 0.05::DOUBLE)", asked=every(0.2)),
+        "pivot_exclude_many": pairs(R, "q.id AS qid, o.id", every(0.2)),
+        "candidate_buckets_many": reached(0.05, True) + "SELECT qid, level, bucket FROM c",
+        "range_query_approx_many": reached(0.2, True) + f""",
+          s AS (SELECT qid, min(gap) FILTER (NOT own) AS certified FROM c GROUP BY qid)
+          SELECT qq.qid, ad.id, round({dist('ad', 'qq')}, 6) AS dist FROM ad CROSS JOIN qq JOIN s USING (qid)
+          WHERE round({dist('ad', 'qq')}, 9) <= {R} AND (certified IS NULL OR {dist('ad', 'qq')} < certified)""",
+        "pivot_include_many": ADDRESS + f""", {shrunk(0.6)}, qq AS (SELECT * FROM ad WHERE id % 50 = 0)
+          SELECT qq.id AS qid, ad.id FROM ad CROSS JOIN qq WHERE ad.d0 + qq.d0 <= {R} OR ad.d1 + qq.d1 <= {R}""",
+        "knn_many": ranked + ") SELECT qid, id, round(d, 6) AS dist, rank FROM s WHERE rank <= 5",
+        "knn_embeddings_many": """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+          q AS (SELECT * FROM e WHERE id % 50 = 0),
+          a AS (SELECT q.id AS qid, e.id, list_distance(e.v, q.v) AS d FROM e CROSS JOIN q),
+          r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM a)
+          SELECT qid, id, round(d, 6) AS dist, rank FROM r WHERE rank <= 5""",
+        "ranked_answers_many": ranked + f" WHERE round(d, 9) <= {R}) SELECT qid, rank, id FROM s",
+        "answer_counts_many": f"""WITH {O}, {every(0.05)} SELECT q.id AS qid, count(o.id) AS n FROM q CROSS JOIN r LEFT JOIN o
+          ON round({dist('o', 'q')}, 9) <= r.r GROUP BY q.id""",
+        "query_cost_many": reached(0.1, True) + f""", m AS (SELECT c.qid, c.level, c.bucket, ad.d0, ad.d1, qq.d0 AS e0, qq.d1 AS e1
+            FROM c JOIN ad USING (level, bucket) JOIN qq USING (qid))
+          SELECT c.qid, count(*) AS buckets, coalesce(any_value(k.candidates), 0) AS candidates, coalesce(any_value(k.after_filter), 0) AS after_filter
+          FROM c LEFT JOIN (SELECT qid, count(*) AS candidates, count(*) FILTER (abs(d0 - e0) <= {R} AND abs(d1 - e1) <= {R})
+            AS after_filter FROM m GROUP BY qid) k USING (qid) GROUP BY c.qid""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     f1 = f"WITH {O} "
     plain = f1 + "SELECT id, n AS number FROM o"
@@ -195,4 +245,4 @@ def oracle_sql() -> dict[str, str]:
           FROM c JOIN qq USING (qid) LEFT JOIN k USING (level, bucket) LEFT JOIN ad ON ad.level = c.level AND ad.bucket = c.bucket
           GROUP BY c.qid, c.level, c.bucket""",
         "merge_answers": indexed,
-    }
+    } | many_sql()

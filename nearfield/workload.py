@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from nearfield.streaming import arrivals
 METRIC = CompositeMetric(length=3)
 RHO = 0.1
 N_QUERIES = 10
+# The many-query entries ask for every object whose id this divides; see ``many``.
+EVERY, SHRINK = 50, 5.5
 K = 5
 ROUND = 6
 
@@ -76,6 +80,15 @@ def batch(objects: DataFrame, radius: float, n: int = N_QUERIES) -> DataFrame:
     return stage(first.withColumn("radius", F.lit(radius)), "queries")
 
 
+def many(objects: DataFrame, radius: float) -> DataFrame:
+    """Range queries around every object with an id divisible by ``EVERY``. The radius falls
+    with the fourth root of the table's rows, as many as objects have dimensions, so that a
+    query has about as many answers at any size."""
+    chosen = objects.where(F.col("id") % EVERY == 0).select(F.col("id").alias("qid"), "number", "vector")
+    shrunk = round(radius * SHRINK / math.sqrt(math.sqrt(max(1, objects.count()))), 6)
+    return stage(chosen.withColumn("radius", F.lit(shrunk)), "queries")
+
+
 def first_objects(objects: DataFrame, n: int):
     return probes.smallest_ids(objects.select("id", "number", "vector"), n)
 
@@ -366,14 +379,14 @@ def _split_in_two(spark, sf_dir, keep):
     return index, objects
 
 
-def incremental_insert_answers(spark, sf_dir):
+def incremental_insert_answers(spark, sf_dir, ask=batch):
     """Range queries over an index that took half of its objects later."""
     index, objects = _split_in_two(spark, sf_dir, F.col("id") % 2 == 0)
     index.insert(objects.where(F.col("id") % 2 == 1))
-    return rounded(search.range_query_indexed(index.tree, index.bucket_objects, batch(objects, 0.2)), "dist")
+    return rounded(search.range_query_indexed(index.tree, index.bucket_objects, ask(objects, 0.2)), "dist")
 
 
-def stream_answers(spark, sf_dir):
+def stream_answers(spark, sf_dir, ask=batch):
     """Range queries over an index and arrivals placed before it was extended."""
     index, objects = _split_in_two(spark, sf_dir, F.col("id") % 4 == 0)
     source, sink, state = (stage_path(spark, n) for n in ("arriving", "placed", "stream"))
@@ -381,7 +394,7 @@ def stream_answers(spark, sf_dir):
     stream = arrivals.object_stream(spark, source, spark.read.parquet(source).schema)
     arrivals.start_placing(index, stream, sink, state).awaitTermination()
     index.insert(objects.where(F.col("id") % 4 >= 2))
-    found = search.range_query_indexed(index.tree, arrivals.with_arrivals(index, sink), batch(objects, 0.2))
+    found = search.range_query_indexed(index.tree, arrivals.with_arrivals(index, sink), ask(objects, 0.2))
     return rounded(found, "dist")
 
 
@@ -411,27 +424,27 @@ def range_query(spark, sf_dir):
     return rounded(similarity.range_query(objects, first_objects(objects, 1)[0], 0.2, METRIC), "dist")
 
 
-def range_query_batch(spark, sf_dir, radius: float = 0.2):
+def range_query_batch(spark, sf_dir, radius: float = 0.2, ask=batch):
     objects = metric_objects(spark, sf_dir)
-    return rounded(similarity.range_query_batch(objects, batch(objects, radius), METRIC), "dist")
+    return rounded(similarity.range_query_batch(objects, ask(objects, radius), METRIC), "dist")
 
 
-def candidate_buckets(spark, sf_dir, radius: float = 0.05):
+def candidate_buckets(spark, sf_dir, radius: float = 0.05, ask=batch):
     objects = metric_objects(spark, sf_dir)
-    return search.candidate_buckets(fixed_tree(objects), batch(objects, radius))
+    return search.candidate_buckets(fixed_tree(objects), ask(objects, radius))
 
 
 def candidate_buckets_wide(spark, sf_dir):
     return candidate_buckets(spark, sf_dir, 0.2)
 
 
-def _indexed(spark, sf_dir, radius):
+def _indexed(spark, sf_dir, radius, ask=batch):
     index = built_index(spark, sf_dir)
-    return index.tree, index.bucket_objects, batch(metric_objects(spark, sf_dir), radius)
+    return index.tree, index.bucket_objects, ask(metric_objects(spark, sf_dir), radius)
 
 
-def range_query_indexed(spark, sf_dir, radius: float = 0.2):
-    return rounded(search.range_query_indexed(*_indexed(spark, sf_dir, radius)), "dist")
+def range_query_indexed(spark, sf_dir, radius: float = 0.2, ask=batch):
+    return rounded(search.range_query_indexed(*_indexed(spark, sf_dir, radius, ask)), "dist")
 
 
 def range_query_indexed_partial(spark, sf_dir):
@@ -446,57 +459,57 @@ def pivot_exclude_pairs(spark, sf_dir):
     return search.surviving_pairs(tree, objects, batch(objects, 0.2))
 
 
-def range_query_limited(spark, sf_dir):
-    found = search.range_query_limited(*_indexed(spark, sf_dir, 0.2))
+def range_query_limited(spark, sf_dir, ask=batch):
+    found = search.range_query_limited(*_indexed(spark, sf_dir, 0.2, ask))
     return rounded(found.where("guaranteed").select("qid", "id", "dist"), "dist")
 
 
-def range_query_approx(spark, sf_dir):
+def range_query_approx(spark, sf_dir, ask=batch):
     tree, objects = fixed_objects(spark, sf_dir)
-    found = search.range_query_approx(tree, objects, batch(objects, 0.2))
+    found = search.range_query_approx(tree, objects, ask(objects, 0.2))
     return rounded(found.where("guaranteed").select("qid", "id", "dist"), "dist")
 
 
-def pivot_exclude(spark, sf_dir):
-    index_tree, objects, queries = _indexed(spark, sf_dir, 0.2)
+def pivot_exclude(spark, sf_dir, ask=batch):
+    index_tree, objects, queries = _indexed(spark, sf_dir, 0.2, ask)
     return search.range_query_indexed(index_tree, objects, queries).select("qid", "id")
 
 
-def pivot_include(spark, sf_dir):
+def pivot_include(spark, sf_dir, ask=batch):
     objects = metric_objects(spark, sf_dir)
     near = first_objects(objects, 2)
-    queries = batch(objects, 0.6)
+    queries = ask(objects, 0.6)
     return search.pivot_included(
         probes.with_pivot_distances(objects, near, METRIC), probes.with_pivot_distances(queries, near, METRIC), 2
     )
 
 
-def knn(spark, sf_dir):
+def knn(spark, sf_dir, ask=batch):
     objects = metric_objects(spark, sf_dir)
-    return rounded(similarity.knn(objects, batch(objects, 0.0), K, METRIC), "dist")
+    return rounded(similarity.knn(objects, ask(objects, 0.0), K, METRIC), "dist")
 
 
-def knn_embeddings(spark, sf_dir):
+def knn_embeddings(spark, sf_dir, ask=lambda vectors: vectors.orderBy("id").limit(3)):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = stage(vectors.orderBy("id").limit(3).select(F.col("id").alias("qid"), "vector"), "queries")
+    queries = stage(ask(vectors).select(F.col("id").alias("qid"), "vector"), "queries")
     return rounded(similarity.knn(vectors, queries, K, VectorMetric()), "dist")
 
 
-def ranked_answers(spark, sf_dir):
+def ranked_answers(spark, sf_dir, ask=batch):
     objects = metric_objects(spark, sf_dir)
-    found = similarity.range_query_batch(objects, batch(objects, 0.2), METRIC)
+    found = similarity.range_query_batch(objects, ask(objects, 0.2), METRIC)
     return answers.ranked_answers(found).select("qid", "rank", "id")
 
 
-def answer_counts(spark, sf_dir):
+def answer_counts(spark, sf_dir, ask=batch):
     objects = metric_objects(spark, sf_dir)
-    queries = batch(objects, 0.05)
+    queries = ask(objects, 0.05)
     return answers.answer_counts(queries, similarity.range_query_batch(objects, queries, METRIC))
 
 
-def query_cost(spark, sf_dir):
+def query_cost(spark, sf_dir, ask=batch):
     tree, objects = fixed_objects(spark, sf_dir)
-    return search.query_cost(tree, objects, batch(objects, 0.1), buckets.bucket_counts(objects))
+    return search.query_cost(tree, objects, ask(objects, 0.1), buckets.bucket_counts(objects))
 
 
 def bucket_cost(spark, sf_dir):
@@ -504,8 +517,8 @@ def bucket_cost(spark, sf_dir):
     return search.bucket_cost(tree, objects, batch(objects, 0.1), buckets.bucket_counts(objects))
 
 
-def merge_answers(spark, sf_dir):
-    index, queries = built_index(spark, sf_dir), batch(metric_objects(spark, sf_dir), 0.2)
+def merge_answers(spark, sf_dir, ask=batch):
+    index, queries = built_index(spark, sf_dir), ask(metric_objects(spark, sf_dir), 0.2)
     tree, objects = index.tree, index.objects()
     parts = [
         search.range_query_indexed(tree, objects.where(F.col("level") == number), queries)
@@ -514,6 +527,13 @@ def merge_answers(spark, sf_dir):
     return rounded(answers.merge_answers(*parts), "dist")
 
 
+#: Entries over ten (embeddings: three) queries that have one over many as well.
+ASKED = (
+    range_query_batch, range_query_indexed, range_query_limited, range_query_approx, pivot_exclude, pivot_include, knn, ranked_answers,
+    answer_counts, merge_answers, query_cost, candidate_buckets, incremental_insert_answers, stream_answers,
+)
+
+
 def registered() -> dict[str, Query]:
     return {
         "ingest_objects_text": ingest_objects_text,
@@ -572,4 +592,6 @@ def registered() -> dict[str, Query]:
         "query_cost": query_cost,
         "query_cost_by_bucket": bucket_cost,
         "merge_answers": merge_answers,
+        **{f"{query.__name__}_many": partial(query, ask=many) for query in ASKED},
+        "knn_embeddings_many": partial(knn_embeddings, ask=lambda vectors: vectors.where(F.col("id") % EVERY == 0)),
     }
