@@ -3,8 +3,9 @@
 The model has two levels, words and the words before them:
 ``p(w | u) = (c(u w) + mu p(w)) / (c(u) + mu)`` with ``p(w) = (c(w) + 1/2) / (N + (V+1)/2)``.
 It grows with the corpus, so it is cut into shards by word; a word so frequent that it
-would fill a shard is cut again by the word before it. Tokens travel to the shard of their
-word. There the training tokens are counted into a trie: words and contexts as Elias-Fano
+would fill a shard is cut again by the word before it. A pair that would fill one by itself
+is cut by parcels of documents, and its training count is summed before. Tokens travel to
+the shard of their word, as counts by pair and document. There the training tokens are counted into a trie: words and contexts as Elias-Fano
 sequences, monotone pointers from a word to the run of its contexts, and one byte for each
 quantised smoothed numerator, laid out in one memory-mapped scratch file. A token is looked
 up by successor search, the context relative to its word's run. What a word contributes as
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.words import WordHashes, finish, held_out
+from nearfield.llm.words import MIX_2, WordHashes, finish, held_out
 from nearfield.session import stage
 
 #: No word contains a blank, so these are no words.
@@ -36,6 +37,8 @@ SHARD_TOKENS = 4_000_000
 #: Words with more than this share of the training tokens are cut by context; there are at
 #: most as many as the reciprocal.
 HOT_SHARE = 2.0**-16
+#: A pair may be cut by parcel if so many training tokens taken together have it at least.
+PAIR_LEAST = 8
 #: Tokens of documents sent together.
 SENT_TOKENS = 3_000_000
 LEVELS = 256
@@ -189,13 +192,40 @@ def tokens_of(text: bytes, memo: WordHashes) -> np.ndarray:
     return np.append(memo.of(text.lower().split()), END)
 
 
-def shard_of(word: np.ndarray, context: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int) -> np.ndarray:
-    """A word's shard; for a hot word one of its several, by context."""
+def with_contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of several texts, the one before each, and the length of each text."""
+    word = np.concatenate(texts)
+    sizes = np.array([len(t) for t in texts])
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[np.cumsum(sizes) - sizes] = BEGIN
+    return word, context, sizes
+
+
+def pair_key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return finish(word * MIX_2 + finish(context))
+
+
+def place(names: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which numbers are among sorted ``names``, and where."""
+    if not len(names):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+    hit = np.flatnonzero(names[at] == x)
+    return hit, at[hit]
+
+
+def shard_of(word: np.ndarray, context: np.ndarray, hot: tuple[np.ndarray, np.ndarray], hot_pairs: tuple[np.ndarray, ...], parcel: int, shards: int) -> np.ndarray:
+    """A word's shard; for a hot word one of its several, by context; for a hot pair one of
+    its several, by parcel."""
     key = word.copy()
     if len(hot[0]):
         at = np.minimum(np.searchsorted(hot[0], word), len(hot[0]) - 1)
         cut = np.flatnonzero(hot[0][at] == word)
         key[cut] += finish(context[cut]) % hot[1][at[cut]].astype(np.uint64)
+        name = pair_key(word[cut], context[cut])
+        hit, at = place(hot_pairs[0], name)  # the word of a hot pair is hot
+        key[cut[hit]] = name[hit] + finish(np.array([parcel], np.uint64)) % hot_pairs[1][at].astype(np.uint64)
     return (finish(key) % np.uint64(shards)).astype(np.int64)
 
 
@@ -218,36 +248,69 @@ def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """word, n over the training documents, the end included."""
+def trained_batches(documents: DataFrame, run, schema: str) -> DataFrame:
+    """What ``run`` makes of the training texts, given as lists of about SENT_TOKENS tokens."""
+    most = SENT_TOKENS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, size = WordHashes(), [], 0
-
-        def counted() -> pa.RecordBatch:
-            word, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
-
         for batch in batches:
             for text in _texts(batch):
                 held.append(tokens_of(text, memo))
                 size += len(held[-1])
-                if size >= SENT_TOKENS:
-                    yield counted()
+                if size >= most:
+                    yield run(held)
                     held, size = [], 0
         if held:
-            yield counted()
+            yield run(held)
+
+    return source(documents).where(~F.col("held_out")).select("text").mapInArrow(batched, schema)
 
-    rows = source(documents).where(~F.col("held_out")).select("text").mapInArrow(run, "word long, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
+
+COUNTED = "word long, context long, n long"
+
+
+def word_counts(documents: DataFrame) -> DataFrame:
+    """word, context, n over the training documents, the end included: words, without a
+    context, and pairs that may be hot. Those are counted only where they are a fair part
+    of the tokens taken together: at most ``HOT_SHARE / 2`` of all tokens, or fewer than
+    ``PAIR_LEAST`` for each time, are missed. So this finds what to cut, not exact counts."""
+    share, fewest = HOT_SHARE / 2, PAIR_LEAST
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        word, context, _ = with_contexts(held)
+        words, n = np.unique(word, return_counts=True)
+        least = max(fewest, int(share * len(word)))
+        rows, _ = place(words[n >= least], word)
+        _, first, times = np.unique(pair_key(word[rows], context[rows]), return_index=True, return_counts=True)
+        first, times = rows[first[times >= least]], times[times >= least]
+        contexts = [pa.nulls(len(words), pa.int64()), pa.array(context[first].view(np.int64))]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([words, word[first]]).view(np.int64)), pa.concat_arrays(contexts), pa.array(np.concatenate([n, times]).astype(np.int64))],
+            names=["word", "context", "n"],
+        )
+
+    return trained_batches(documents, counted, COUNTED).groupBy("word", "context").agg(F.sum("n").alias("n"))
+
+
+def pair_counts(documents: DataFrame, names: np.ndarray) -> DataFrame:
+    """The exact training counts of the pairs with these names: at, the place of the name, and n."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        word, context, _ = with_contexts(held)
+        n = np.bincount(place(names, pair_key(word, context))[1], minlength=len(names))
+        at = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n[at].astype(np.int64))], names=["at", "n"])
+
+    return trained_batches(documents, counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
 
 SENT = "shard int, kind int, parcel long, data binary"
 
 
-def sent_tokens(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards: int) -> DataFrame:
-    """The tokens of all documents by shard: for each, its word, the one before it and its
-    document, with words as places in a list of the different ones."""
+def sent_tokens(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], hot_pairs: tuple[np.ndarray, ...], shards: int) -> DataFrame:
+    """The tokens of all documents by shard: how often each document has a word and the one
+    before it, with words as places in a list of the different ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
@@ -257,13 +320,9 @@ def sent_tokens(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards
         size = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            word = np.concatenate([h[2] for h in held])
-            sizes = np.array([len(h[2]) for h in held])
-            context = np.empty_like(word)
-            context[1:] = word[:-1]
-            context[np.cumsum(sizes) - sizes] = BEGIN
+            word, context, sizes = with_contexts([h[2] for h in held])
             doc = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
-            shard = shard_of(word, context, hot, shards)
+            shard = shard_of(word, context, hot, hot_pairs, (part << 36) + parcel, shards)
             order = np.argsort(shard, kind="stable")
             present, at = np.unique(shard[order], return_index=True)
             ids = [h[0] for h in held]
@@ -272,11 +331,16 @@ def sent_tokens(documents: DataFrame, hot: tuple[np.ndarray, np.ndarray], shards
                 words, w = np.unique(word[rows], return_inverse=True)
                 contexts, u = np.unique(context[rows], return_inverse=True)
                 docs, d = np.unique(doc[rows], return_inverse=True)
-                run_ = np.lexsort((u, w))
-                narrow = lambda x: x[run_].astype(np.uint16 if x.max() < 1 << 16 else np.uint32)
+                run_ = np.lexsort((d, u, w))
+                w, u, d = w[run_], u[run_], d[run_]
+                new = np.ones(len(w), bool)
+                new[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1]) | (d[1:] != d[:-1])
+                first = np.flatnonzero(new)
+                w, u, d, times = w[first], u[first], d[first], np.diff(first, append=len(new))
+                narrow = lambda x: x.astype(np.uint16 if x.max() < 1 << 16 else np.uint32)
                 # The ids travel once for a parcel, by way of its first shard.
                 names = ids if s == present[0] else None
-                data = _blob((docs.astype(np.uint32), names, train[docs], words, contexts, np.bincount(w), narrow(u), narrow(d)))
+                data = _blob((docs.astype(np.uint32), names, train[docs], words, contexts, np.bincount(w), narrow(u), narrow(d), narrow(times)))
                 yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), pa.array([1], pa.int32()), pa.array([(part << 36) + parcel]), pa.array([data], pa.binary())], names=["shard", "kind", "parcel", "data"])
 
         for batch in batches:
@@ -324,15 +388,10 @@ PARTIAL = "parcel long, data binary"
 WHOLE = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-def scored_shard(lists: list[tuple], parcels: list[tuple], total: int, distinct: int, mu: float) -> Iterator[tuple]:
+def scored_shard(lists: list[tuple], parcels: list[tuple], hot_pairs: tuple[np.ndarray, ...], total: int, distinct: int, mu: float) -> Iterator[tuple]:
     """For each parcel its documents' numbers, the ids if they came, and their tokens, known tokens and
     two scores over the tokens of one shard."""
     scale = total + 0.5 * (distinct + 1)
-    words = np.concatenate([x[0] for x in lists]) if lists else np.zeros(0, np.uint64)
-    counts = np.concatenate([x[1] for x in lists]) if lists else np.zeros(0, np.int64)
-    words, first = np.unique(words, return_index=True)
-    counts = counts[first]
-
     # All different pairs of the shard, and which are trained how often.
     w = np.concatenate([np.repeat(p[3], p[5]) for p in parcels])
     u = np.concatenate([p[4][p[6]] for p in parcels])
@@ -344,8 +403,12 @@ def scored_shard(lists: list[tuple], parcels: list[tuple], total: int, distinct:
     pair_of[order] = np.cumsum(new) - 1
     w, u = w[new], u[new]
     trained = np.concatenate([p[2][p[7]] for p in parcels])
-    n = np.bincount(pair_of[trained], minlength=len(w))
+    n = np.bincount(pair_of[trained], np.concatenate([p[8] for p in parcels])[trained], len(w)).astype(np.int64)
+    hit, at = place(hot_pairs[0], pair_key(w, u))  # here is only a part of their tokens
+    n[hit] = hot_pairs[2][at]
     seen = n > 0
+    words, first = np.unique(np.concatenate([*(x[0] for x in lists), w[hit]]), return_index=True)
+    counts = np.concatenate([*(x[1] for x in lists), hot_pairs[3][at]])[first]
     p_word = (counts + 0.5) / scale
     trie = Trie(words, counts, np.stack([w[seen], u[seen]], 1), n[seen], p_word, mu)
 
@@ -359,13 +422,13 @@ def scored_shard(lists: list[tuple], parcels: list[tuple], total: int, distinct:
         # the beginning, which is as frequent.
         score[at] = np.where(np.isnan(numerator), np.log10(mu * p), numerator) - np.log10(count + mu)
     done = 0
-    for docs, names, _, _, _, _, context, doc in parcels:
+    for docs, names, _, _, _, _, context, doc, times in parcels:
         mine = pair_of[done : done + len(context)]
         done += len(context)
         k = len(docs)
-        tokens, mine_known = np.bincount(doc, minlength=k), np.bincount(doc, known[mine], k)
+        tokens, mine_known = np.bincount(doc, times, k), np.bincount(doc, known[mine] * times, k)
         small = np.uint16 if tokens.max() < 1 << 16 else np.uint64
-        yield docs, names, tokens.astype(small), mine_known.astype(small), np.bincount(doc, base[mine], k), np.bincount(doc, score[mine], k)
+        yield docs, names, tokens.astype(small), mine_known.astype(small), np.bincount(doc, base[mine] * times, k), np.bincount(doc, score[mine] * times, k)
 
 
 def summed(partial: DataFrame) -> DataFrame:
@@ -404,17 +467,30 @@ def scores(documents: DataFrame, mu: float = MU, shard_tokens: int = SHARD_TOKEN
     its end is scored. Repeated rows are scored and learned from as often as they come; a
     null id is not held out. An empty table gives an empty result, and without training
     documents every token is unknown."""
-    counts = stage(word_counts(documents), "word-counts")
+    found = stage(word_counts(documents), "word-counts")
+    counts = found.where(F.col("context").isNull()).select("word", "n")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(size["n"]), int(size["v"])
     shards = max(1, -(-total * 5 // (4 * shard_tokens)))  # about a fifth more tokens are scored
-    frequent = counts.where(F.col("n") > max(1, int(total * HOT_SHARE))).toPandas()  # at most 1 / HOT_SHARE rows
-    word = frequent["word"].to_numpy(np.int64).view(np.uint64)
-    times = np.minimum(shards, np.ceil(4 * shards * frequent["n"].to_numpy(float) / max(1, total))).astype(np.int64)
+    often = F.col("n") > max(1, int(total * HOT_SHARE))
+    frequent = counts.where(often).toPandas()  # at most 1 / HOT_SHARE rows
+    word, n = frequent["word"].to_numpy(np.int64).view(np.uint64), frequent["n"].to_numpy(np.int64)
+    pieces = lambda n: np.minimum(shards, np.ceil(4 * shards * n / max(1, total))).astype(np.int64)
     order = np.argsort(word)
-    hot = (word[order][times[order] > 1], times[order][times[order] > 1])
-
-    rows = sent_counts(counts, hot, shards).unionByName(sent_tokens(documents, hot, shards))
+    word, n, times = word[order], n[order], pieces(n[order])
+    hot = (word[times > 1], times[times > 1])
+
+    # Name, pieces, exact count and the word's count of each hot pair; its word is hot.
+    pairs = found.where(F.col("context").isNotNull() & often & (F.col("n") > total // (4 * shards))).toPandas()
+    first, second = (pairs[c].to_numpy(np.int64).view(np.uint64) for c in ("word", "context"))
+    name, order = np.unique(pair_key(first, second), return_index=True)
+    exact = np.zeros(len(name), np.int64)
+    if len(name):
+        rows = pair_counts(documents, name).toPandas()
+        exact[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    hot_pairs = (name, pieces(exact), exact, n[np.searchsorted(word, first[order])])
+
+    rows = sent_counts(counts, hot, shards).unionByName(sent_tokens(documents, hot, hot_pairs, shards))
     # Two shards to a task on average, one after another, so that tasks come out more even.
     rows = rows.repartition(-(-shards // 2), "shard").sortWithinPartitions("shard", "kind")
 
@@ -423,7 +499,7 @@ def scores(documents: DataFrame, mu: float = MU, shard_tokens: int = SHARD_TOKEN
 
         def done() -> Iterator[pa.RecordBatch]:
             if parcels:
-                for number, part in zip(numbers, scored_shard(lists, parcels, total, distinct, mu)):
+                for number, part in zip(numbers, scored_shard(lists, parcels, hot_pairs, total, distinct, mu)):
                     yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([_blob(part)], pa.binary())], names=["parcel", "data"])
 
         for batch in batches:

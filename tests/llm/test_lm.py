@@ -55,6 +55,41 @@ def test_scores_over_many_shards(make_documents, hard_texts, monkeypatch):
     close(lm.scores(make_documents(rows), 20.0, 3_000).collect(), plain(rows, 20.0))
 
 
+def with_a_hot_pair():
+    """Documents in which a third of the tokens are one pair."""
+    rng = np.random.default_rng(5)
+    return [(i, " ".join(w for _ in range(12) for w in ("the", "the", f"v{rng.integers(400)}", f"u{rng.integers(400)}"))) for i in range(300)]
+
+
+def test_scores_with_a_hot_pair(make_documents, monkeypatch):
+    monkeypatch.setattr(lm, "SENT_TOKENS", 500)
+    rows = with_a_hot_pair()
+    exact = []
+    counted = lm.pair_counts
+    monkeypatch.setattr(lm, "pair_counts", lambda *x: exact.append(x) or counted(*x))
+    close(lm.scores(make_documents(rows), 20.0, 1_000).collect(), plain(rows, 20.0))
+    assert len(exact) == 1
+
+
+def test_no_shard_takes_a_whole_hot_pair(make_documents, monkeypatch):
+    monkeypatch.setattr(lm, "SENT_TOKENS", 500)
+    sent, most = lm.sent_tokens, []
+
+    def watched(*args):
+        rows = sent(*args)
+        got = Counter()
+        for r in rows.collect():
+            got[r["shard"]] += len(lm._unblob(r["data"])[6])  # a row for each pair and document, before: each token
+        most.append((max(got.values()), sum(got.values())))
+        return rows
+
+    monkeypatch.setattr(lm, "sent_tokens", watched)
+    lm.scores(make_documents(with_a_hot_pair()), 20.0, 500).collect()
+    ((largest, rows),) = most
+    tokens = 300 * (12 * 4 + 1)
+    assert rows < 0.85 * tokens and largest < 0.08 * tokens  # the pair has 0.24 of all tokens
+
+
 def test_nothing_to_learn_from(make_documents):
     rows = [(next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1), "a b")]
     (row,) = lm.scores(make_documents(rows)).collect()
