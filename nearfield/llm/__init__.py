@@ -15,10 +15,14 @@ from nearfield.llm.packing import op3_best_two_fit
 from nearfield.llm.pii import op2_weak_supervision
 from nearfield.llm.quality import op1_byte_network
 from nearfield.llm.rules import op9_repetition_rules
+from nearfield.llm.suffixes import op11_suffix_families
 from nearfield.llm.token_counts import op5_offset_attribution
 from nearfield.llm.topk import op7_dual_cover_tree
 
-QUERIES = (op1_byte_network, op2_weak_supervision, op3_best_two_fit, op4_deletion_neighbourhood, op5_offset_attribution, op6_elias_fano_trie, op7_dual_cover_tree, op8_hash_thresholds, op9_repetition_rules, op10_adaptive_prefixes)
+QUERIES = (
+    op1_byte_network, op2_weak_supervision, op3_best_two_fit, op4_deletion_neighbourhood, op5_offset_attribution, op6_elias_fano_trie,
+    op7_dual_cover_tree, op8_hash_thresholds, op9_repetition_rules, op10_adaptive_prefixes, op11_suffix_families,
+)
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
