@@ -5,16 +5,18 @@ Each such string is filed under its *seed*: the 16 bytes inside it whose hash is
 leftmost of equal ones). Equal strings have equal seeds, so only strings under the same
 seed are ever compared; neighbouring strings with one seed travel as one piece of text.
 
-First the seeds alone are counted, then only pieces whose seed several documents share are
-dealt out by seed. There they come in batches ordered by seed and document. A batch gets a
-suffix array (its strings sorted to ``length`` bytes), is merge-scanned against the levels
-that earlier batches of the seed left, and becomes a level itself; levels of about equal
-size merge, so a family has a number of levels logarithmic in its size. Since earlier
-batches hold smaller ids, a level answers exactly what is asked: does a document with a
-smaller id have the string. A family goes when its seed has passed.
-
-Seeds that very many documents share (the borders of a common passage, say) do not stay in
-one family: their strings are filed one by one under their own hash."""
+Pieces first go by hash alone, and equal ones fold into the one of the smallest id: a later
+document's copy of a piece is repeated for certain. Only where different pieces share a
+seed does text travel, one copy of each, dealt out by seed. There they come in batches
+ordered by seed and document. A batch gets a suffix array (its strings sorted to ``length``
+bytes), is merge-scanned against the levels that earlier batches of the seed left, and
+becomes a level itself; levels of about equal size merge, so a family has a number of
+levels logarithmic in its size. Since earlier batches hold smaller ids, a level answers
+exactly what is asked: does a document with a smaller id have the string. A family goes
+when its seed has passed.
+
+Seeds under which very many pieces differ (the borders of a common passage, say) do not
+stay in one family: their strings are filed one by one under their own hash."""
 
 from __future__ import annotations
 
@@ -23,28 +25,36 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.words import MIX, MIX_2, MIX_3, finish
-from nearfield.session import bounded_rows, fits_broadcast, stage
+from nearfield.session import fits_broadcast, stage
 
 LENGTH = 50
 SEED_BYTES = 16
-#: Bytes of text whose seeds are found at a time (2 ** 24 at most), and seeds looked at
+#: Bytes of text whose seeds are found at a time (2 ** 24 at most), and pieces looked at
 #: together for copies before they are sent.
 PIECE_BYTES = 1 << 20
-PARCEL_SEEDS = 400_000
+PARCEL_PIECES = 400_000
 #: Bytes of texts returned at a time.
 KEPT_BYTES = 8 << 20
-#: A seed is hot with this many documents at least, and with more than one part in
-#: ``HOT_SEEDS`` of all that is shared, so that there are at most so many hot seeds.
-HOT_DOCUMENTS, HOT_SEEDS = 1_000, 20_000
+BATCH_ROWS = 10_000
+#: A seed with so many pieces left after folding is hot.
+HOT_PIECES = 1_000
+#: Hot strings that a task folds at a time.
+HELD_STRINGS = 200_000
 
-_PLACE_BITS = np.uint64(24)
 _PLACES = np.uint64((1 << 24) - 1)
 _BASE = int(MIX_3) | 1
 _BACK = pow(_BASE, -1, 1 << 64)
+_HASH = np.uint64((1 << 48) - 1)
+
+#: A place in a text, as one long: 24 bits of the text's hash (they tell rows of one id
+#: apart), 31 bits of start, 9 bits of size.
+_START_BITS, _SIZE_BITS = 31, 9
+_TEXT_SHIFT = _START_BITS + _SIZE_BITS
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -149,166 +159,149 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def seed_rows(documents: DataFrame, length: int) -> DataFrame:
-    """route, key, doc, n: the seeds of all documents. A parcel sends one row (``n``
-    documents of its own) for each seed; documents that share one inside the parcel are
-    known already and get a row with ``n`` 0 that is routed anywhere."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(length)
-        keys, docs, held = [], [], 0
-
-        def parcel() -> pa.RecordBatch:
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            new = _runs(key, doc)
-            key, doc = key[new], doc[new]
-            start = np.flatnonzero(_runs(key))
-            n = np.diff(np.append(start, len(key)))
-            many = np.repeat(n > 1, n)
-            spread = finish(key[many] * MIX_2 + doc[many].astype(np.uint64) * MIX)
-            route = np.concatenate([key[start], spread]).view(np.int64)
-            every = np.concatenate([key[start], key[many]]).view(np.int64)
-            count = np.concatenate([n, np.zeros(len(spread), np.int64)])
-            who = np.concatenate([doc[start], doc[many]])
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (route, every, who, count)], names=["route", "key", "doc", "n"])
-
-        for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            for data, row, _, ends in pieces.of(_texts(batch)):
-                start, _, seed = seeds_of(data, ends, length)
-                keys.append(seed)
-                docs.append(ids[row[np.searchsorted(ends, start, "right")]])
-                held += len(seed)
-                if held >= PARCEL_SEEDS:
-                    yield parcel()
-                    keys, docs, held = [], [], 0
-        if held:
-            yield parcel()
-
-    return _keyed(documents).select("doc", "text").mapInArrow(run, "route long, key long, doc long, n long")
+def text_tag(th: np.ndarray) -> np.ndarray:
+    """A text's part of its places, from the 64-bit hashes of texts."""
+    return (th & ((1 << 24) - 1)) << _TEXT_SHIFT
 
 
-def shared_seeds(documents: DataFrame, length: int) -> DataFrame:
-    """key, doc, n, total: seeds that two documents or more have. ``total`` is right where ``n`` > 0."""
-    same = Window.partitionBy("route")
-    rows = seed_rows(documents, length).select(
-        "key", "doc", "n", F.sum("n").over(same).alias("total"),
-        ((F.min("doc").over(same) < F.max("doc").over(same)) | (F.max("n").over(same) > 1)).alias("shared"),
-    )
-    return rows.where(F.col("shared") | (F.col("n") == 0)).drop("shared")
+def starts_and_ends(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = place >> _SIZE_BITS & ((1 << _START_BITS) - 1)
+    return start, start + (place & ((1 << _SIZE_BITS) - 1))
 
 
-def hot_seeds(shared: DataFrame) -> np.ndarray:
-    """Seeds with more than one part in ``HOT_SEEDS`` of all shared ones: a bounded list."""
-    asked = shared.where(F.col("n") > 0)
-    total = asked.agg(F.sum("n")).first()[0] or 0
-    least = max(HOT_DOCUMENTS, total // HOT_SEEDS + 1)
-    hot = asked.where(F.col("total") >= least).select("key").distinct()
-    return np.sort(np.array([r["key"] for r in bounded_rows(hot, HOT_SEEDS, "hot seeds")], np.int64)).view(np.uint64)
-
-
-def piece_rows(rows: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
-    """Pieces of text under shared seeds: route, key, doc, th, start, size, s.
-
-    ``rows`` holds doc, th, text and keys (the document's shared seeds). Of equal pieces in
-    a parcel only those of the smallest id travel; the others repeat it for certain and
-    are sent without text, routed anywhere."""
-    hot = np.sort(hot)
+def folded_pieces(documents: DataFrame, length: int) -> DataFrame:
+    """route, whole, doc, place, copies: the pieces of all documents by the hash of their
+    seed and of all their bytes. A parcel sends of equal pieces those of the smallest id;
+    places of the others are certain (``copies``, one row a document, routed anywhere)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(length)
         held: list[tuple[np.ndarray, ...]] = []
         count = 0
 
-        def parcel() -> Iterator[pa.RecordBatch]:
-            key, whole, doc, th, start, size, at = (np.concatenate(c) for c in zip(*(h[:-1] for h in held)))
-            store = np.concatenate([h[-1] for h in held])
-            base = np.repeat(np.cumsum([0, *(len(h[-1]) for h in held)])[:-1], [len(h[0]) for h in held])
-            at = at + base
-            order = np.lexsort((start, th, doc, whole, key))
-            key, whole, doc, th, start, size, at = (c[order] for c in (key, whole, doc, th, start, size, at))
-            new = _runs(key, whole)
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            sent = doc == least
-            yield _batch(key[sent].view(np.int64), key[sent].view(np.int64), doc[sent], th[sent], start[sent], size[sent], _gathered(store, at[sent], size[sent]))
-            doc, th, start, size = (c[~sent] for c in (doc, th, start, size))
-            if len(doc):
-                order = np.lexsort((start, th, doc))
-                doc, th, start, size = (c[order] for c in (doc, th, start, size))
-                end = start + size
-                new = _runs(doc, th)
-                new[1:] |= start[1:] > end[:-1]
-                first = np.flatnonzero(new)
-                d, t, a = doc[first], th[first], start[first]
-                route = finish(d.astype(np.uint64) * MIX + t.view(np.uint64) + a.astype(np.uint64)).view(np.int64)
-                yield _batch(route, None, d, t, a, np.maximum.reduceat(end, first) - a, None)
+        def parcel() -> pa.RecordBatch:
+            route, whole, doc, place = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((place, doc, whole, route))
+            route, whole, doc, place = (c[order] for c in (route, whole, doc, place))
+            new = _runs(route, whole)
+            sent = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+            late, copies = doc[~sent], place[~sent]
+            order = np.lexsort((copies, late))
+            late, copies = late[order], copies[order]
+            first = np.flatnonzero(_runs(late))
+            n = int(sent.sum())
+            anywhere = finish(late[first].astype(np.uint64) * MIX + copies[first].astype(np.uint64) * MIX_2) & _HASH
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n + 1, np.int32), np.append(first[1:], len(late))[: len(first)].astype(np.int32)])), pa.array(copies))
+            lists = pc.if_else(pa.array(np.arange(n + len(first)) < n), pa.scalar(None, lists.type), lists)
+            columns = [np.concatenate([x[sent], y]) for x, y in ((route, anywhere), (whole, np.zeros(len(first), np.uint64)), (doc, late[first]), (place, np.zeros(len(first), np.int64)))]
+            return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), lists], names=["route", "whole", "doc", "place", "copies"])
 
         for batch in batches:
-            doc, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "th"))
-            known = batch.column("keys")
-            of = np.repeat(np.arange(len(known)), np.diff(known.offsets.to_numpy()))
-            wanted = np.unique(_mixed(known.flatten().to_numpy(zero_copy_only=False).view(np.uint64), of))
+            ids, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "th"))
+            tag = text_tag(th)
             for data, row, offset, ends in pieces.of(_texts(batch)):
-                start, n, key = seeds_of(data, ends, length)
-                piece = np.searchsorted(ends, start, "right")
-                some = np.isin(_mixed(key, row[piece]), wanted)
-                start, n, key, piece = start[some], n[some], key[some], piece[some]
+                start, n, seed = seeds_of(data, ends, length)
                 if not len(start):
                     continue
-                hashed = pieces.hashes(data)
-                size = n + length - 1
-                whole = hashed(start, size)
-                burning = np.isin(key, hot)
-                if burning.any():  # strings one by one, under their own hash
-                    each = np.repeat(np.flatnonzero(burning), n[burning])
-                    ends_of = np.cumsum(n[burning])
-                    single = start[each] + np.arange(len(each)) - np.repeat(ends_of - n[burning], n[burning])
-                    own = hashed(single, np.full(len(single), length))
-                    start, size, piece = (np.concatenate(p) for p in ((start[~burning], single), (size[~burning], np.full(len(single), length)), (piece[~burning], piece[each])))
-                    key, whole = np.concatenate([key[~burning], own]), np.concatenate([whole[~burning], own])
-                begin = np.concatenate([[0], ends[:-1]])[piece]
-                owner = row[piece]
-                # only the bytes of wanted pieces are kept until the parcel is sent
-                mask = np.zeros(len(data) + 1, np.int64)
-                np.add.at(mask, start, 1)
-                np.add.at(mask, start + size, -1)
-                keep = np.cumsum(mask[:-1]) > 0
-                place = np.cumsum(keep)[start] - 1  # a kept run has no gap
-                held.append((key, whole, doc[owner], th[owner], start - begin + offset[piece], size, place, data[keep]))
-                count += len(key)
-                if count >= PARCEL_SEEDS:
-                    yield from parcel()
+                piece = np.searchsorted(ends, start, "right")
+                whole = pieces.hashes(data)(start, n + length - 1)
+                at = start - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
+                held.append((seed & _HASH, whole & _HASH, ids[row[piece]], tag[row[piece]] | at << _SIZE_BITS | n + length - 1))
+                count += len(seed)
+                if count >= PARCEL_PIECES:
+                    yield parcel()
                     held, count = [], 0
         if held:
-            yield from parcel()
+            yield parcel()
 
-    return rows.select("doc", "th", "text", "keys").mapInArrow(run, PIECES)
+    return _keyed(documents).mapInArrow(run, "route long, whole long, doc long, place long, copies array<long>")
 
 
-PIECES = "route long, key long, doc long, th long, start long, size long, s binary"
+def judged_pieces(documents: DataFrame, length: int) -> DataFrame:
+    """doc, copied (places that an earlier document has for certain) and asked (place,
+    route and hot of pieces that are the first of their kind, where others share the seed)."""
+    equal, same = Window.partitionBy("route", "whole"), Window.partitionBy("route")
+    rows = folded_pieces(documents, length).repartition("route").withColumn("least", F.min("doc").over(equal))
+    rows = rows.select(
+        "*", F.count("*").over(same).alias("pieces"),
+        ((F.min("whole").over(same) < F.max("whole").over(same)) & (F.min("doc").over(same) < F.max("doc").over(same))).alias("differ"),
+    )
+    single = F.col("copies").isNull()
+    later = F.col("doc") > F.col("least")
+    ask = single & ~later & F.col("differ")
+    rows = rows.select(
+        "doc", "copies", F.when(single & later, F.col("place")).alias("copy"),
+        F.when(ask, F.struct("place", "route", (F.col("pieces") >= HOT_PIECES).alias("hot"))).alias("ask"),
+    ).where("copies IS NOT NULL OR copy IS NOT NULL OR ask IS NOT NULL")
+    return rows.groupBy("doc").agg(F.concat(F.collect_list("copy"), F.flatten(F.collect_list("copies"))).alias("copied"), F.collect_list("ask").alias("asked"))
 
 
-def _mixed(key: np.ndarray, row: np.ndarray) -> np.ndarray:
-    return finish(key + row.astype(np.uint64) * MIX_3)
+def asked_texts(rows: DataFrame, length: int) -> DataFrame:
+    """route, doc, place, s: the text of asked pieces. Strings under hot seeds go one by
+    one; of equal ones in a task the smallest id's go, the others are certain (no text).
 
+    ``rows`` holds doc, th, text and the arrays place, route and hot of its document."""
 
-def _gathered(store: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.Array:
-    """Runs of bytes as a binary column."""
-    ends = np.cumsum(size)
-    where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - (ends - size), size)
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(store[where]))])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        waiting: dict[bytes, list[tuple[int, int]]] = {}
+        strings = 0
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["route", "doc", "place", "s"])
+
+        def folded() -> Iterator[pa.RecordBatch]:
+            out = []
+            for s, places in waiting.items():
+                route = xxhash.xxh3_64_intdigest(s) >> 1
+                for doc, place in places:
+                    sent = doc == least[s]
+                    out.append((route if sent else route ^ (place & 0xFFFFFF), doc, place, s if sent else None))
+                if len(out) >= BATCH_ROWS:
+                    yield made(out)
+                    out = []
+            if out:
+                yield made(out)
 
+        for batch in batches:
+            out, held = [], 0
+            tags = text_tag(batch.column("th").to_numpy(zero_copy_only=False)).tolist()
+            columns = [batch.column(c) for c in ("place", "route", "hot")]
+            for (i, text), doc in zip(_texts(batch), batch.column("doc").to_pylist()):
+                places = columns[0][i].values.to_numpy()
+                mine = (places >> _TEXT_SHIFT) << _TEXT_SHIFT == tags[i]
+                starts, ends = starts_and_ends(places)
+                hot = columns[2][i].values.to_numpy(zero_copy_only=False)
+                for k in np.flatnonzero(mine & ~hot):
+                    out.append((columns[1][i].values[k].as_py(), doc, int(places[k]), text[starts[k] : ends[k]]))
+                for k in np.flatnonzero(mine & hot):
+                    for at in range(int(starts[k]), int(ends[k]) - length + 1):
+                        s = text[at : at + length]
+                        least[s] = min(least.get(s, doc), doc)
+                        waiting.setdefault(s, []).append((doc, tags[i] | at << _SIZE_BITS | length))
+                        strings += 1
+                if len(out) >= BATCH_ROWS:
+                    yield made(out)
+                    out = []
+                if strings >= HELD_STRINGS:
+                    yield from folded()
+                    least, waiting, strings = {}, {}, 0
+            if out:
+                yield made(out)
+        yield from folded()
+
+    return rows.select("doc", "th", "text", "place", "route", "hot").mapInArrow(run, "route long, doc long, place long, s binary")
 
-def _batch(route, key, doc, th, start, size, s) -> pa.RecordBatch:
-    n = len(route)
-    columns = [
-        pa.array(route), pa.nulls(n, pa.int64()) if key is None else pa.array(key), pa.array(doc), pa.array(th), pa.array(start), pa.array(size),
-        pa.nulls(n, pa.binary()) if s is None else s,
-    ]
-    return pa.RecordBatch.from_arrays(columns, names=["route", "key", "doc", "th", "start", "size", "s"])
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it, in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return new
 
 
 class SuffixFamily:
@@ -350,94 +343,97 @@ def suffix_array(data: np.ndarray, start: np.ndarray, length: int) -> tuple[np.n
 
 
 def repeated_pieces(rows: DataFrame, length: int) -> DataFrame:
-    """doc, th, start, end of what repeats, from pieces in the order of key and doc."""
+    """doc and place of what repeats, from pieces in the order of route and doc."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family, seed = SuffixFamily(), None
 
-        def found(doc, th, start, end):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, th, start, end)], names=["doc", "th", "start", "end"])
+        def found(doc, place):
+            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(place, pa.int64())], names=["doc", "place"])
 
         for batch in batches:
             sure = batch.column("s").is_null()
             some = batch.filter(sure)
             if some.num_rows:
-                doc, th, start, size = (some.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "th", "start", "size"))
-                yield found(doc, th, start, start + size)
+                yield some.select(["doc", "place"])
             batch = batch.filter(pc.invert(sure))
             if not batch.num_rows:
                 continue
-            key, doc, th, start, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "doc", "th", "start", "size"))
+            key, doc, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("route", "doc", "place"))
             if key[0] != seed:
                 family = SuffixFamily()
             carried, seed = key == seed, key[-1]
             # a seed that only one row has, and that no other batch can have, repeats nothing
-            new = np.flatnonzero(_runs(key))
-            n = np.diff(np.append(new, len(key)))
+            n = np.diff(np.append(np.flatnonzero(_runs(key)), len(key)))
             used = np.repeat(n > 1, n) | carried | (key == seed)
             batch = batch.filter(pa.array(used))
-            key, doc, th, start, size, carried = (c[used] for c in (key, doc, th, start, size, carried))
-            # equal pieces are looked at once; a later document's is all repeated
+            key, doc, place, carried = (c[used] for c in (key, doc, place, carried))
             s = batch.column("s").cast(pa.binary())
-            code = pc.dictionary_encode(s).indices.to_numpy(zero_copy_only=False)
-            _, head, code = np.unique(code, return_index=True, return_inverse=True)
-            rep = head[code]
-            copied = doc > doc[rep]
-            own = np.flatnonzero(rep == np.arange(len(rep)))
-            data = np.concatenate([np.frombuffer(s.buffers()[2], np.uint8), np.zeros(length, np.uint8)])
-            begin = np.frombuffer(s.buffers()[1], np.int32)[s.offset : s.offset + len(s)].astype(np.int64)
-            strings = size[own] - length + 1
+            data = np.frombuffer(s.buffers()[2], np.uint8)
+            ends = np.frombuffer(s.buffers()[1], np.int32)[s.offset : s.offset + len(s) + 1].astype(np.int64)
+            strings = np.diff(ends) - length + 1
             total = int(strings.sum())
-            base = np.cumsum(strings) - strings
-            inside = np.arange(total) - np.repeat(base, strings)
-            owner = np.repeat(own, strings)
-            ordered, order = suffix_array(data, begin[owner] + inside, length)
+            inside = np.arange(total) - np.repeat(np.cumsum(strings) - strings, strings)
+            owner = np.repeat(np.arange(len(key)), strings)
+            ordered, order = suffix_array(data, ends[owner] + inside, length)
             ids = doc[owner][order]
-            first = np.flatnonzero(_runs(ordered))
+            new = _runs(ordered)
+            first = np.flatnonzero(new)
             different, least = ordered[first], np.minimum.reduceat(ids, first)
-            known = least
-            if carried.any():
-                known = family.least(different, least)
+            known = family.least(different, least) if carried.any() else least
             repeats = np.empty(total, bool)
-            repeats[order] = ids > known[np.cumsum(_runs(ordered)) - 1]
+            repeats[order] = ids > known[np.cumsum(new) - 1]
             going = (key[owner] == seed)[order][first]
-            if going.any():
-                if not carried[-1]:
-                    family = SuffixFamily()
-                family.add(different[going], least[going])
+            if not carried[-1]:
+                family = SuffixFamily()
+            family.add(different[going], least[going])
             # runs of repeated strings, piece by piece
-            edge = repeats & ((inside == 0) | ~np.concatenate([[False], repeats[:-1]]))
-            stop = repeats & ((np.append(inside[1:], 0) == 0) | ~np.append(repeats[1:], False))
-            a, z = np.flatnonzero(edge), np.flatnonzero(stop)
+            before, after = np.concatenate([[False], repeats[:-1]]), np.append(repeats[1:], False)
+            a = np.flatnonzero(repeats & ((inside == 0) | ~before))
+            z = np.flatnonzero(repeats & ((np.append(inside[1:], 0) == 0) | ~after))
             who = owner[a]
-            yield found(doc[who], th[who], start[who] + inside[a], start[who] + inside[z] + length)
-            if copied.any():
-                yield found(doc[copied], th[copied], start[copied], (start + size)[copied])
-            twins = np.flatnonzero(~copied & (rep != np.arange(len(rep))))  # the same piece again in the same document
-            if len(twins):
-                lo, hi = np.searchsorted(who, rep[twins], "left"), np.searchsorted(who, rep[twins], "right")
-                of = np.repeat(twins, hi - lo)
-                at = np.arange(len(of)) + np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo)
-                yield found(doc[of], th[of], start[of] + inside[a[at]], start[of] + inside[z[at]] + length)
+            tag = (place[who] >> _TEXT_SHIFT) << _TEXT_SHIFT
+            start = starts_and_ends(place[who])[0] + inside[a]
+            yield found(doc[who], tag | start << _SIZE_BITS | inside[z] - inside[a] + length)
 
-    return rows.select("key", "doc", "th", "start", "size", "s").mapInArrow(run, "doc long, th long, start long, end long")
+    return rows.select("route", "doc", "place", "s").mapInArrow(run, "doc long, place long")
 
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc, th, spans: what each text loses, as sorted runs of bytes (start, end). Only
-    texts that lose something have a row; ``th`` is the text's xxhash64."""
-    if not 2 * SEED_BYTES <= length <= 256:
-        raise ValueError(f"length must be {2 * SEED_BYTES} to 256 bytes")
-    shared = stage(shared_seeds(documents, length), "shared-seeds")
-    hot = hot_seeds(shared)
-    single = (F.col("n") < 2) & (F.col("n") >= 0)
-    keys = shared.where(single).groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    small = F.broadcast(keys) if fits_broadcast(keys) else keys
-    pieces = piece_rows(_keyed(documents).join(small, "doc"), length, hot)
-    dealt = pieces.repartition("route").sortWithinPartitions("key", "doc", "th", "start")
-    found = repeated_pieces(dealt, length)
-    spans = found.groupBy("doc", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return stage(spans, "spans")
+    """doc, tag, starts, ends: what texts lose, as sorted runs of bytes that do not touch.
+    Only texts that lose something have a row; ``tag`` is 24 bits of the text's xxhash64."""
+    if not 2 * SEED_BYTES <= length <= 255:
+        raise ValueError(f"length must be {2 * SEED_BYTES} to 255 bytes")
+    judged = stage(judged_pieces(documents, length), "judged-pieces")
+    asked = judged.where(F.size("asked") > 0).select("doc", "asked.place", "asked.route", "asked.hot")
+    small = F.broadcast(asked) if fits_broadcast(asked) else asked
+    texts = asked_texts(_keyed(documents).join(small, "doc"), length)
+    dealt = texts.repartition("route").sortWithinPartitions("route", "doc", "place")
+    found = stage(repeated_pieces(dealt, length).groupBy("doc").agg(F.collect_list("place").alias("found")), "found-pieces")
+    rows = judged.select("doc", "copied").join(found, "doc", "full")
+    places = F.concat(F.coalesce("copied", F.array().cast("array<long>")), F.coalesce("found", F.array().cast("array<long>")))
+    return stage(rows.select("doc", places.alias("places")).where(F.size("places") > 0).mapInArrow(_span_rows, SPANS), "spans")
+
+
+SPANS = "doc long, tag long, starts array<long>, ends array<long>"
+
+
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places of each document as runs, text by text."""
+    for batch in batches:
+        docs, tags, starts, ends = [], [], [], []
+        for doc, places in zip(batch.column("doc").to_pylist(), batch.column("places")):
+            place = np.sort(places.values.to_numpy())
+            text = place >> _TEXT_SHIFT
+            cuts = np.flatnonzero(_runs(text))
+            for a, z in zip(cuts, np.append(cuts[1:], len(place))):
+                start, end = joined_spans(*starts_and_ends(place[a:z]))
+                docs.append(doc)
+                tags.append(int(text[a]) & (1 << 24) - 1)
+                starts.append(start)
+                ends.append(end)
+        lists = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(tags, pa.int64()), pa.array(starts, lists), pa.array(ends, lists)], names=["doc", "tag", "starts", "ends"])
 
 
 def joined_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -466,12 +462,12 @@ def without_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = repeated_spans(documents, length)
     small = F.broadcast(spans) if fits_broadcast(spans) else spans
     text = F.col("text").cast("string")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    rows = rows.join(small, (rows["doc_id"] == small["doc"]) & (rows["th"] == small["th"]), "left").select("doc_id", "text", "spans")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).bitwiseAND((1 << 24) - 1).alias("th"))
+    rows = rows.join(small, (F.col("doc_id") == F.col("doc")) & (F.col("th") == F.col("tag")), "left").select("doc_id", "text", "starts", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lost = batch.column("doc_id"), batch.column("spans")
+            ids, starts, ends = (batch.column(c) for c in ("doc_id", "starts", "ends"))
             from_, kept, runs, sizes, removed, held = 0, [], [], [], [], 0
 
             def done(upto: int) -> pa.RecordBatch:
@@ -485,9 +481,8 @@ def without_passages(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 data = value.as_buffer().to_pybytes() if value.is_valid else b""
                 start = end = np.zeros(0, np.int64)
                 rest = data
-                if lost[i].is_valid:
-                    values = lost[i].values
-                    start, end = joined_spans(values.field(0).to_numpy(), values.field(1).to_numpy())
+                if starts[i].is_valid:
+                    start, end = starts[i].values.to_numpy(), ends[i].values.to_numpy()
                     rest = b"".join(data[a:z] for a, z in zip([0, *end.tolist()], [*start.tolist(), len(data)]))
                 kept.append(rest)
                 runs.append((start, end))

@@ -64,14 +64,14 @@ def test_equals_plain(make_documents, hard_texts):
 def test_small_pieces_parcels_and_hot_seeds(make_documents, monkeypatch, parcel):
     """Texts longer than a piece, copies in and across parcels, seeds that all share."""
     monkeypatch.setattr(suffixes, "PIECE_BYTES", 300)
-    monkeypatch.setattr(suffixes, "PARCEL_SEEDS", parcel)
-    monkeypatch.setattr(suffixes, "HOT_DOCUMENTS", 20)
+    monkeypatch.setattr(suffixes, "PARCEL_PIECES", parcel)
+    monkeypatch.setattr(suffixes, "HOT_PIECES", 20)
+    monkeypatch.setattr(suffixes, "HELD_STRINGS", 100 * parcel)
     rng = random.Random(parcel)
     common = "".join(rng.choice("abcdefgh ") for _ in range(130))
     rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(200))) + common + t * rng.randrange(1, 4)) for i, t in passages(rng, 8, 60)]
     df = make_documents(rows).repartition(4)
-    shared = suffixes.shared_seeds(df, 50)
-    assert len(suffixes.hot_seeds(shared)) > 0
+    assert suffixes.judged_pieces(df, 50).where("exists(asked, a -> a.hot)").count() > 0
     assert found(df, 50) == plain(rows, 50)
 
 
