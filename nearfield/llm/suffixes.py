@@ -41,8 +41,10 @@ PARCEL_PIECES = 400_000
 #: Bytes of texts returned at a time.
 KEPT_BYTES = 8 << 20
 BATCH_ROWS = 10_000
-#: A seed with so many pieces left after folding is hot.
-HOT_PIECES = 1_000
+#: A seed with so many pieces left after folding is hot; below, a family stays under some
+#: dozens of megabytes.
+HOT_PIECES = 20_000
+HOT = 1 << 62
 #: Hot strings that a task folds at a time.
 HELD_STRINGS = 200_000
 
@@ -170,9 +172,9 @@ def starts_and_ends(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def folded_pieces(documents: DataFrame, length: int) -> DataFrame:
-    """route, whole, doc, place, copies: the pieces of all documents by the hash of their
-    seed and of all their bytes. A parcel sends of equal pieces those of the smallest id;
-    places of the others are certain (``copies``, one row a document, routed anywhere)."""
+    """route, whole, doc, place: the pieces of all documents by the hash of their seed and of
+    all their bytes. A parcel sends of equal pieces those of the smallest id; the others
+    repeat it for certain, and are rows with ``whole`` -1 that are routed anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(length)
@@ -185,16 +187,11 @@ def folded_pieces(documents: DataFrame, length: int) -> DataFrame:
             route, whole, doc, place = (c[order] for c in (route, whole, doc, place))
             new = _runs(route, whole)
             sent = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            late, copies = doc[~sent], place[~sent]
-            order = np.lexsort((copies, late))
-            late, copies = late[order], copies[order]
-            first = np.flatnonzero(_runs(late))
-            n = int(sent.sum())
-            anywhere = finish(late[first].astype(np.uint64) * MIX + copies[first].astype(np.uint64) * MIX_2) & _HASH
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(n + 1, np.int32), np.append(first[1:], len(late))[: len(first)].astype(np.int32)])), pa.array(copies))
-            lists = pc.if_else(pa.array(np.arange(n + len(first)) < n), pa.scalar(None, lists.type), lists)
-            columns = [np.concatenate([x[sent], y]) for x, y in ((route, anywhere), (whole, np.zeros(len(first), np.uint64)), (doc, late[first]), (place, np.zeros(len(first), np.int64)))]
-            return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), lists], names=["route", "whole", "doc", "place", "copies"])
+            anywhere = finish(doc[~sent].astype(np.uint64) * MIX + place[~sent].astype(np.uint64) * MIX_2) & _HASH
+            route = np.concatenate([route[sent], anywhere])
+            whole = np.concatenate([whole[sent].astype(np.int64), np.full(len(anywhere), -1)])
+            columns = (route.astype(np.int64), whole, *(np.concatenate([c[sent], c[~sent]]) for c in (doc, place)))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "whole", "doc", "place"])
 
         for batch in batches:
             ids, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "th"))
@@ -214,33 +211,31 @@ def folded_pieces(documents: DataFrame, length: int) -> DataFrame:
         if held:
             yield parcel()
 
-    return _keyed(documents).mapInArrow(run, "route long, whole long, doc long, place long, copies array<long>")
+    return _keyed(documents).mapInArrow(run, "route long, whole long, doc long, place long")
 
 
 def judged_pieces(documents: DataFrame, length: int) -> DataFrame:
-    """doc, copied (places that an earlier document has for certain) and asked (place,
-    route and hot of pieces that are the first of their kind, where others share the seed)."""
+    """doc, copied (places that an earlier document has for certain) and asked (place and
+    route of pieces that are the first of their kind, where others share the seed; bit
+    ``HOT`` of the route is set where very many do)."""
     equal, same = Window.partitionBy("route", "whole"), Window.partitionBy("route")
     rows = folded_pieces(documents, length).repartition("route").withColumn("least", F.min("doc").over(equal))
     rows = rows.select(
         "*", F.count("*").over(same).alias("pieces"),
         ((F.min("whole").over(same) < F.max("whole").over(same)) & (F.min("doc").over(same) < F.max("doc").over(same))).alias("differ"),
     )
-    single = F.col("copies").isNull()
-    later = F.col("doc") > F.col("least")
-    ask = single & ~later & F.col("differ")
-    rows = rows.select(
-        "doc", "copies", F.when(single & later, F.col("place")).alias("copy"),
-        F.when(ask, F.struct("place", "route", (F.col("pieces") >= HOT_PIECES).alias("hot"))).alias("ask"),
-    ).where("copies IS NOT NULL OR copy IS NOT NULL OR ask IS NOT NULL")
-    return rows.groupBy("doc").agg(F.concat(F.collect_list("copy"), F.flatten(F.collect_list("copies"))).alias("copied"), F.collect_list("ask").alias("asked"))
+    copy = (F.col("whole") < 0) | (F.col("doc") > F.col("least"))
+    route = F.col("route") + F.when(F.col("pieces") >= HOT_PIECES, F.lit(HOT)).otherwise(F.lit(0))
+    rows = rows.where(copy | F.col("differ")).select("doc", "place", F.when(~copy, route).alias("route"))
+    asked = F.collect_list(F.when(F.col("route").isNotNull(), F.struct("place", "route")))
+    return rows.groupBy("doc").agg(F.collect_list(F.when(F.col("route").isNull(), F.col("place"))).alias("copied"), asked.alias("asked"))
 
 
 def asked_texts(rows: DataFrame, length: int) -> DataFrame:
     """route, doc, place, s: the text of asked pieces. Strings under hot seeds go one by
     one; of equal ones in a task the smallest id's go, the others are certain (no text).
 
-    ``rows`` holds doc, th, text and the arrays place, route and hot of its document."""
+    ``rows`` holds doc, th, text and the arrays place and route of its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, int] = {}
@@ -267,14 +262,15 @@ def asked_texts(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             out, held = [], 0
             tags = text_tag(batch.column("th").to_numpy(zero_copy_only=False)).tolist()
-            columns = [batch.column(c) for c in ("place", "route", "hot")]
+            columns = [batch.column(c) for c in ("place", "route")]
             for (i, text), doc in zip(_texts(batch), batch.column("doc").to_pylist()):
                 places = columns[0][i].values.to_numpy()
                 mine = (places >> _TEXT_SHIFT) << _TEXT_SHIFT == tags[i]
                 starts, ends = starts_and_ends(places)
-                hot = columns[2][i].values.to_numpy(zero_copy_only=False)
+                routes = columns[1][i].values.to_numpy()
+                hot = routes >= HOT
                 for k in np.flatnonzero(mine & ~hot):
-                    out.append((columns[1][i].values[k].as_py(), doc, int(places[k]), text[starts[k] : ends[k]]))
+                    out.append((int(routes[k]), doc, int(places[k]), text[starts[k] : ends[k]]))
                 for k in np.flatnonzero(mine & hot):
                     for at in range(int(starts[k]), int(ends[k]) - length + 1):
                         s = text[at : at + length]
@@ -291,7 +287,7 @@ def asked_texts(rows: DataFrame, length: int) -> DataFrame:
                 yield made(out)
         yield from folded()
 
-    return rows.select("doc", "th", "text", "place", "route", "hot").mapInArrow(run, "route long, doc long, place long, s binary")
+    return rows.select("doc", "th", "text", "place", "route").mapInArrow(run, "route long, doc long, place long, s binary")
 
 
 def _runs(*columns: np.ndarray) -> np.ndarray:
@@ -405,7 +401,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     if not 2 * SEED_BYTES <= length <= 255:
         raise ValueError(f"length must be {2 * SEED_BYTES} to 255 bytes")
     judged = stage(judged_pieces(documents, length), "judged-pieces")
-    asked = judged.where(F.size("asked") > 0).select("doc", "asked.place", "asked.route", "asked.hot")
+    asked = judged.where(F.size("asked") > 0).select("doc", "asked.place", "asked.route")
     small = F.broadcast(asked) if fits_broadcast(asked) else asked
     texts = asked_texts(_keyed(documents).join(small, "doc"), length)
     dealt = texts.repartition("route").sortWithinPartitions("route", "doc", "place")

@@ -71,7 +71,7 @@ def test_small_pieces_parcels_and_hot_seeds(make_documents, monkeypatch, parcel)
     common = "".join(rng.choice("abcdefgh ") for _ in range(130))
     rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(200))) + common + t * rng.randrange(1, 4)) for i, t in passages(rng, 8, 60)]
     df = make_documents(rows).repartition(4)
-    assert suffixes.judged_pieces(df, 50).where("exists(asked, a -> a.hot)").count() > 0
+    assert suffixes.judged_pieces(df, 50).where(f"exists(asked, a -> a.route >= {suffixes.HOT})").count() > 0
     assert found(df, 50) == plain(rows, 50)
 
 
