@@ -65,8 +65,8 @@ def main() -> None:
     for radius in RADII:
         q = w.batch(objects, radius, N_QUERIES)
         timed(f"range_query_batch_r{radius}", lambda: drain(similarity.range_query_batch(objects, q, w.METRIC)))
-        timed(f"range_query_indexed_r{radius}", lambda: drain(search.range_query_indexed(index.tree, index.bucket_objects, q)))
-        cost = search.query_cost(index.tree, index.bucket_objects, q, counts)
+        timed(f"range_query_indexed_r{radius}", lambda: drain(search.range_query_indexed(index.tree, index, q)))
+        cost = search.query_cost(index.tree, index, q, counts)
         sums = cost.agg(F.sum("candidates"), F.sum("after_filter")).first()
         read[f"r{radius}"] = {
             "share_read": round(sums[0] / (total * N_QUERIES), 4),
@@ -74,10 +74,10 @@ def main() -> None:
         }
     q = w.batch(objects, 0.1, MANY_QUERIES)
     timed("range_query_batch_many", lambda: drain(similarity.range_query_batch(objects, q, w.METRIC)))
-    timed("range_query_indexed_many", lambda: drain(search.range_query_indexed(index.tree, index.bucket_objects, q)))
+    timed("range_query_indexed_many", lambda: drain(search.range_query_indexed(index.tree, index, q)))
     q = w.batch(objects, 0.2, N_QUERIES)
     timed("range_query", lambda: drain(similarity.range_query(objects, probe, 0.2, w.METRIC)))
-    timed("range_query_approx", lambda: drain(search.range_query_approx(index.tree, index.bucket_objects, q)))
+    timed("range_query_approx", lambda: drain(search.range_query_approx(index.tree, index, q)))
     timed("knn", lambda: drain(similarity.knn(objects, q, 5, w.METRIC)))
     timed("ranked_answers", lambda: drain(answers.ranked_answers(similarity.range_query_batch(objects, q, w.METRIC))))
     timed("assign_address", lambda: drain(index.tree.assign(objects.select("id", "number", "vector"))))

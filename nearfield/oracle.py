@@ -103,6 +103,7 @@ def many_sql() -> dict[str, str]:
         "merge_answers_many": indexed,
         "range_query_limited_many": pairs(f"least({R}, 0.05::DOUBLE)", asked=every(0.2)),
         "pivot_exclude_many": pairs(R, "q.id AS qid, o.id", every(0.2)),
+        "range_query_ids_many": pairs(R, "q.id AS qid, o.id", every(0.6)),
         "candidate_buckets_many": reached(0.05, True) + "SELECT qid, level, bucket FROM c",
         "range_query_approx_many": reached(0.2, True) + f""",
           s AS (SELECT qid, min(gap) FILTER (NOT own) AS certified FROM c GROUP BY qid)
@@ -110,15 +111,18 @@ def many_sql() -> dict[str, str]:
           WHERE round({dist('ad', 'qq')}, 9) <= {R} AND (certified IS NULL OR {dist('ad', 'qq')} < certified)""",
         "pivot_include_many": ADDRESS + f""", {shrunk(0.6)}, qq AS (SELECT * FROM ad WHERE id % 50 = 0)
           SELECT qq.id AS qid, ad.id FROM ad CROSS JOIN qq WHERE ad.d0 + qq.d0 <= {R} OR ad.d1 + qq.d1 <= {R}""",
-        "knn_many": ranked + ") SELECT qid, id, round(d, 6) AS dist, rank FROM s WHERE rank <= 5",
+        **dict.fromkeys(("knn_many", "knn_indexed_many"), ranked + ") SELECT qid, id, round(d, 6) AS dist, rank FROM s WHERE rank <= 5"),
         "knn_embeddings_many": """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
           q AS (SELECT * FROM e WHERE id % 50 = 0),
           a AS (SELECT q.id AS qid, e.id, list_distance(e.v, q.v) AS d FROM e CROSS JOIN q),
           r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM a)
           SELECT qid, id, round(d, 6) AS dist, rank FROM r WHERE rank <= 5""",
         "ranked_answers_many": ranked + f" WHERE round(d, 9) <= {R}) SELECT qid, rank, id FROM s",
-        "answer_counts_many": f"""WITH {O}, {every(0.05)} SELECT q.id AS qid, count(o.id) AS n FROM q CROSS JOIN r LEFT JOIN o
-          ON round({dist('o', 'q')}, 9) <= r.r GROUP BY q.id""",
+        **{
+            name: f"""WITH {O}, {every(radius)} SELECT q.id AS qid, count(o.id) AS n FROM q CROSS JOIN r LEFT JOIN o
+              ON round({dist('o', 'q')}, 9) <= r.r GROUP BY q.id"""
+            for name, radius in (("answer_counts_many", 0.05), ("answer_counts_indexed_many", 0.6))
+        },
         "query_cost_many": reached(0.1, True) + f""", m AS (SELECT c.qid, c.level, c.bucket, ad.d0, ad.d1, qq.d0 AS e0, qq.d1 AS e1
             FROM c JOIN ad USING (level, bucket) JOIN qq USING (qid))
           SELECT c.qid, count(*) AS buckets, coalesce(any_value(k.candidates), 0) AS candidates, coalesce(any_value(k.after_filter), 0) AS after_filter
@@ -223,17 +227,22 @@ def oracle_sql() -> dict[str, str]:
         "pivot_exclude_pairs": reached(0.2) + """SELECT c.qid, ad.id FROM c JOIN ad USING (level, bucket) JOIN qq USING (qid)
           WHERE abs(ad.d0 - qq.d0) <= 0.2 AND abs(ad.d1 - qq.d1) <= 0.2""",
         "pivot_exclude": pairs(0.2, "q.id AS qid, o.id"),
+        "pivot_exclude_pushed": pairs(0.2, "q.id AS qid, o.id", Q.replace("LIMIT 10", "LIMIT 1")),
+        "range_query_ids": pairs(0.6, "q.id AS qid, o.id"),
         "pivot_include": ADDRESS + """, qq AS (SELECT * FROM ad ORDER BY id LIMIT 10)
           SELECT qq.id AS qid, ad.id FROM ad CROSS JOIN qq WHERE ad.d0 + qq.d0 <= 0.6 OR ad.d1 + qq.d1 <= 0.6""",
-        "knn": ranked + ") SELECT qid, id, round(d, 6) AS dist, rank FROM r WHERE rank <= 5",
+        **dict.fromkeys(("knn", "knn_indexed"), ranked + ") SELECT qid, id, round(d, 6) AS dist, rank FROM r WHERE rank <= 5"),
         "knn_embeddings": """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
           q AS (SELECT * FROM e ORDER BY id LIMIT 3),
           a AS (SELECT q.id AS qid, e.id, list_distance(e.v, q.v) AS d FROM e CROSS JOIN q),
           r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) AS rank FROM a)
           SELECT qid, id, round(d, 6) AS dist, rank FROM r WHERE rank <= 5""",
         "ranked_answers": ranked + " WHERE round(d, 9) <= 0.2) SELECT qid, rank, id FROM r",
-        "answer_counts": f"""WITH {O}, {Q} SELECT q.id AS qid, count(o.id) AS n FROM q LEFT JOIN o
-          ON round({dist('o', 'q')}, 9) <= 0.05 GROUP BY q.id""",
+        **{
+            name: f"""WITH {O}, {Q} SELECT q.id AS qid, count(o.id) AS n FROM q LEFT JOIN o
+              ON round({dist('o', 'q')}, 9) <= {radius} GROUP BY q.id"""
+            for name, radius in (("answer_counts", 0.05), ("answer_counts_indexed", 0.6))
+        },
         "query_cost": reached(0.1) + """, m AS (SELECT c.qid, c.level, c.bucket, ad.d0, ad.d1, qq.d0 AS e0, qq.d1 AS e1
             FROM c JOIN ad USING (level, bucket) JOIN qq USING (qid))
           SELECT c.qid, count(*) AS buckets, coalesce(any_value(k.candidates), 0) AS candidates, coalesce(any_value(k.after_filter), 0) AS after_filter

@@ -11,7 +11,7 @@ from copy import deepcopy
 from dataclasses import replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,15 @@ SAMPLE_PER_BUCKET = 200
 # A bucket whose objects lie in more batches than this is written anew.
 MAX_BATCHES = 16
 MAX_FOLDERS = MAX_NODES * MAX_BATCHES
+# Up to so many folders are named one by one in a scan; beyond, partitions are pruned
+# while the query runs, by a join with the list of wanted ones.
+MAX_PATHS = 2_000
+
+# Distances to the first pivots of the first level, which every object knows, also lie in
+# flat columns: rows of a bucket are sorted by them, and scans filter on them.
+NEAR = ("near0", "near1")
+# Rows of a Parquet page, the least that such a filter can skip.
+PAGE_ROWS = 2_000
 
 
 class MetricIndex:
@@ -48,8 +57,10 @@ class MetricIndex:
         self.version = 0
         # Changes with the tree; rows placed by another tree have to be placed again.
         self.tree_version = 0
-        # (level, bucket) -> batch -> objects
+        # (level, bucket) -> batch -> objects, and the least and greatest distances of
+        # these objects to the pivots of the first level
         self.parts: dict[tuple[int, int], dict[str, int]] = {}
+        self.boxes: dict[tuple[int, int], dict[str, Box]] = {}
         # Names of input batches that are in the index already.
         self.taken: set[str] = set()
         self._unused: list[str] = []
@@ -113,13 +124,14 @@ class MetricIndex:
     @contextmanager
     def _change(self) -> Iterator[None]:
         """A change that is saved as a whole or, on a failure, forgotten."""
-        before = deepcopy((self.parts, self.tree.levels, self.taken, self.tree_version))
+        parts, boxes = ({key: dict(batches) for key, batches in held.items()} for held in (self.parts, self.boxes))
+        before = (parts, boxes, deepcopy(self.tree.levels), set(self.taken), self.tree_version)
         self._unused = []
         try:
             yield
             self.save()
         except BaseException:
-            self.parts, self.tree.levels, self.taken, self.tree_version = before
+            self.parts, self.boxes, self.tree.levels, self.taken, self.tree_version = before
             self._unused = []
             raise
 
@@ -142,18 +154,24 @@ class MetricIndex:
         """Write placed objects as a batch and count them by bucket there."""
         batch = uuid.uuid4().hex[:16]
         path = f"{self.objects_path}/batch={batch}"
-        append_buckets(placed, path)
+        append_buckets(placed.withColumns(near_columns(F.col("pd"))), path, NEAR, PAGE_ROWS)
         if not path_exists(self.spark, path):
             return 0
         written = self.spark.read.schema(stored_schema(self.fields)).parquet(path)
-        counts = bounded_rows(written.groupBy("level", "bucket").agg(F.count("*").alias("n")), MAX_NODES, "buckets")
+        first = range(len(self.tree.levels[0].pivots))
+        dist = [F.get(F.get("pd", F.lit(0)), F.lit(i)) for i in first]
+        ends = [F.array(*[end(d) for d in dist]).cast("array<double>").alias(name) for name, end in (("lo", F.min), ("hi", F.max))]
+        counts = bounded_rows(written.groupBy("level", "bucket").agg(F.count("*").alias("n"), *ends), MAX_NODES, "buckets")
         for r in counts:
-            self.parts.setdefault((r["level"], r["bucket"]), {})[batch] = r["n"]
+            key = r["level"], r["bucket"]
+            self.parts.setdefault(key, {})[batch] = r["n"]
+            self.boxes.setdefault(key, {})[batch] = (tuple(r["lo"]), tuple(r["hi"]))
         return sum(r["n"] for r in counts)
 
     def _leave(self, keys: Iterable[tuple[int, int]]) -> None:
         """Forget what is stored of some buckets; the files go after the save."""
         for level, bucket in keys:
+            self.boxes.pop((level, bucket), None)
             for batch in self.parts.pop((level, bucket), {}):
                 self._unused.append(f"{self.objects_path}/batch={batch}/level={level}/bucket={bucket}")
 
@@ -162,7 +180,7 @@ class MetricIndex:
         many = [key for key, batches in self.parts.items() if len(batches) > MAX_BATCHES]
         if many:
             with Stages(self.spark) as stage:
-                held = stage(self.bucket_objects(many), "compact")
+                held = stage(self.bucket_objects(many).drop(*NEAR), "compact")
                 self._leave(many)
                 self._write(held)
 
@@ -215,7 +233,7 @@ class MetricIndex:
             rows = bounded_rows(gone.select("level", "bucket").distinct(), MAX_NODES, "buckets")
             touched = [(r["level"], r["bucket"]) for r in rows]
             if touched:
-                left = lookup_join(self.bucket_objects(touched), gone.select("id"), ["id"], "left_anti")
+                left = lookup_join(self.bucket_objects(touched).drop(*NEAR), gone.select("id"), ["id"], "left_anti")
                 left = stage(left, "delete-survivors")
                 self._leave(touched)
                 self._write(left)
@@ -228,22 +246,43 @@ class MetricIndex:
         return f"{self.path}/objects"
 
     def objects(self) -> DataFrame:
-        return self.bucket_objects(list(self.parts))
+        return self.bucket_objects(list(self.parts)).drop(*NEAR)
+
+    def bucket_objects(self, wanted: Sequence[tuple[int, int]], near: Column | None = None) -> DataFrame:
+        """Objects of the wanted buckets only, and of them those for which ``near`` holds,
+        a filter on the columns ``NEAR`` that reaches the scan.
 
-    def bucket_objects(self, wanted: Sequence[tuple[int, int]]) -> DataFrame:
-        """Objects of the wanted buckets only. Their folders are named one by
-        one, so a query does not list an index of very many buckets."""
+        Up to ``MAX_PATHS`` folders are named one by one, so a query does not list an
+        index of very many buckets; for more, the list joins the scan and prunes its
+        partitions at run time."""
+        found = sorted((lv, b, batch) for lv, b in set(wanted) & self.parts.keys() for batch in self.parts[lv, b])
         schema = stored_schema(self.fields)
-        paths = [
-            f"{self.objects_path}/batch={batch}/level={lv}/bucket={b}"
-            for lv, b in sorted(set(wanted) & self.parts.keys())
-            for batch in sorted(self.parts[lv, b])
-        ]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        whole = T.StructType([*schema, T.StructField("batch", T.StringType())])
-        read = self.spark.read.schema(whole).option("basePath", self.objects_path).parquet(*paths)
-        return read.select(*schema.names)
+        if not found:
+            return self.spark.createDataFrame([], T.StructType([*schema, *(T.StructField(n, T.DoubleType()) for n in NEAR)]))
+        whole = T.StructType([*schema, *(T.StructField(n, T.DoubleType()) for n in NEAR), T.StructField("batch", T.StringType())])
+        reader = self.spark.read.schema(whole).option("basePath", self.objects_path)
+        if len(found) <= MAX_PATHS:
+            read = reader.parquet(*[f"{self.objects_path}/batch={batch}/level={lv}/bucket={b}" for lv, b, batch in found])
+        else:
+            kinds = {"level": pa.int32(), "bucket": pa.int32(), "batch": pa.string()}
+            folders = local_table(self.spark, {name: ([f[i] for f in found], kind) for i, (name, kind) in enumerate(kinds.items())})
+            # at most one row a folder, whose number is bounded; the filter lets Spark prune by it
+            folders = F.broadcast(folders.where(F.col("level") >= 0))
+            read = reader.parquet(self.objects_path).join(folders, ["level", "bucket", "batch"], "left_semi")
+        if near is not None:
+            read = read.where(near)
+        return read.select(*schema.names, *NEAR)
+
+    def bucket_boxes(self) -> DataFrame:
+        """level, bucket, n, lo and hi: how many objects a bucket holds, and between what
+        distances to the pivots of the first level they lie (null where not all know)."""
+        rows = [(*key, self.counts_of(key), *joined_boxes(batches.values())) for key, batches in sorted(self.boxes.items())]
+        lists = pa.list_(pa.float64())
+        kinds = {"level": pa.int32(), "bucket": pa.int32(), "n": pa.int64(), "lo": lists, "hi": lists}
+        return local_table(self.spark, {name: ([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds.items())})
+
+    def counts_of(self, key: tuple[int, int]) -> int:
+        return sum(self.parts[key].values())
 
     def bucket_counts(self) -> DataFrame:
         """Stored objects per bucket, as of the last change through the index."""
@@ -262,8 +301,9 @@ class MetricIndex:
         at = f"{self.path}/v={version}"
         tree.nodes_table(self.spark).coalesce(1).write.mode("overwrite").parquet(f"{at}/nodes")
         pivots_table(self.spark, tree, self.fields).coalesce(1).write.mode("overwrite").parquet(f"{at}/pivots")
-        parts = [(*key, batch, n) for key, batches in sorted(self.parts.items()) for batch, n in sorted(batches.items())]
-        kinds = {"level": pa.int32(), "bucket": pa.int32(), "batch": pa.string(), "n": pa.int64()}
+        parts = [(*key, batch, n, *self.boxes[key][batch]) for key, batches in sorted(self.parts.items()) for batch, n in sorted(batches.items())]
+        lists = pa.list_(pa.float64())
+        kinds = {"level": pa.int32(), "bucket": pa.int32(), "batch": pa.string(), "n": pa.int64(), "lo": lists, "hi": lists}
         table = {name: ([r[i] for r in parts], kind) for i, (name, kind) in enumerate(kinds.items())}
         local_table(self.spark, table).coalesce(1).write.mode("overwrite").parquet(f"{at}/buckets")
         for name, values in (("taken", sorted(self.taken)), ("unused", self._unused)):
@@ -313,11 +353,32 @@ class MetricIndex:
         index = cls(spark, path, Tree(metric, meta["rho"], levels), limits, fields)
         index.version, index.tree_version = version, meta["tree_version"]
         for r in bounded_rows(spark.read.parquet(f"{at}/buckets"), MAX_FOLDERS, "bucket folders"):
-            index.parts.setdefault((r["level"], r["bucket"]), {})[r["batch"]] = r["n"]
+            key = r["level"], r["bucket"]
+            index.parts.setdefault(key, {})[r["batch"]] = r["n"]
+            index.boxes.setdefault(key, {})[r["batch"]] = (tuple(r["lo"]), tuple(r["hi"]))
         index.taken = {r["name"] for r in bounded_rows(spark.read.parquet(f"{at}/taken"), MAX_FOLDERS, "batch names")}
         return index
 
 
+Box = tuple[tuple[float | None, ...], tuple[float | None, ...]]
+
+
+def joined_boxes(boxes: Iterable[Box]) -> tuple[list[float | None], list[float | None]]:
+    """The box around boxes; a pivot that some batch does not know bounds nothing."""
+    lows, highs = zip(*boxes)
+    most = max(map(len, lows))
+    known = [all(len(lo) > i and lo[i] is not None for lo in lows) for i in range(most)]
+    return (
+        [min(lo[i] for lo in lows) if known[i] else None for i in range(most)],
+        [max(hi[i] for hi in highs) if known[i] else None for i in range(most)],
+    )
+
+
+def near_columns(pd: Column) -> dict[str, Column]:
+    """``NEAR`` from the pivot distances of all levels."""
+    return {name: F.get(F.get(pd, F.lit(0)), F.lit(i)) for i, name in enumerate(NEAR)}
+
+
 def latest_version(spark: SparkSession, path: str) -> int | None:
     """The newest version that was written to its end."""
     numbers = [int(name[2:]) for name in folder_names(spark, path) if name.startswith("v=")]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distances import columns
 from nearfield.operators.probes import pivot_gap_at_most, pivot_sum_at_most
-from nearfield.plans.tree import MAX_NODES, Tree
+from nearfield.operators.similarity import loosened, nearest
+from nearfield.plans.index import NEAR, MetricIndex, near_columns
+from nearfield.plans.tree import MAX_NODES, Tree, in_split_code
 from nearfield.schema import ANSWER_TOLERANCE, PRUNE_SLACK
 from nearfield.session import BROADCAST_ROWS, bounded_rows, lookup_join, stage
 from nearfield.sources.buckets import bucket_filter
@@ -23,9 +26,12 @@ UNROLLED_PIVOTS = 64
 
 BUCKET_KEYS = ["level", "bucket"]
 
-# Placed objects as a table, or a function that gives the table of some buckets
-# (of all for None), as ``MetricIndex.bucket_objects`` does.
-Objects = DataFrame | Callable[[list[tuple[int, int]] | None], DataFrame]
+# Placed objects as a table, a function that gives the table of some buckets, or a stored
+# index, which also skips buckets and pages by the distances to its first pivots.
+Objects = DataFrame | Callable[[list[tuple[int, int]]], DataFrame] | MetricIndex
+
+# A pushed filter has at most so many intervals; closer ones are joined to fit.
+PUSHED_INTERVALS = 64
 
 
 def candidate_buckets(tree: Tree, queries: DataFrame) -> DataFrame:
@@ -41,15 +47,19 @@ def limited_radius(queries: DataFrame, rho: float) -> DataFrame:
 
 def range_query_indexed(tree: Tree, objects: Objects, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Complete answers (qid, id, dist)."""
-    read = _probe_rows(tree, queries, tree.candidates(queries), "radius")
+    read = _probe_rows(tree, queries, tree.candidates(queries), "radius", objects)
     return _refine(tree, _read(tree, objects, read, max_broadcast_rows)).select("qid", "id", "dist")
 
 
 def range_query_ids(tree: Tree, objects: Objects, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Complete answers without distances: (qid, id). Pairs that the pivots
     already prove to be answers skip the exact distance."""
-    read = _probe_rows(tree, queries, tree.candidates(queries), "radius")
-    pairs = _filtered(tree, _read(tree, objects, read, max_broadcast_rows))
+    return _sure_or_near(tree, objects, _probe_rows(tree, queries, tree.candidates(queries), "radius", objects), max_broadcast_rows)
+
+
+def _sure_or_near(tree: Tree, objects: Objects, probes: DataFrame, max_broadcast_rows: int) -> DataFrame:
+    """Answers (qid, id) of the probes; pairs that pivots prove are not measured."""
+    pairs = _filtered(tree, _read(tree, objects, probes, max_broadcast_rows))
     dist = tree.metric.distance(columns(tree.metric), columns(tree.metric, "q_"))
     sure = F.lit(False)
     for number, level in enumerate(tree.levels):
@@ -61,7 +71,7 @@ def range_query_ids(tree: Tree, objects: Objects, queries: DataFrame, max_broadc
 def surviving_pairs(tree: Tree, objects: Objects, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs (qid, id) of the buckets read that no known pivot distance excludes;
     only these need the exact distance."""
-    read = _probe_rows(tree, queries, tree.candidates(queries), "radius")
+    read = _probe_rows(tree, queries, tree.candidates(queries), "radius", objects)
     return _filtered(tree, _read(tree, objects, read, max_broadcast_rows)).select("qid", "id")
 
 
@@ -69,7 +79,7 @@ def range_query_limited(tree: Tree, objects: Objects, queries: DataFrame, max_br
     """At most one bucket per level is read; answers up to rho are complete
     (``guaranteed``), farther ones are those that happened to be read."""
     limited = limited_radius(queries, tree.rho)
-    read = _probe_rows(tree, limited, tree.candidates(limited), "full")
+    read = _probe_rows(tree, limited, tree.candidates(limited), "full", objects)
     found = _refine(tree, _read(tree, objects, read, max_broadcast_rows))
     return found.select("qid", "id", "dist", (F.col("dist") < tree.rho + ANSWER_TOLERANCE).alias("guaranteed"))
 
@@ -93,7 +103,7 @@ def range_query_approx(tree: Tree, objects: Objects, queries: DataFrame, max_bro
     guaranteed, radius_certified)."""
     plan = stage(approximate_plan(tree, queries), "approximate")
     own = plan.select("qid", F.explode("read").alias("r")).select("qid", "r.*")
-    read = _probe_rows(tree, queries, own, "radius")
+    read = _probe_rows(tree, queries, own, "radius", objects)
     found = _refine(tree, _read(tree, objects, read, max_broadcast_rows))
     found = lookup_join(found, plan.select("qid", "radius_certified"), ["qid"], "left")
     sure = F.col("radius_certified").isNull() | (F.col("dist") < F.col("radius_certified"))
@@ -130,11 +140,88 @@ def pivot_included(objects: DataFrame, queries: DataFrame, pivots: int, max_broa
     return found.distinct() if pivots > 1 else found
 
 
+def bucket_plan(index: MetricIndex, queries: DataFrame) -> DataFrame:
+    """qid, level, bucket, n, inside: the buckets that hold answers of a query perhaps.
+    ``inside`` says that all ``n`` objects of the bucket are answers: d(q, p) and the
+    greatest distance to p that the bucket holds add up to no more than the radius."""
+    reached = index.tree.candidates(queries).select("qid", "radius", *BUCKET_KEYS, "pds")
+    boxes = F.broadcast(index.bucket_boxes())  # a row per bucket, bounded like the tree
+    found = reached.join(boxes, BUCKET_KEYS).where(F.expr(f"{box_gap('pds')} <= radius + {_slack('radius')}"))
+    return found.select("qid", *BUCKET_KEYS, "n", F.expr(inside_box("pds")).alias("inside"), "pds")
+
+
+def answer_counts_indexed(index: MetricIndex, queries: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Number of answers per query (qid, n), zeros included. Buckets that lie inside a ball
+    give their stored count and are not read; pairs that pivots prove are not measured."""
+    plan = stage(bucket_plan(index, queries), "bucket-plan")
+    known = plan.where("inside").groupBy("qid").agg(F.sum("n").alias("n"))
+    rest = plan.where(~F.col("inside")).select("qid", *BUCKET_KEYS, "pds")
+    found = _sure_or_near(index.tree, index, _probe_rows(index.tree, queries, rest, "radius"), max_broadcast_rows)
+    counted = found.groupBy("qid").agg(F.count("*").alias("n"))
+    both = known.unionByName(counted).groupBy("qid").agg(F.sum("n").alias("n"))
+    return queries.select("qid").join(both, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def knn_indexed(index: MetricIndex, queries: DataFrame, k: int, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The ``k`` nearest stored objects of every query, exactly: (qid, id, dist, rank)."""
+    return knn_rounds(index, queries, k, max_broadcast_rows)[0]
+
+
+def knn_rounds(index: MetricIndex, queries: DataFrame, k: int, max_broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The nearest objects, and qid, buckets: how many buckets were read for a query.
+
+    Best first, in rounds that all queries take together. A query first reads the bucket
+    of every level that its own place is in; the k-th distance found there is its radius.
+    Its other buckets within that radius are put in order of the least distance their
+    split bounds and boxes allow, and read by rounds of 1, 2, 4, ... buckets. Each round
+    shrinks the radius; a query is done when its next bucket cannot beat it."""
+    tree = index.tree
+    queries = queries.select("qid", *tree.metric.columns)
+    everywhere = stage(queries.withColumn("radius", F.lit(float("inf"))), "knn-queries")
+    boxes = F.broadcast(index.bucket_boxes())  # a row per bucket, bounded like the tree
+
+    def reached(asked: DataFrame) -> DataFrame:
+        found = tree.candidates(asked).select("qid", *BUCKET_KEYS, "pds", "own", "gap", "radius").join(boxes, BUCKET_KEYS)
+        return found.withColumn("gap", F.greatest(F.col("gap") - F.expr(_slack("gap")), F.expr(box_gap("pds")))).drop("lo", "hi", "n")
+
+    def answers(asked: DataFrame, chosen: DataFrame) -> DataFrame:
+        probes = _probe_rows(tree, asked, chosen, "radius")
+        return _refine(tree, _read(tree, index, probes, max_broadcast_rows)).select("qid", "id", "dist")
+
+    def narrowed(best: DataFrame) -> DataFrame:
+        """Queries with the k-th distance found so far."""
+        kth = best.where(F.col("rank") == k).select("qid", loosened(F.col("dist")).alias("_kth"))
+        return queries.join(kth, "qid", "left").select(*queries.columns, F.coalesce("_kth", F.lit(float("inf"))).alias("radius"))
+
+    # a query that lacks a descriptor is at home in every bucket
+    own = tree.candidates(queries.withColumn("radius", F.lit(0.0))).where("own")
+    own = stage(own.select("qid", *BUCKET_KEYS, "pds"), "knn-own")
+    best = stage(nearest(answers(everywhere, own), k), "knn-best")
+    asked = stage(narrowed(best), "knn-queries")
+    others = reached(asked).join(own.select("qid", *BUCKET_KEYS), ["qid", *BUCKET_KEYS], "left_anti").where("gap <= radius")
+    order = Window.partitionBy("qid").orderBy("gap", *BUCKET_KEYS)
+    others = stage(others.withColumn("turn", F.row_number().over(order)).drop("radius", "own"), "knn-buckets")
+    read = own.groupBy("qid").agg(F.count("*").alias("buckets"))
+    first, size = 1, 1
+    while True:
+        open_ = others.where(F.col("turn") >= first).join(asked.select("qid", "radius"), "qid").where("gap <= radius").drop("radius")
+        now = stage(open_.where(F.col("turn") < first + size), "knn-turn")
+        if now.isEmpty():
+            # a query whose turns of this round lie beyond its radius is done: turns are in order
+            break
+        best = stage(nearest(best.drop("rank").unionByName(answers(asked, now)), k), "knn-best")
+        asked = stage(narrowed(best), "knn-queries")
+        read = read.unionByName(now.groupBy("qid").agg(F.count("*").alias("buckets")))
+        first, size = first + size, 2 * size
+    buckets = queries.select("qid").join(read.groupBy("qid").agg(F.sum("buckets").alias("buckets")), "qid", "left")
+    return best, buckets.select("qid", F.coalesce("buckets", F.lit(0)).alias("buckets"))
+
+
 def bucket_cost(tree: Tree, objects: Objects, queries: DataFrame, counts: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """What each query does in each bucket it reads: candidate objects there
     (from the stored counts, no scan) and those left for the exact distance
     after the pivot filter."""
-    chosen = _probe_rows(tree, queries, tree.candidates(queries), "radius")
+    chosen = _probe_rows(tree, queries, tree.candidates(queries), "radius", objects)
     pairs = _filtered(tree, _read(tree, objects, chosen, max_broadcast_rows))
     after = pairs.groupBy("qid", *BUCKET_KEYS).agg(F.count("*").alias("after_filter"))
     zero = F.lit(0)
@@ -162,25 +249,95 @@ def query_cost(tree: Tree, objects: Objects, queries: DataFrame, counts: DataFra
     )
 
 
-def _probe_rows(tree: Tree, queries: DataFrame, chosen: DataFrame, radius: str) -> DataFrame:
-    """The query side of the bucket join: one row per (query, bucket)."""
+def _probe_rows(tree: Tree, queries: DataFrame, chosen: DataFrame, radius: str, objects: Objects | None = None) -> DataFrame:
+    """The query side of the bucket join: one row per (query, bucket). With an index,
+    buckets that its boxes prove out of reach are left out."""
     renamed = [F.col(c).alias("q_" + c) for c in tree.metric.columns]
     side = queries.select("qid", F.col(radius).alias("radius"), *renamed)
     place = chosen.select("qid", *BUCKET_KEYS, F.col("pds").alias("q_pd"))
-    return stage(side.join(place, "qid"), "probes")
+    rows = side.join(place, "qid")
+    if isinstance(objects, MetricIndex):
+        # the boxes are as many as the buckets, which are bounded; what is not stored has none
+        rows = rows.join(F.broadcast(objects.bucket_boxes().drop("n")), BUCKET_KEYS)
+        rows = rows.where(F.expr(f"{box_gap('q_pd')} <= radius + {_slack('radius')}")).drop("lo", "hi")
+    rows = rows.withColumns({f"q_{name}": value for name, value in near_columns(F.col("q_pd")).items()})
+    return stage(rows, "probes")
+
+
+def _slack(value: str) -> str:
+    return f"{PRUNE_SLACK!r}D * (1D + abs({value}))"
+
+
+def box_gap(pds: str) -> str:
+    """SQL of how far a query lies outside a bucket's box at least, over all pivots of the
+    first level; what is not known bounds nothing. Float error is taken off."""
+    gap = f"coalesce(greatest(d - element_at(hi, i + 1), element_at(lo, i + 1) - d) - {_slack('d')}, 0D)"
+    return f"coalesce(array_max(transform(slice(get({pds}, 0), 1, size(lo)), (d, i) -> {gap})), 0D)"
+
+
+def inside_box(pds: str) -> str:
+    """SQL of whether some pivot proves that a bucket lies inside the query's ball."""
+    return f"coalesce(exists(transform(slice(get({pds}, 0), 1, size(hi)), (d, i) -> d + element_at(hi, i + 1) <= radius), x -> x), false)"
+
+
+def _reach(axis: str) -> str:
+    """How far an answer's distance to a first pivot may lie from the query's own."""
+    return f"(radius + {PRUNE_SLACK!r}D * (1D + radius + abs(q_{axis})))"
+
+
+def _intervals(rows: list, low: str, high: str) -> list[tuple[float, float]] | None:
+    """The union of the rows' intervals as a bounded list, or None if one is not known."""
+    if any(r[low] is None or r[high] is None for r in rows):
+        return None
+    joined: list[tuple[float, float]] = []
+    for a, z in sorted((r[low], r[high]) for r in rows):
+        if joined and a <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(joined[-1][1], z))
+        else:
+            joined.append((a, z))
+    while len(joined) > PUSHED_INTERVALS:
+        k = min(range(len(joined) - 1), key=lambda i: joined[i + 1][0] - joined[i][1])
+        joined[k : k + 2] = [(joined[k][0], joined[k + 1][1])]
+    return joined
+
+
+def _near_filter(rows: list):
+    """A filter on ``NEAR`` that every answer passes, from the reached buckets."""
+    keep = F.lit(True)
+    for i, name in enumerate(NEAR):
+        spans = _intervals(rows, f"lo{i}", f"hi{i}")
+        if spans and all(map(math.isfinite, (spans[0][0], spans[-1][1]))):
+            some = F.lit(False)
+            for a, z in spans:
+                some = some | F.col(name).between(a, z)
+            keep = keep & some
+    return keep
 
 
 def _read(tree: Tree, objects: Objects, probes: DataFrame, max_broadcast_rows: int) -> DataFrame:
-    """Objects of the chosen buckets next to the queries that chose them."""
-    reached = probes.select(*BUCKET_KEYS).distinct()
-    wanted = [(r["level"], r["bucket"]) for r in bounded_rows(reached, MAX_NODES, "buckets")]
-    if callable(objects):
+    """Objects of the chosen buckets next to the queries that chose them, without pairs
+    that the first pivots exclude: flat columns, tested as part of the join."""
+    ends = []
+    for i, name in enumerate(NEAR):
+        q, reach = f"q_{name}", _reach(name)
+        # a query that knows no distance may have answers at any
+        low, high = (F.when(F.count(q) == F.count("*"), F.expr(end)) for end in (f"min({q} - {reach})", f"max({q} + {reach})"))
+        ends += [low.alias(f"lo{i}"), high.alias(f"hi{i}")]
+    reached = bounded_rows(probes.groupBy(*BUCKET_KEYS).agg(*ends), MAX_NODES, "buckets")
+    wanted = [(r["level"], r["bucket"]) for r in reached]
+    if isinstance(objects, MetricIndex):
+        objects = objects.bucket_objects(wanted, _near_filter(reached) if objects.tree.levels[0].pivots else None)
+    elif callable(objects):
         objects = objects(wanted)
     elif len(wanted) <= PRUNED_BUCKETS:
         objects = objects.where(bucket_filter(wanted))
     else:  # at most as many rows as the tree has leaves
-        objects = objects.join(F.broadcast(reached), BUCKET_KEYS, "left_semi")
-    return lookup_join(objects, probes, BUCKET_KEYS, right_split_on="qid", max_broadcast_rows=max_broadcast_rows)
+        objects = objects.join(F.broadcast(probes.select(*BUCKET_KEYS).distinct()), BUCKET_KEYS, "left_semi")
+    flat = set(NEAR) <= set(objects.columns)
+    pairs = lookup_join(objects, probes, BUCKET_KEYS, right_split_on="qid", max_broadcast_rows=max_broadcast_rows)
+    if flat:
+        pairs = pairs.where(F.expr(" AND ".join(f"coalesce(abs({n} - q_{n}) <= {_reach(n)}, true)" for n in NEAR)))
+    return pairs
 
 
 def _filtered(tree: Tree, pairs: DataFrame) -> DataFrame:
@@ -193,7 +350,8 @@ def _filtered(tree: Tree, pairs: DataFrame) -> DataFrame:
     for number, level in enumerate(tree.levels):
         pd, q_pd = F.get("pd", F.lit(number)), F.get("q_pd", F.lit(number))
         keep = keep & pivot_gap_at_most(pd, q_pd, F.col("radius"), len(level.pivots))
-    return pairs.where(keep)
+    # kept out of the join's code, which stays small enough to be compiled
+    return pairs.where(in_split_code(keep))
 
 
 def _refine(tree: Tree, pairs: DataFrame) -> DataFrame:

@@ -36,11 +36,20 @@ def bucket_filter(buckets: Iterable[tuple[int, int]]) -> Column:
     return keep
 
 
-def append_buckets(objects: DataFrame, path: str) -> None:
+def append_buckets(objects: DataFrame, path: str, order: Sequence[str] = (), page_rows: int | None = None) -> None:
     """Add objects to their buckets. Rebalancing puts rows of one bucket
-    together, joins small buckets in one task and cuts a big one over many."""
+    together, joins small buckets in one task and cuts a big one over many.
+
+    With ``order`` the rows of a file are sorted by these columns, so that a pushed
+    filter on them skips row groups and pages (of ``page_rows`` rows at most)."""
     keys = [F.col(k) for k in KEYS]
-    objects.hint("rebalance", *keys).write.mode("append").partitionBy(*KEYS).parquet(path)
+    rows = objects.hint("rebalance", *keys)
+    if order:
+        rows = rows.sortWithinPartitions(*KEYS, *order)
+    writer = rows.write.mode("append").partitionBy(*KEYS)
+    if page_rows is not None:
+        writer = writer.option("parquet.page.row.count.limit", page_rows)
+    writer.parquet(path)
 
 
 def drop_buckets(spark: SparkSession, path: str, buckets: Iterable[tuple[int, int]]) -> int:

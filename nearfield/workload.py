@@ -203,7 +203,7 @@ def index_roundtrip(spark, sf_dir):
     saved = built_index(spark, sf_dir)
     loaded = MetricIndex.load(spark, saved.path, METRIC)
     queries = batch(metric_objects(spark, sf_dir), 0.1)
-    return rounded(search.range_query_indexed(loaded.tree, loaded.bucket_objects, queries), "dist")
+    return rounded(search.range_query_indexed(loaded.tree, loaded, queries), "dist")
 
 
 def bucket_counts(spark, sf_dir):
@@ -383,7 +383,7 @@ def incremental_insert_answers(spark, sf_dir, ask=batch):
     """Range queries over an index that took half of its objects later."""
     index, objects = _split_in_two(spark, sf_dir, F.col("id") % 2 == 0)
     index.insert(objects.where(F.col("id") % 2 == 1))
-    return rounded(search.range_query_indexed(index.tree, index.bucket_objects, ask(objects, 0.2)), "dist")
+    return rounded(search.range_query_indexed(index.tree, index, ask(objects, 0.2)), "dist")
 
 
 def stream_answers(spark, sf_dir, ask=batch):
@@ -440,7 +440,7 @@ def candidate_buckets_wide(spark, sf_dir):
 
 def _indexed(spark, sf_dir, radius, ask=batch):
     index = built_index(spark, sf_dir)
-    return index.tree, index.bucket_objects, ask(metric_objects(spark, sf_dir), radius)
+    return index.tree, index, ask(metric_objects(spark, sf_dir), radius)
 
 
 def range_query_indexed(spark, sf_dir, radius: float = 0.2, ask=batch):
@@ -475,6 +475,16 @@ def pivot_exclude(spark, sf_dir, ask=batch):
     return search.range_query_indexed(index_tree, objects, queries).select("qid", "id")
 
 
+def pivot_exclude_pushed(spark, sf_dir):
+    """One query; its interval on the first pivots' columns is a filter of the scan."""
+    tree, index, queries = _indexed(spark, sf_dir, 0.2, lambda objects, radius: batch(objects, radius, 1))
+    return search.range_query_indexed(tree, index, queries).select("qid", "id")
+
+
+def range_query_ids(spark, sf_dir, ask=batch):
+    return search.range_query_ids(*_indexed(spark, sf_dir, 0.6, ask))
+
+
 def pivot_include(spark, sf_dir, ask=batch):
     objects = metric_objects(spark, sf_dir)
     near = first_objects(objects, 2)
@@ -489,6 +499,11 @@ def knn(spark, sf_dir, ask=batch):
     return rounded(similarity.knn(objects, ask(objects, 0.0), K, METRIC), "dist")
 
 
+def knn_indexed(spark, sf_dir, ask=batch):
+    _, index, queries = _indexed(spark, sf_dir, 0.0, ask)
+    return rounded(search.knn_indexed(index, queries, K), "dist")
+
+
 def knn_embeddings(spark, sf_dir, ask=lambda vectors: vectors.orderBy("id").limit(3)):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     queries = stage(ask(vectors).select(F.col("id").alias("qid"), "vector"), "queries")
@@ -507,6 +522,11 @@ def answer_counts(spark, sf_dir, ask=batch):
     return answers.answer_counts(queries, similarity.range_query_batch(objects, queries, METRIC))
 
 
+def answer_counts_indexed(spark, sf_dir, ask=batch):
+    _, index, queries = _indexed(spark, sf_dir, 0.6, ask)
+    return search.answer_counts_indexed(index, queries)
+
+
 def query_cost(spark, sf_dir, ask=batch):
     tree, objects = fixed_objects(spark, sf_dir)
     return search.query_cost(tree, objects, ask(objects, 0.1), buckets.bucket_counts(objects))
@@ -530,7 +550,8 @@ def merge_answers(spark, sf_dir, ask=batch):
 #: Entries over ten (embeddings: three) queries that have one over many as well.
 ASKED = (
     range_query_batch, range_query_indexed, range_query_limited, range_query_approx, pivot_exclude, pivot_include, knn, ranked_answers,
-    answer_counts, merge_answers, query_cost, candidate_buckets, incremental_insert_answers, stream_answers,
+    answer_counts, merge_answers, query_cost, candidate_buckets, incremental_insert_answers, stream_answers, knn_indexed,
+    range_query_ids, answer_counts_indexed,
 )
 
 
@@ -584,11 +605,15 @@ def registered() -> dict[str, Query]:
         "range_query_indexed_partial": range_query_indexed_partial,
         "pivot_exclude": pivot_exclude,
         "pivot_exclude_pairs": pivot_exclude_pairs,
+        "pivot_exclude_pushed": pivot_exclude_pushed,
         "pivot_include": pivot_include,
+        "range_query_ids": range_query_ids,
         "knn": knn,
+        "knn_indexed": knn_indexed,
         "knn_embeddings": knn_embeddings,
         "ranked_answers": ranked_answers,
         "answer_counts": answer_counts,
+        "answer_counts_indexed": answer_counts_indexed,
         "query_cost": query_cost,
         "query_cost_by_bucket": bucket_cost,
         "merge_answers": merge_answers,
