@@ -19,7 +19,7 @@ from nearfield.functions.distances import Metric
 from nearfield.operators.pivots import hash_fraction, hash_key
 from nearfield.plans.growth import Limits, grow
 from nearfield.plans.tree import MAX_NODES, Level, Tree, depth_of
-from nearfield.session import Stages, bounded_rows, folder_names, local_table, lookup_join, path_exists, remove_path
+from nearfield.session import Stages, bounded_rows, folder_names, local_table, lookup_join, path_exists, remove_path, stage
 from nearfield.sources.buckets import append_buckets, doomed_ids
 
 SAMPLE_FLOOR = 1_000_000
@@ -266,8 +266,8 @@ class MetricIndex:
         else:
             kinds = {"level": pa.int32(), "bucket": pa.int32(), "batch": pa.string()}
             folders = local_table(self.spark, {name: ([f[i] for f in found], kind) for i, (name, kind) in enumerate(kinds.items())})
-            # at most one row a folder, whose number is bounded; the filter lets Spark prune by it
-            folders = F.broadcast(folders.where(F.col("level") >= 0))
+            # at most one row a folder, whose number is bounded; Spark prunes by a table with a filter
+            folders = F.broadcast(stage(folders, "wanted-folders").where(F.col("level") >= 0))
             read = reader.parquet(self.objects_path).join(folders, ["level", "bucket", "batch"], "left_semi")
         if near is not None:
             read = read.where(near)
