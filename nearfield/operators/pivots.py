@@ -13,7 +13,7 @@ from nearfield.functions.distances import Metric, columns, distances_to
 
 SAMPLE_ROWS = 512
 CANDIDATES = 32
-_HASH_SPAN = 1 << 40
+HASH_SPAN = 1 << 40
 
 
 def hash_key(seed: int) -> Column:
@@ -24,8 +24,8 @@ def hash_fraction(objects: DataFrame, rows: int, total: int, key: Column) -> Dat
     """About ``rows`` of ``total`` objects, the same ones on every run."""
     if rows >= total:
         return objects
-    keep = max(1, -(-rows * _HASH_SPAN // total))
-    return objects.where(F.pmod(key, F.lit(_HASH_SPAN)) < keep)
+    keep = max(1, -(-rows * HASH_SPAN // total))
+    return objects.where(F.pmod(key, F.lit(HASH_SPAN)) < keep)
 
 
 def sample_objects(objects: DataFrame, metric: Metric, seed: int, rows: int = SAMPLE_ROWS, total: int | None = None, key: Column | None = None) -> list[Row]:

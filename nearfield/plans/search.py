@@ -337,6 +337,9 @@ def _read(tree: Tree, objects: Objects, probes: DataFrame, max_broadcast_rows: i
     pairs = lookup_join(objects, probes, BUCKET_KEYS, right_split_on="qid", max_broadcast_rows=max_broadcast_rows)
     if flat:
         pairs = pairs.where(F.expr(" AND ".join(f"coalesce(abs({n} - q_{n}) <= {_reach(n)}, true)" for n in NEAR)))
+        # Later filters must not become part of the join, where their long code would run
+        # for every pair of a bucket; they do not pass a column that depends on the row.
+        pairs = pairs.withColumn("_pair", F.monotonically_increasing_id()).where(F.col("_pair") >= 0)
     return pairs
 
 

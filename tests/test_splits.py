@@ -86,3 +86,36 @@ def test_three_way_split_and_report(spark):
     zoned = three_way_split(df, balanced_split(df, ["grp"], 0.1), ["grp"])
     report = {r["grp"]: (r["pct_in"], r["pct_excl"], r["pct_out"]) for r in split_report(zoned, ["grp"]).collect()}
     assert report == {1: (50.0, 0.0, 50.0), 2: (100.0, 0.0, 0.0)}
+
+
+def test_bounds_of_rows_at_hand_follow_the_exact_split(spark):
+    import numpy as np
+
+    from nearfield.plans.growth import balanced_bound
+
+    rng = np.random.default_rng(5)
+    for rho in (0.0, 0.05, 0.3):
+        for values in (rng.random(200), np.round(rng.random(100), 1), np.ones(9), np.array([1, 1.1, 1.15]), np.array([2.0, 1.0, 4.0, 3.0])):
+            df = spark.createDataFrame([(0, float(v)) for v in values], "grp int, dist double")
+            assert balanced_bound(values, rho) == balanced_split(df, ["grp"], rho).first()["in_upper"]
+
+
+def test_subtrees_stop_where_leaves_fit_or_cannot_shrink():
+    import numpy as np
+
+    from nearfield.plans.growth import subtree
+    from nearfield.plans.tree import depth_of
+
+    rng = np.random.default_rng(6)
+    matrix = rng.random((1000, 6))
+    found = {n: (a, b) for n, a, b in subtree(1, matrix, 1000, 0.02, 1.0, 100, 2, 6)}
+    left = {1: np.arange(1000)}
+    for node in sorted(found):
+        rows, (inner, outer) = left.pop(node), found[node]
+        assert len(rows) > 100
+        dist = matrix[rows, depth_of(node)]
+        left[2 * node], left[2 * node + 1] = rows[dist <= inner], rows[dist > outer]
+    assert all(len(rows) <= 100 or depth_of(n) == 6 for n, rows in left.items())
+    assert subtree(4, np.ones((50, 6)), 50, 0.1, 1.0, 10, 2, 6) == [(4, None, None)]
+    # seen through a sample, a leaf with few sampled objects stays whole
+    assert len(subtree(1, matrix, 10**6, 0.02, 1.0, 10, 2, 6)) < 20
