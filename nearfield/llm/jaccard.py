@@ -284,7 +284,7 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width:
     small = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     source = keyed(documents)
     texts = source.join(small, source["doc_id"].eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text")
-    texts = stage(texts, "texts")
+    texts = stage(texts.dropDuplicates(["node"]), "texts")  # repeated rows hold the same text
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts"))
     first = parts.join(texts, parts["a"] == texts["node"]).select("a", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     second = pairs.join(parts, "a").join(texts, F.col("b") == F.col("node"))

@@ -188,7 +188,8 @@ class Scorer:
 
 def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
     """Fit on at most ``sample_rows`` rows of each label, chosen by a hash of the id among
-    all labelled rows outside the held-out part with texts of at most ``sample_bytes``; the
+    all labelled rows outside the held-out part with texts of at most ``sample_bytes``, each
+    id once however often its rows or labels repeat; the
     shares of the labels are counted over all labelled training rows and put back into the
     bias. None where no row is labelled."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2))
@@ -198,11 +199,12 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     order = F.xxhash64("doc_id", F.lit(2))
     ids = None
     for value in shares:  # two labels at most; a quarter more ids than rows wanted, as long texts fall out
-        some = known.where(F.col("quality") == value).orderBy(order, "doc_id").limit(sample_rows + sample_rows // 4)
+        some = known.where(F.col("quality") == value).distinct().orderBy(order, "doc_id").limit(sample_rows + sample_rows // 4)
         ids = some if ids is None else ids.unionAll(some)
     if ids is None:
         return None
-    rows = short.join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", "text").limit(2 * (sample_rows + sample_rows // 4)).collect()
+    # one text of an id, so that repeated rows cannot crowd out others
+    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(order, "doc_id").collect()
     texts: list[bytes] = []
     marks: list[int] = []
     for value in sorted(shares):

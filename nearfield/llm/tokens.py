@@ -6,6 +6,7 @@ are looked up. Ids and spans equal those of encoding the whole text."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -47,6 +48,12 @@ def is_plain(piece: str) -> bool:
     return piece.isalpha() and max(piece) < "\u0180" and piece == piece.lower()
 
 
+def stands_apart(word: str) -> bool:
+    """Only letters, also as the tokenizer normalizes them, so that a closing stop or comma
+    is no part of the word's last token. (A capital dotted I ends in a mark, which is not.)"""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 class _Pieces(dict):
     """Numbers of pieces; new ones wait in ``new`` until they are encoded."""
 
@@ -107,7 +114,7 @@ class ChunkEncoder:
             while at < len(memo.new) and len(names) + len(plain) < ENCODE_AT_ONCE:
                 piece = memo.new[at]
                 at += 1
-                if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+                if piece[-1:] in (".", ",") and stands_apart(piece[:-1]):
                     ended.append((memo[piece], memo[piece[:-1]], memo[piece[-1]], len(piece)))
                 elif is_plain(piece) and (piece.isascii() or not self.spans):
                     plain.append(self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)))

@@ -1,5 +1,6 @@
 """Tokens against the tokenizer, packing as an exact round trip."""
 
+import random
 import zlib
 
 import numpy as np
@@ -24,6 +25,17 @@ def test_ids_and_spans_equal_whole_encoding(hard_texts):
             assert list(map(tuple, offsets.tolist())) == want.offsets
 
 
+def test_any_letters_before_a_stop_equal_whole_encoding():
+    rng = random.Random(11)
+    letters = "aBéİıßǅﬁΣςÅ\u0345\u0307कि漢가ـ.,'-"
+    texts = ["İ.", "Aİ.", "aİ, bİ.", "İİ.,"] + [" ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) + rng.choice([".", ",", ""]) for _ in range(6)) for _ in range(4000)]
+    plain, known, spans = Tokenizer.from_file(PATH), ChunkEncoder(PATH), ChunkEncoder(PATH, True)
+    column = pa.array(texts)
+    for text, ids, (_, offsets) in zip(texts, known.ids(column), spans.offsets(column)):
+        want = plain.encode(text, add_special_tokens=False)
+        assert ids.tolist() == want.ids and list(map(tuple, offsets.tolist())) == want.offsets, text
+
+
 def check(rows, texts, capacity):
     plain = Tokenizer.from_file(PATH)
     want = []

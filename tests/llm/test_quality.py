@@ -71,3 +71,17 @@ def test_hard_texts_and_stage_form(spark, make_documents, hard_texts):
     assert quality.score(empty, net).count() == 0 == quality.keep_good(empty, net).count()
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.train(df, none) is None and quality.score(df, None).where("score = 0.5").count() == len(hard_texts)
+
+
+def test_repeated_rows_and_labels_crowd_nothing_out(spark, monkeypatch):
+    rows = [(i, f"text number {i} " * 5) for i in range(400)] + [(5, "text number 5 " * 5)] * 3000
+    labels = [(i, i % 2) for i in range(400)] + [(5, 1)] * 500
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, marks: seen.update(texts=texts, marks=marks) or Zero())
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), 60)
+    assert sorted(set(seen["marks"].tolist())) == [0, 1] and (seen["marks"] == 0).sum() == (seen["marks"] == 1).sum() == 60
+    assert len(set(seen["texts"])) == 120
+
+
+class Zero:
+    out_bias = np.zeros(1, np.float32)
