@@ -1,7 +1,7 @@
 """Exact removal of passages that an earlier document has, by families of suffix arrays.
 
 A string of ``length`` bytes repeats if it also starts in a document with a smaller id.
-Each such string is filed under its *seed*: the 16 bytes inside it whose hash is least (the
+Each such string is filed under its *seed*: the 24 bytes inside it whose hash is least (the
 leftmost of equal ones). Equal strings have equal seeds, so only strings under the same
 seed are ever compared; neighbouring strings with one seed travel as one piece of text.
 
@@ -33,7 +33,8 @@ from nearfield.llm.words import MIX, MIX_2, MIX_3, finish
 from nearfield.session import fits_broadcast, stage
 
 LENGTH = 50
-SEED_BYTES = 16
+#: Three words of eight bytes: long enough that few seeds are shared by chance.
+SEED_BYTES = 24
 #: Bytes of text whose seeds are found at a time (2 ** 24 at most), and pieces looked at
 #: together for copies before they are sent.
 PIECE_BYTES = 1 << 20
@@ -72,7 +73,9 @@ def seeds_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
     if n < length:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
     eight = np.ndarray((n - 7,), "<u8", data, strides=(1,)).copy()
-    h = finish(finish(eight[: n - SEED_BYTES + 1] + MIX_3) * MIX + eight[8:])
+    h = finish(eight[: n - SEED_BYTES + 1] + MIX_3)
+    for at in range(8, SEED_BYTES, 8):
+        h = finish(h * MIX + eight[at : at + len(h)])
     best = (h & ~_PLACES) | np.arange(len(h), dtype=np.uint64)
     width, have = length - SEED_BYTES + 1, 1
     while have < width:  # the least of ``have`` neighbours, doubled
@@ -398,8 +401,8 @@ def repeated_pieces(rows: DataFrame, length: int) -> DataFrame:
 def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, tag, starts, ends: what texts lose, as sorted runs of bytes that do not touch.
     Only texts that lose something have a row; ``tag`` is 24 bits of the text's xxhash64."""
-    if not 2 * SEED_BYTES <= length <= 255:
-        raise ValueError(f"length must be {2 * SEED_BYTES} to 255 bytes")
+    if not SEED_BYTES + 8 <= length <= 255:
+        raise ValueError(f"length must be {SEED_BYTES + 8} to 255 bytes")
     judged = stage(judged_pieces(documents, length), "judged-pieces")
     asked = judged.where(F.size("asked") > 0).select("doc", "asked.place", "asked.route")
     small = F.broadcast(asked) if fits_broadcast(asked) else asked
