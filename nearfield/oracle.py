@@ -35,6 +35,11 @@ def pairs(radius: float | str, columns: str = "q.id AS qid, o.id, round({d}, 6)
     return f"WITH {O}, {asked} SELECT {columns.format(d=d)} FROM o CROSS JOIN q WHERE round({d}, 9) <= {radius}"
 
 
+# Distances of map objects: over the names that both hold.
+MAP_PAIRS = f"""SELECT q.id AS qid, o.id, round(abs(o.n - q.n)
+  + CASE WHEN o.id % 3 <> 0 AND q.id % 3 <> 0 THEN {vec('o', 'q')} ELSE 0 END
+  + CASE WHEN o.id % 2 = 0 AND q.id % 2 = 0 THEN abs(o.z - q.z) ELSE 0 END, 9) AS dist FROM o CROSS JOIN q"""
+
 # Distances to the smallest id, with the two counts a balanced split weighs.
 SPLIT = f"""WITH {O}, {P},
 d AS (SELECT o.id, o.grp, {dist('o', 'p0')} AS d FROM o CROSS JOIN p0),
@@ -174,9 +179,10 @@ def oracle_sql() -> dict[str, str]:
           SELECT q.id AS qid, e.id, round(list_distance(e.v, q.v), 6) AS d_vector FROM e CROSS JOIN q""",
         "dist_composite_sum": f"""WITH {O}, {Q} SELECT q.id AS qid, o.id, abs(o.n - q.n) AS d_number,
           round({vec('o', 'q')}, 6) AS d_vector, round({dist('o', 'q')}, 6) AS dist FROM o CROSS JOIN q""",
-        "dist_map_sum": f"""WITH {O}, {Q} SELECT q.id AS qid, o.id, round(abs(o.n - q.n)
-          + CASE WHEN o.id % 3 <> 0 AND q.id % 3 <> 0 THEN {vec('o', 'q')} ELSE 0 END
-          + CASE WHEN o.id % 2 = 0 AND q.id % 2 = 0 THEN abs(o.z - q.z) ELSE 0 END, 9) AS dist FROM o CROSS JOIN q""",
+        "dist_map_sum": f"WITH {O}, {Q} {MAP_PAIRS}",
+        "range_query_batch_map": f"WITH {O}, {Q}, d AS ({MAP_PAIRS}) SELECT qid, id, dist FROM d WHERE dist <= 0.05",
+        "knn_map": f"""WITH {O}, {Q}, d AS ({MAP_PAIRS}),
+          r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d) SELECT qid, id, dist, rank FROM r WHERE rank <= 5""",
         "distance_report": f"WITH {O}, {P} SELECT o.id, round({dist('o', 'p0')}, 6) AS dist FROM o CROSS JOIN p0",
         "data_equal_groups": f1 + f"""SELECT number, CAST(CAST(x AS DECIMAL(9,1)) AS VARCHAR) || ',' || CAST(CAST(y AS DECIMAL(9,1)) AS VARCHAR)
           || ',' || CAST(CAST(z AS DECIMAL(9,1)) AS VARCHAR) AS vector, n FROM (SELECT {tenth('n')} AS number, {tenth('x')} AS x,

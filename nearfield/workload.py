@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import descriptors as desc
 from nearfield.functions.distances import CompositeMetric, MapMetric, NumberMetric, VectorMetric, columns
 from nearfield.functions.zones import zone_of
-from nearfield.operators import answers, pivots, probes, similarity, splits
+from nearfield.operators import answers, maps, pivots, probes, similarity, splits
 from nearfield.plans import index as indexes
 from nearfield.plans import search
 from nearfield.plans.growth import Limits
@@ -504,6 +504,22 @@ def knn_indexed(spark, sf_dir, ask=batch):
     return rounded(search.knn_indexed(index, queries, K), "dist")
 
 
+def _map_queries(spark, sf_dir, radius):
+    objects = stage(map_objects(spark, sf_dir), "map-objects")
+    first = objects.orderBy("id").limit(N_QUERIES).select(F.col("id").alias("qid"), "descriptors", F.lit(radius).alias("radius"))
+    return objects, stage(first, "queries")
+
+
+def range_query_batch_map(spark, sf_dir):
+    objects, queries = _map_queries(spark, sf_dir, 0.05)
+    return maps.range_query_batch_map(objects, queries, MapMetric()).select("qid", "id", F.round("dist", 9).alias("dist"))
+
+
+def knn_map(spark, sf_dir):
+    objects, queries = _map_queries(spark, sf_dir, 0.0)
+    return maps.knn_map(objects, queries, K, MapMetric()).select("qid", "id", F.round("dist", 9).alias("dist"), "rank")
+
+
 def knn_embeddings(spark, sf_dir, ask=lambda vectors: vectors.orderBy("id").limit(3)):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     queries = stage(ask(vectors).select(F.col("id").alias("qid"), "vector"), "queries")
@@ -610,6 +626,8 @@ def registered() -> dict[str, Query]:
         "range_query_ids": range_query_ids,
         "knn": knn,
         "knn_indexed": knn_indexed,
+        "range_query_batch_map": range_query_batch_map,
+        "knn_map": knn_map,
         "knn_embeddings": knn_embeddings,
         "ranked_answers": ranked_answers,
         "answer_counts": answer_counts,
