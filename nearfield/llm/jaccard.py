@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.graph import components
-from nearfield.llm.words import MIX, MIX_2, MIX_3, WordHashes, finish
+from nearfield.llm.words import MIX, MIX_2, MIX_3, WordHashes, finish, free_names
 from nearfield.session import fits_broadcast, stage
 
 #: Longest lengthening of a prefix.
@@ -350,7 +350,12 @@ def similarity_classes(documents: DataFrame, width: int = 3, percent: int = 90)
 
 def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without the later ones of each group of similar documents: the row
-    with the smallest id stays, with its columns as they are."""
+    with the smallest id stays, with its columns as they are.
+
+    Null, empty and blank texts belong to no group and all stay; rows without id come behind
+    the others of their group; of equal rows (id and text) one stays; texts may have any
+    length, an empty table stays empty."""
+    own, text_hash, stays = free_names(documents.columns, "_id", "_th", "_stays")
     labelled = stage(similarity_classes(documents, width, percent).where(F.col("node").isNotNull()), "labelled")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
     # A component without any id falls back on its nodes.
@@ -358,14 +363,14 @@ def one_of_each(documents: DataFrame, width: int = 5, percent: int = 80) -> Data
     rows = labelled.groupBy(*group, "doc_id", "th").agg(F.count("*").alias("copies"))
     first = rows.groupBy("component_id", "alone").agg(F.min(key).alias("first"))
     rows = rows.join(first, rows["component_id"].eqNullSafe(first["component_id"]) & rows["alone"].eqNullSafe(first["alone"])).select(key.alias("k"), "copies", "first")
-    gone = stage(rows.where((F.col("k") != F.col("first")) | (F.col("copies") > 1)).select(F.col("k.doc_id").alias("_id"), F.col("k.th").alias("_th"), (F.col("k") == F.col("first")).alias("_stays")), "gone")
+    gone = stage(rows.where((F.col("k") != F.col("first")) | (F.col("copies") > 1)).select(F.col("k.doc_id").alias(own), F.col("k.th").alias(text_hash), (F.col("k") == F.col("first")).alias(stays)), "gone")
     small = F.broadcast(gone) if fits_broadcast(gone) else gone
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text_hash))
     names = documents.columns
     single = documents.join(small, same, "left_anti")
     # Equal rows that stay: one of them.
-    repeated = documents.join(small.where("_stays"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return single.unionByName(repeated).select(*names)
+    repeated = documents.join(small.where(F.col(stays)), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated).select(*(F.col(f"`{name}`") for name in names))
 
 
 def op10_adaptive_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

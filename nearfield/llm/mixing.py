@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nearfield.llm.words import WORD
-from nearfield.session import stage
+from nearfield.llm.words import WORD, free_names
+from nearfield.session import fits_broadcast, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -125,24 +125,25 @@ def mix(documents: DataFrame) -> DataFrame:
 
 
 def take(documents: DataFrame) -> DataFrame:
-    """The mixed documents themselves: each row as often as the mix takes it."""
+    """The mixed documents themselves: each row as often as the mix takes it, with its
+    columns as they are.
+
+    Sizes, sources and verdicts are those of ``mix``: a null, empty or blank text has no
+    words and follows its hash like any other, a null source is a source, repeated rows share
+    a verdict, texts may have any length, an empty table stays empty."""
+    h, times, copy = free_names(documents.columns, "_h", "_times", "_copy")
     rows = stage(sized(documents), "mix-sizes")
     wanted = stage(targets(rows), "mix-targets")
     edges = thresholds(rows, wanted)
-    mine = documents.withColumn("_h", document_hash(F.col("doc_id"), F.col("text").cast("string"))).alias("d")
-    found = mine.join(F.broadcast(edges).alias("e") if _few(edges) else edges.alias("e"), F.col("d.source").cast("string").eqNullSafe(F.col("e.source")))
-    times = F.least(F.col("e.copies") + (F.col("d._h") < F.col("e.below")).cast("long"), F.lit(2)).cast("int")
-    repeated = found.withColumn("_times", times).where(F.col("_times") > 0)
-    copies = repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    few = F.broadcast(edges) if fits_broadcast(edges) else edges
+    mine = documents.withColumn(h, document_hash(F.col("doc_id"), F.col("text").cast("string"))).alias("d")
+    found = mine.join(few.alias("e"), F.col("d.source").cast("string").eqNullSafe(F.col("e.source")))
+    often = F.least(F.col("e.copies") + (F.col(f"d.{h}") < F.col("e.below")).cast("long"), F.lit(2)).cast("int")
+    repeated = found.withColumn(times, often).where(F.col(times) > 0)
+    copies = repeated.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
     return copies.select(*(F.col(f"d.`{name}`") for name in documents.columns))
 
 
-def _few(edges: DataFrame) -> bool:
-    from nearfield.session import fits_broadcast
-
-    return fits_broadcast(edges)
-
-
 def op8_hash_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -36,6 +36,8 @@ EPOCHS = 8
 THRESHOLD = 0.7
 #: Windows scored at a time: bounds a worker's memory however long a text is.
 BLOCK = 1 << 15
+#: Whole rows that a worker sends back at a time.
+KEPT_AT_ONCE = 500
 
 
 @dataclass
@@ -243,17 +245,21 @@ def score(documents: DataFrame, net: Network | None) -> DataFrame:
 
 def keep_good(documents: DataFrame, net: Network | None) -> DataFrame:
     """The documents whose score reaches the threshold, with their columns as they are.
-    The score is computed beside the row, so repeated ids cannot mix up verdicts."""
+    The score is computed beside the row, so repeated ids cannot mix up verdicts. A null
+    text is scored as an empty one, texts may have any length, an empty table stays empty;
+    without a fitted network all stay. Rows go back in small batches."""
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net) if net is not None else None
         at = names.index("text")
         for batch in batches:
-            keep = [
-                True if scorer is None else scorer.score(v.as_buffer().to_pybytes() if v.is_valid else b"") >= THRESHOLD for v in batch.column(at)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for begin in range(0, batch.num_rows, KEPT_AT_ONCE):
+                some = batch.slice(begin, KEPT_AT_ONCE)
+                keep = [
+                    True if scorer is None else scorer.score(v.as_buffer().to_pybytes() if v.is_valid else b"") >= THRESHOLD for v in some.column(at)
+                ]
+                yield some.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 

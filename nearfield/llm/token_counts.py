@@ -88,21 +88,24 @@ def token_counts(documents: DataFrame, tokenizer: str, rule: str = "largest") ->
         known = encoder(tokenizer, True)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         kinds = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[f.split()[1]] for f in SCHEMA.split(", ")]
-        for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            ids, sections = batch.column("doc_id").to_pylist(), batch.column("sections").to_pylist()
-            for doc_id, cut, (_, spans) in zip(ids, sections, known.offsets(batch.column("text"))):
-                n = len(spans)
-                if not cut:
-                    found = [(doc_id, -1, 0, 0, 0.0, 0, n, n)]
-                else:
-                    starts, ends = np.array([c["start"] for c in cut]), np.array([c["end"] for c in cut])
-                    counts, crossing, outside = attribute(spans, starts, ends, rule)
-                    found = [(doc_id, i, int(starts[i]), int(ends[i]), float(counts[i]), int(crossing[i]), n, outside) for i in range(len(cut))]
-                for row in found:
-                    for column, value in zip(rows, row):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
+        try:
+            for batch in batches:
+                rows: list[list] = [[] for _ in names]
+                ids, sections = batch.column("doc_id").to_pylist(), batch.column("sections").to_pylist()
+                for doc_id, cut, (_, spans) in zip(ids, sections, known.offsets(batch.column("text"))):
+                    n = len(spans)
+                    if not cut:
+                        found = [(doc_id, -1, 0, 0, 0.0, 0, n, n)]
+                    else:
+                        starts, ends = np.array([c["start"] for c in cut]), np.array([c["end"] for c in cut])
+                        counts, crossing, outside = attribute(spans, starts, ends, rule)
+                        found = [(doc_id, i, int(starts[i]), int(ends[i]), float(counts[i]), int(crossing[i]), n, outside) for i in range(len(cut))]
+                    for row in found:
+                        for column, value in zip(rows, row):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=names)
+        finally:
+            known.forget()
 
     text = F.col("text").cast("string")
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col("sections").alias("sections"))

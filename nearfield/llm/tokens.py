@@ -1,7 +1,7 @@
 """Token ids and spans of whole texts, inside tasks.
 
 The word-level tokenizer drops white space and never merges across it, so a text is cut at
-blanks and line ends, every different piece is encoded once per worker, and a text's ids
+blanks and line ends, every different piece is encoded once per task, and a text's ids
 are looked up. Ids and spans equal those of encoding the whole text."""
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-#: Pieces remembered by a worker before it starts anew, and pieces of texts held at a time.
+#: Pieces remembered by a task before it starts anew, and pieces of texts held at a time.
 MEMO_PIECES = 500_000
 HELD_PIECES = 250_000
 ENCODE_AT_ONCE = 4096
@@ -28,7 +28,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def encoder(path: str, spans: bool = False) -> ChunkEncoder:
-    """The worker's encoder; it keeps what it learned from one task to the next."""
+    """The worker's encoder. It is loaded once; what it learns from texts goes with the task
+    (``forget``), since workers live on and their memory is the executor's."""
     if (path, spans) not in _encoders:
         _encoders[path, spans] = ChunkEncoder(path, spans)
     return _encoders[path, spans]
@@ -82,12 +83,17 @@ class ChunkEncoder:
 
     def _clear(self) -> None:
         self.memo = _Pieces()
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.pool_span = np.zeros((1 << 20, 2), np.int32) if self.spans else None
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.pool_span = np.zeros((1 << 16, 2), np.int32) if self.spans else None
         self.first = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.used = 0
 
+    def forget(self) -> None:
+        """Drop all pieces and give their memory back."""
+        self._clear()
+        pa.default_memory_pool().release_unused()
+
     def _store(self, which: np.ndarray, count: np.ndarray, ids: np.ndarray, offsets: np.ndarray | None) -> None:
         """Append the tokens of pieces to the pool."""
         while self.used + len(ids) > len(self.pool):

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of every word rule here: blank and \x09-\x0D. ``bytes.split`` without
@@ -46,16 +45,17 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def text_bytes(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
-    """The UTF-8 bytes of each text; a null counts as empty."""
-    for value in column.cast(pa.large_string()).cast(pa.large_binary()):
-        yield value.as_py() or b""
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, with more underscores in front where a name is taken."""
+    names, used = [], {name.lower() for name in taken}
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        names.append(name)
+    return names
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """crc32 of the id as text falls into the held-out part; a null id never does."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
-
-
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
