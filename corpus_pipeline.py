@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import jaccard, lines, mixing, packing, quality
 from nearfield.llm.tokens import tokenizer_path
-from nearfield.session import stage
+from nearfield.session import release, stage, staged_paths
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written and read again."""
+    """All stages over ``documents``; each but the last is written and read again, and the
+    tables of the stages before go when it is written.
+
+    Rows with null in any column, empty and very long texts, repeated rows and further
+    columns pass through the stages as these say; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    others = staged_paths(spark)
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name)
+        release(spark, [*others, staged_paths(spark)[-1]])
     return STAGES[-1][1](spark, docs, sf_dir)
