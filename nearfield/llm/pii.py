@@ -20,11 +20,12 @@ from nearfield.session import bounded_rows, stage
 KINDS = ("email", "ip", "card", "phone")
 
 # Base patterns. Possessive loops and the start condition give the same matches as the
-# plain forms, without going back over long runs of letters or digits.
+# plain forms, without going back over long runs of letters or digits. Runs of fewer than 14
+# digits can be no card, from no digit of theirs, so they are not listed.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?+[0-9])++",
+    "card": r"[0-9](?:[\x20-]?+[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Wider patterns, and a piece of text without which they cannot match.
@@ -43,6 +44,9 @@ LABELERS = 5
 #: Patterns of kind, votes and features that can occur at most; the table of counts is fetched.
 MAX_PATTERNS = 4 * 3**LABELERS * 32
 ROUNDS = 30
+#: Spans of a text that are placed or compared together, so that the work for a text grows
+#: with its spans and not with their square.
+BLOCK = 256
 
 
 def length_digits(text: Column) -> Column:
@@ -79,11 +83,18 @@ def _small(part: Column) -> Column:
     return F.when(F.length(bare) == 0, 0).when(F.length(bare) <= 3, bare.try_cast("int")).otherwise(999)
 
 
+def blocks(spans: Column) -> Column:
+    """An array cut into arrays of at most ``BLOCK``."""
+    starts = F.sequence(F.lit(1), F.size(spans), F.lit(BLOCK))
+    return F.when(F.size(spans) > 0, F.transform(starts, lambda at: F.slice(spans, at, BLOCK))).otherwise(F.transform(F.slice(spans, 1, 0), lambda s: F.array(s)))
+
+
 def positioned(found: str, gaps: str) -> Column:
     """Matches with their places in code points and the text around them.
 
     The pieces between matches give the places: a match starts where the pieces and
-    matches before it end."""
+    matches before it end. Places are summed inside blocks of matches first and shifted by
+    the blocks before."""
     pairs = F.transform(
         F.col(found),
         lambda m, i: F.struct(
@@ -104,7 +115,40 @@ def positioned(found: str, gaps: str) -> Column:
         one = F.struct(begin.alias("start"), end.alias("end"), pair["m"].alias("m"), pair["left"].alias("left"), pair["right"].alias("right"))
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, start, add, lambda state: state["out"])
+    def shifted(local: Column) -> Column:
+        ahead = F.aggregate(local, F.array(F.lit(0).cast("long")), lambda sums, block: F.concat(sums, F.array(F.element_at(sums, -1) + block["at"])))
+
+        def move(block: Column, shift: Column) -> Column:
+            return F.transform(
+                block["out"],
+                lambda s: F.struct((s["start"] + shift).alias("start"), (s["end"] + shift).alias("end"), s["m"].alias("m"), s["left"].alias("left"), s["right"].alias("right")),
+            )
+
+        return F.flatten(F.zip_with(local, F.slice(ahead, F.lit(1), F.size(local)), move))
+
+    return bound(bound(pairs, lambda p: F.transform(blocks(p), lambda block: F.aggregate(block, start, add))), shifted)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def apart(wide: Column, base: Column) -> Column:
+    """The wide spans that meet no base span. Base spans are looked up by block: only those
+    of a block that reaches the span are compared with it."""
+
+    def reached(block: Column) -> Column:
+        return F.struct(F.array_min(F.transform(block, lambda b: b["start"])).alias("lo"), F.array_max(F.transform(block, lambda b: b["end"])).alias("hi"), block.alias("spans"))
+
+    def free(held: Column) -> Column:
+        def meets(w: Column) -> Column:
+            inside = lambda k: (k["lo"] < w["end"]) & (w["start"] < k["hi"])
+            return F.exists(held, lambda k: F.when(inside(k), F.exists(k["spans"], lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))).otherwise(False))
+
+        return F.filter(wide, lambda w: ~meets(w))
+
+    return F.when((F.size(wide) == 0) | (F.size(base) == 0), wide).otherwise(bound(F.transform(blocks(F.sort_array(base)), reached), free))
 
 
 def votes(kind: str, span: Column, base: bool) -> list[Column]:
@@ -183,8 +227,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     wide = F.concat(*(F.col(n) for n in names if n.endswith("wide")))
     base = F.concat(*(F.col(n) for n in names if n.endswith("base")))
     both = parts.select("doc_id", base.alias("base"), wide.alias("wide"))
-    free = F.filter("wide", lambda w: ~F.exists(F.col("base"), lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return both.select("doc_id", F.sort_array(F.concat("base", free)).alias("spans"))
+    return both.select("doc_id", F.sort_array(F.concat("base", apart(F.col("wide"), F.col("base")))).alias("spans"))
 
 
 def unpacked(code: np.ndarray) -> np.ndarray:

@@ -69,6 +69,22 @@ def test_base_spans(make_documents):
         assert set(base) <= {(s["start"], s["kind"], s["end"]) for s in row["spans"]}
 
 
+def test_many_spans_of_one_text(make_documents):
+    """Thousands of spans, and numbers that are none: places agree, in time that grows with
+    their number. Spans of the wider patterns beside base ones stay apart from them."""
+    rng = random.Random(8)
+    some = ["a.b@c.de", "10.2.3.4", "4111 1111 1111 1111", "+1 (988) 555-2485", "é", "12,", "415-555-2671"]
+    texts = [" x ".join(rng.choice(some) for _ in range(4_000)), "12, " * 100_000]
+    rows = {r["doc_id"]: r["spans"] for r in pii.candidates(make_documents(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        base = [(s["start"], s["kind"], s["end"]) for s in rows[i] if s["base"]]
+        assert base == plain(text)
+    wide = [s for s in rows[0] if not s["base"]]
+    assert [(s["start"], s["end"]) for s in wide] == [m.span() for m in re.finditer(r"415-555-2671", texts[0])]
+    ends = sorted((s["start"], s["end"]) for s in rows[0])
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_query_columns(spark, tmp_path, make_documents):
     rows = [(i, t) for i, t in enumerate(HAND)] + [(50, None)]
     make_documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
