@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.graph import components
-from nearfield.llm.words import MIX, MIX_2, MIX_3, WordHashes, finish, free_names
+from nearfield.llm.words import MIX, MIX_2, MIX_3, WordHashes, finish, free_names, map_texts
 from nearfield.session import fits_broadcast, stage
 
 #: Longest lengthening of a prefix.
@@ -122,7 +122,7 @@ def sets(documents: DataFrame, width: int) -> DataFrame:
                 names=["doc_id", "th", "n", "node", "band", "often", "times"],
             )
 
-    return keyed(documents).mapInArrow(run, "doc_id long, th long, n long, node long, band array<long>, often array<long>, times array<long>")
+    return map_texts(keyed(documents), run, "doc_id long, th long, n long, node long, band array<long>, often array<long>, times array<long>")
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def prefixes(documents: DataFrame, width: int, percent: int, common: tuple[np.nd
                 names=["node", "n", "tokens", "sketch"],
             )
 
-    rows = keyed(documents).mapInArrow(run, "node long, n long, tokens array<long>, sketch array<int>")
+    rows = map_texts(keyed(documents), run, "node long, n long, tokens array<long>, sketch array<int>")
     return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.words import MIX, MIX_2, MIX_3, WordHashes, finish, free_names
+from nearfield.llm.words import MIX, MIX_2, MIX_3, WordHashes, finish, free_names, map_texts
 from nearfield.session import Stages, fits_broadcast, stage
 
 #: Defaults: shorter lines are left alone, as they repeat in any prose, and words from which
@@ -125,7 +125,7 @@ def occurrences(documents: DataFrame, least_words: int, near_words: int) -> Data
             if row:
                 yield hashed()
 
-    return keyed(documents).mapInArrow(run, "id long, th long, no long, n long, h1 long, h2 long, halves array<long>")
+    return map_texts(keyed(documents), run, "id long, th long, no long, n long, h1 long, h2 long, halves array<long>")
 
 
 def place() -> Column:

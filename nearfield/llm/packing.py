@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.llm.tokens import encoder, tokenizer_path
+from nearfield.llm.words import map_texts
 from nearfield.session import stage
 
 CAPACITY = 4096
@@ -48,7 +49,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
             known.forget()
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, PIECES)
+    return map_texts(source, run, PIECES)
 
 
 def two_fit(counts: np.ndarray, gap: int) -> tuple[int, int] | None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfield.llm.words import held_out
+from nearfield.llm.words import held_out, map_texts
 
 WIDTH = 8  # bytes a filter sees
 STEP = 2  # bytes between windows
@@ -261,7 +261,7 @@ def keep_good(documents: DataFrame, net: Network | None) -> DataFrame:
                 ]
                 yield some.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_texts(documents, run, documents.schema)
 
 
 def op1_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of every word rule here: blank and \x09-\x0D. ``bytes.split`` without
 #: arguments uses exactly these, ``bytes.lower`` changes A-Z only.
@@ -17,6 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: whatever the vocabulary.
 MEMO_WORDS = 200_000
 
+#: Bytes of texts that go to a worker at a time.
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX_2 = np.uint64(0xC2B2AE3D27D4EB4F)
 MIX_3 = np.uint64(0x165667B19E3779F9)
@@ -45,6 +51,15 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def map_texts(rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` over whole texts. Batches are bounded by bytes, not only by rows, as
+    ten thousand long texts fill an executor; a session that sets its own bound keeps it."""
+    conf = rows.sparkSession.conf
+    if BATCH_KEY not in conf.getAll:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return rows.mapInArrow(fn, schema)
+
+
 def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     """The wanted column names, with more underscores in front where a name is taken."""
     names, used = [], {name.lower() for name in taken}
