@@ -12,7 +12,7 @@ that a list offers only pairs whose ends lie in different components."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from nearfield.llm.graph import components
 from nearfield.llm.words import MIX, MIX_2, MIX_3, WordHashes, finish, free_names, map_texts
-from nearfield.session import fits_broadcast, stage
+from nearfield.session import Stages, fits_broadcast, stage
 
 #: Longest lengthening of a prefix.
 MOST_MATCHES = 5
@@ -130,7 +130,7 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(found: DataFrame, write: Callable[[DataFrame, str], DataFrame] = stage) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent counted shingles, at most ``FREQUENT``, with their counts.
 
     Counts cover all documents; the least count is the smallest at which the list stays
@@ -138,7 +138,7 @@ def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     inside = found.select(F.explode("band").alias("token"), F.lit(1).cast("long").alias("k"))
     outside = found.where(F.col("often").isNotNull()).select(F.explode(F.arrays_zip("often", "times")).alias("e")).select("e.often", "e.times")
     counts = inside.union(outside).groupBy("token").agg(F.sum("k").alias("df"))
-    counts = stage(counts.where(F.col("df") >= FREQUENT_FROM), "frequent")
+    counts = write(counts.where(F.col("df") >= FREQUENT_FROM), "frequent")
     by_count = counts.groupBy(F.ceil(F.log2("df") * 8).cast("int").alias("step")).agg(F.count("*").alias("n"), F.min("df").alias("df"))
     least, held = None, 0
     for row in sorted(by_count.collect(), key=lambda r: -r["step"]):  # at most 8 * 64 rows
@@ -192,7 +192,7 @@ def prefixes(documents: DataFrame, width: int, percent: int, common: tuple[np.nd
     return rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
 
 
-def postings(prefix: DataFrame, percent: int) -> DataFrame:
+def postings(prefix: DataFrame, percent: int, inner: Stages) -> DataFrame:
     """token, node, n, pos, matches, sketch: the prefix of each node at the ``l`` it chose,
     shared shingles only; the sketch only in long lists.
 
@@ -202,7 +202,7 @@ def postings(prefix: DataFrame, percent: int) -> DataFrame:
     than the node shares with any similar one, so no pair has to share more than it must."""
     each = prefix.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = each.groupBy("token").agg(F.count("*").alias("listed")).where(F.col("listed") > 1)
-    met = stage(each.join(shared, "token"), "postings")
+    met = inner(each.join(shared, "token"), "postings")
     costs = []
     for matches in range(1, MOST_MATCHES + 1):
         read = F.sum(F.when(F.col("pos") < prefix_length(F.col("n"), matches, percent), F.col("listed") - 1).otherwise(0))
@@ -278,13 +278,17 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width:
 
     The rows of one node come to a task behind the node's own text; a node with many
     partners is spread over tasks."""
-    pairs = stage(pairs, "pairs")
+    with Stages(documents.sparkSession) as inner:
+        return stage(_compared(inner(pairs, "pairs"), documents, classes, width, percent, inner), "links")
+
+
+def _compared(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width: int, percent: int, inner: Stages) -> DataFrame:
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = classes.join(ends, "node").select("node", F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
     small = F.broadcast(wanted) if fits_broadcast(wanted) else wanted
     source = keyed(documents)
     texts = source.join(small, source["doc_id"].eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("node", "text")
-    texts = stage(texts.dropDuplicates(["node"]), "texts")  # repeated rows hold the same text
+    texts = inner(texts.dropDuplicates(["node"]), "texts")  # repeated rows hold the same text
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("parts"))
     first = parts.join(texts, parts["a"] == texts["node"]).select("a", F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("part"), F.lit(None).cast("long").alias("b"), "text")
     second = pairs.join(parts, "a").join(texts, F.col("b") == F.col("node"))
@@ -307,7 +311,7 @@ def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, width:
                         out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return stage(rows.mapInArrow(run, "a long, b long"), "links")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -316,16 +320,20 @@ def rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
     return lists.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def links_of(documents: DataFrame, found: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    prefix = stage(prefixes(documents, width, percent, frequent(found)), "prefixes")
-    lists = stage(postings(prefix, percent), "lists").withColumn("root", F.col("node"))
-    links = None
-    for number in range(LEADER_ROUNDS):
-        new = verified(leader_pairs(lists, number, percent), documents, classes, width, percent)
-        links = new if links is None else links.unionByName(new)
-        lists = stage(rooted(lists, links), "lists")
-    rest = verified(cross_pairs(mixed(lists), percent), documents, classes, width, percent)
-    return links.unionByName(rest)
+def links_of(documents: DataFrame, common: tuple[np.ndarray, np.ndarray], classes: DataFrame, width: int, percent: int) -> DataFrame:
+    spark = documents.sparkSession
+    with Stages(spark) as old, Stages(spark) as new:
+        prefix = old(prefixes(documents, width, percent, common), "prefixes")
+        lists = new(postings(prefix, percent, old), "lists").withColumn("root", F.col("node"))
+        links = None
+        for number in range(LEADER_ROUNDS):
+            old.clear()
+            old, new = new, old  # the lists with the components so far, and those that follow
+            found = verified(leader_pairs(lists, number, percent), documents, classes, width, percent)
+            links = found if links is None else links.unionByName(found)
+            lists = new(rooted(lists, links), "lists")
+        old.clear()
+        return links.unionByName(verified(cross_pairs(mixed(lists), percent), documents, classes, width, percent))
 
 
 def similarity_classes(documents: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -336,14 +344,17 @@ def similarity_classes(documents: DataFrame, width: int = 3, percent: int = 90)
     empty or blank has no shingles and links with nothing: its own id is its component.
     Repeated rows are repeated; a null id takes the smallest id of its component, or stays
     null alone. ``th`` is a hash of the text that tells rows of one id apart."""
-    found = stage(sets(documents, width), "sets")
-    classes = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("r"))
+    with Stages(documents.sparkSession) as inner:
+        found = inner(sets(documents, width), "sets")
+        rows = stage(found.drop("band", "often", "times"), "set-sizes")
+        common = frequent(found, inner)
+    classes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("r"))
     classes = stage(classes.select("node", F.col("r.doc_id").alias("doc_id"), F.col("r.th").alias("th")), "classes")
-    roots = stage(components(links_of(documents, found, classes, width, percent)), "roots")
+    roots = stage(components(links_of(documents, common, classes, width, percent)), "roots")
     named = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = stage(named.join(smallest, "root").select(F.col("node").alias("_node"), "component_id"), "labels")
-    rows = found.drop("band", "often", "times").join(labels, F.col("node") == F.col("_node"), "left")
+    rows = rows.join(labels, F.col("node") == F.col("_node"), "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "th", F.col("n").alias("n_shingles"), "node", own.alias("component_id"))
 
