@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Whether the shuffle files of a query go when it ends.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -74,8 +77,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return _written(df, stage_path(df.sparkSession, label))
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    # What follows reads the table, so nothing needs the shuffle files of the write again;
+    # otherwise they fill the executors' disks until the driver collects its garbage.
+    with _setting(df.sparkSession, CLEANUP_KEY, "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -91,8 +110,13 @@ class Stages:
         return self
 
     def __exit__(self, *error) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        """Remove the tables written so far."""
         for path in self.paths:
             remove_path(self.spark, path)
+        self.paths = []
 
     def __call__(self, df: DataFrame, label: str) -> DataFrame:
         path = stage_path(self.spark, label)
