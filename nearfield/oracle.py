@@ -159,6 +159,11 @@ def oracle_sql() -> dict[str, str]:
       JOIN s ON s.rn = k.c"""
     return {
         "ingest_objects_text": f1 + "SELECT id, n AS number, x AS v0, y AS v1, z AS v2 FROM o",
+        "ingest_text_keys": f1 + "SELECT 'order ' || id || '/' || grp AS id, n AS number, y AS v1 FROM o",
+        "ingest_map_text": f1 + """SELECT id, n AS number, CASE WHEN id % 3 <> 0 THEN x END AS v0, CASE WHEN id % 3 <> 0 THEN y END AS v1,
+          CASE WHEN id % 3 <> 0 THEN z END AS v2, CASE WHEN id % 2 = 0 THEN z END AS extra FROM o""",
+        "rejected_records": f1 + """SELECT id, CASE WHEN id % 11 = 0 THEN 'key is not a number' WHEN id % 7 = 0 THEN 'bad number'
+          ELSE 'bad vector' END AS error FROM o WHERE id % 11 = 0 OR id % 7 = 0 OR id % 5 = 0""",
         "export_objects_text": f1 + f"""SELECT id, id || chr(10) || 'number,vector' || chr(10) || {record('n')} || chr(10)
           || {record('x')} || ',' || {record('y')} || ',' || {record('z')} AS record FROM o""",
         "scan_objects": ADDRESS + "SELECT id, bucket FROM ad WHERE level = 0 AND bucket = 3",
@@ -171,6 +176,9 @@ def oracle_sql() -> dict[str, str]:
         "generate_random_objects": "WITH h AS (SELECT o_orderkey AS id, md5('0:' || o_orderkey) AS h FROM orders) "
         f"SELECT id, {digit_group(0)} AS number, {digit_group(1)} AS v0, {digit_group(2)} AS v1, {digit_group(3)} AS v2 FROM h",
         "index_roundtrip": pairs(0.1),
+        "index_delete": ADDRESS + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY n, x, y, z ORDER BY id) AS copy FROM ad)
+          SELECT id, level, bucket FROM numbered WHERE NOT (copy = 1 AND (n, x, y, z) IN (SELECT (n, x, y, z) FROM ad ORDER BY id LIMIT 10))""",
+        "index_drop_buckets": ADDRESS + "SELECT id, level, bucket FROM ad WHERE NOT (level = 0 AND bucket BETWEEN 4 AND 5)",
         "bucket_counts": f1 + "SELECT grp, count(*) AS n FROM o GROUP BY grp",
         "dist_number": f"WITH {O}, {Q} SELECT q.id AS qid, o.id, abs(o.n - q.n) AS d_number FROM o CROSS JOIN q",
         "dist_vector_l2": f"WITH {O}, {Q} SELECT q.id AS qid, o.id, round({vec('o', 'q')}, 6) AS d_vector FROM o CROSS JOIN q",

@@ -112,6 +112,18 @@ class MetricIndex:
         index.save()
         return index
 
+    @classmethod
+    def from_tree(cls, objects: DataFrame, path: str, tree: Tree, limits: Limits = Limits()) -> MetricIndex:
+        """An index whose tree is given; full buckets stay as they are until an insert."""
+        spark = objects.sparkSession
+        if latest_version(spark, path) is not None:
+            raise ValueError(f"an index exists at {path}")
+        objects = tree.metric.validated(objects.select("id", *tree.metric.columns))
+        index = cls(spark, path, tree, limits, objects.schema.fields)
+        index._write(tree.assign(objects))
+        index.save()
+        return index
+
     @classmethod
     def open_or_build(cls, objects: DataFrame, path: str, metric: Metric, **options) -> MetricIndex:
         """Load a saved index when there is one, build it otherwise."""
@@ -239,6 +251,16 @@ class MetricIndex:
                 self._write(left)
             return gone.count()
 
+    def drop_buckets(self, level: int, first: int, last: int) -> int:
+        """Remove all objects of a level's buckets ``first`` to ``last``; returns how many
+        went. Nothing is read: the next version leaves the folders out, and they go with
+        the version that still named them. The tree stays, so later objects may come there."""
+        with self._change():
+            going = [(lv, b) for lv, b in self.parts if lv == level and first <= b <= last]
+            count = sum(self.counts_of(key) for key in going)
+            self._leave(going)
+        return count
+
     # -- reading ---------------------------------------------------------
 
     @property

@@ -148,6 +148,38 @@ def export_objects_text(spark, sf_dir):
     )
 
 
+def ingest_text_keys(spark, sf_dir):
+    """Objects whose keys are words, through text and back."""
+    path = stage_path(spark, "text")
+    named = metric_objects(spark, sf_dir).withColumn("id", F.format_string("order %d/%d", "id", "grp"))
+    text_records.write_objects_text(named, path)
+    good, _ = text_records.read_objects_text(spark, path, key="string")
+    return good.select("id", "number", F.get("vector", F.lit(1)).alias("v1"))
+
+
+def ingest_map_text(spark, sf_dir):
+    """Map objects through text and back."""
+    path = stage_path(spark, "text")
+    text_records.write_maps_text(map_objects(spark, sf_dir), path)
+    good, _ = text_records.read_maps_text(spark, path)
+    value = lambda name, i: F.get(F.try_element_at("descriptors", F.lit(name)), F.lit(i))
+    return good.select(
+        "id", value("number", 0).alias("number"), *[value("vector", i).alias(f"v{i}") for i in range(3)], value("extra", 0).alias("extra")
+    )
+
+
+def rejected_records(spark, sf_dir):
+    """Some records get a key that is no number, others a broken number or vector."""
+    path = stage_path(spark, "text")
+    record = text_records.record_text()
+    record = F.when(F.col("id") % 5 == 0, F.concat(record, F.lit(",?"))).otherwise(record)
+    record = F.when(F.col("id") % 7 == 0, F.regexp_replace(record, r"number,vector\n[^\n]*", "number,vector\nn/a")).otherwise(record)
+    record = F.when(F.col("id") % 11 == 0, F.regexp_replace(record, "^#key ", "#key x")).otherwise(record)
+    metric_objects(spark, sf_dir).select(record).write.text(path)
+    _, rejected = text_records.read_objects_text(spark, path)
+    return rejected.select(F.regexp_extract("record", r"^x?(\d+)", 1).cast("long").alias("id"), "error")
+
+
 def scan_objects(spark, sf_dir):
     _, objects = fixed_objects(spark, sf_dir)
     path = stage_path(spark, "buckets")
@@ -206,6 +238,27 @@ def index_roundtrip(spark, sf_dir):
     return rounded(search.range_query_indexed(loaded.tree, loaded, queries), "dist")
 
 
+def _fixed_index(spark, sf_dir):
+    """A stored index over the small hand-made tree."""
+    objects = metric_objects(spark, sf_dir)
+    return MetricIndex.from_tree(objects, stage_path(spark, "index"), fixed_tree(objects))
+
+
+def index_delete(spark, sf_dir):
+    """From a stored index: one object with the data of each of ten goes, read again from its folder."""
+    index = _fixed_index(spark, sf_dir)
+    victims = batch(index.objects(), 0.0).select("number", "vector")
+    index.delete(victims, by=("number", "vector"), limit=1)
+    return MetricIndex.load(spark, index.path, METRIC).objects().select("id", "level", "bucket")
+
+
+def index_drop_buckets(spark, sf_dir):
+    """A range of buckets of a stored index goes as one change."""
+    index = _fixed_index(spark, sf_dir)
+    index.drop_buckets(0, 4, 5)
+    return MetricIndex.load(spark, index.path, METRIC).objects().select("id", "level", "bucket")
+
+
 def bucket_counts(spark, sf_dir):
     return buckets.bucket_counts(metric_objects(spark, sf_dir), ["grp"])
 
@@ -574,6 +627,9 @@ ASKED = (
 def registered() -> dict[str, Query]:
     return {
         "ingest_objects_text": ingest_objects_text,
+        "ingest_text_keys": ingest_text_keys,
+        "ingest_map_text": ingest_map_text,
+        "rejected_records": rejected_records,
         "export_objects_text": export_objects_text,
         "scan_objects": scan_objects,
         "append_objects": append_objects,
@@ -584,6 +640,8 @@ def registered() -> dict[str, Query]:
         "lookup_key_range": lookup_key_range,
         "generate_random_objects": generate_random_objects,
         "index_roundtrip": index_roundtrip,
+        "index_delete": index_delete,
+        "index_drop_buckets": index_drop_buckets,
         "bucket_counts": bucket_counts,
         "dist_number": dist_number,
         "dist_vector_l2": dist_vector_l2,

@@ -316,3 +316,18 @@ def test_limits_follow_the_number_of_objects():
     huge = Limits(capacity=1_000_000).sized(10**12)
     assert huge.max_levels == huge.max_depth == 22
     assert Limits(capacity=100, max_levels=3).sized(10**6).max_levels == 3
+
+
+def test_a_dropped_range_goes_as_one_change(spark, objects, monkeypatch):
+    index = MetricIndex.from_tree(objects, stage_path(spark, "index"), w.fixed_tree(objects))
+    before, version = index.counts, index.version
+    monkeypatch.setattr(MetricIndex, "save", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        index.drop_buckets(0, 4, 5)
+    monkeypatch.undo()
+    assert index.counts == before and index.objects().count() == sum(before.values())
+    going = sum(n for (level, bucket), n in before.items() if level == 0 and bucket in (4, 5))
+    assert going and index.drop_buckets(0, 4, 5) == going and index.drop_buckets(0, 4, 5) == 0
+    assert index.version > version and set(index.counts) == {key for key in before if key not in {(0, 4), (0, 5)}}
+    again = MetricIndex.load(spark, index.path, w.METRIC)
+    assert again.objects().count() == sum(before.values()) - going

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from nearfield.session import stage_path
@@ -31,6 +32,37 @@ def test_text_round_trip(spark):
     assert sorted(map(tuple, good.collect())) == sorted(map(tuple, df.collect())) and bad.count() == 0
 
 
+def test_keys_of_any_text(spark, tmp_path):
+    (tmp_path / "objects.txt").write_text("#key a b/1\nnumber,\n1\n#key  \nnumber,\n2\n#key 3\nnumber,\nx\n")
+    good, bad = text_records.read_objects_text(spark, str(tmp_path), key="string")
+    assert [tuple(r) for r in good.collect()] == [("a b/1", 1.0, None)]
+    assert sorted(r["error"] for r in bad.collect()) == ["bad number", "no key"]
+
+
+def test_map_records(spark, tmp_path):
+    text = (
+        "#key 1\na, b\n1,2\n# a comment\n3\n#key 2\n,\n#key 3\na,a\n1\n2\n#key 4\na,b\n1\n#key 5\na\n1,zz\n#key 6\n#key y\na\n1\n"
+    )
+    (tmp_path / "maps.txt").write_text(text)
+    good, bad = text_records.read_maps_text(spark, str(tmp_path))
+    assert {r["id"]: r["descriptors"] for r in good.collect()} == {1: {"a": [1.0, 2.0], "b": [3.0]}, 2: {}}
+    assert sorted(r["error"] for r in bad.collect()) == [
+        "bad value", "key is not a number", "missing descriptor", "no descriptor line", "repeated name",
+    ]
+
+
+def test_map_text_round_trip(spark):
+    df = spark.createDataFrame([(1, {"z": [1e-7, -2.0], "a b": [3.0]}), (2, {}), (3, {"a": [0.1]})], "id long, descriptors map<string, array<double>>")
+    path = stage_path(spark, "text")
+    text_records.write_maps_text(df, path)
+    good, bad = text_records.read_maps_text(spark, path)
+    assert {r["id"]: r["descriptors"] for r in good.collect()} == {r["id"]: r["descriptors"] for r in df.collect()} and bad.count() == 0
+    for broken in ({"a,b": [1.0]}, {"#a": [1.0]}, {"a": []}):
+        lost = spark.createDataFrame([(1, broken)], "id long, descriptors map<string, array<double>>")
+        with pytest.raises(Exception, match="cannot carry"):
+            lost.select(text_records.map_record_text()).collect()
+
+
 def test_generator_is_repeatable_and_uniform(spark):
     a = generator.random_objects(spark, 10, 2010, seed=4)
     assert a.orderBy("id").collect() == generator.random_objects(spark, 10, 2010, seed=4).orderBy("id").collect()
