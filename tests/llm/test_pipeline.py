@@ -29,7 +29,7 @@ def test_registered():
 
 def test_queries_equal_their_sql(spark):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in llm.oracle_sql().items():
         df = llm.registered()[name](spark, SF)
