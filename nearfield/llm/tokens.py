@@ -46,15 +46,27 @@ def byte_letters() -> dict[int, str]:
 def is_plain(piece: str) -> bool:
     """A single lower-case word of Latin letters, which normalizing and cutting leave as
     it is, so that the model alone gives its ids."""
+    if piece.isascii():
+        return piece.isalpha() and piece.islower()
     return piece.isalpha() and max(piece) < "\u0180" and piece == piece.lower()
 
 
 def stands_apart(word: str) -> bool:
-    """Only letters, also as the tokenizer normalizes them, so that a closing stop or comma
-    is no part of the word's last token. (A capital dotted I ends in a mark, which is not.)"""
+    """Only letters, also as the tokenizer normalizes them, so that closing marks are no
+    part of the word's last token. (A capital dotted I ends in a mark, which is not.)"""
     return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
 
 
+#: ASCII marks that make one run. An apostrophe may begin an ending such as 's.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
+
+def ending(piece: str) -> int:
+    """Where the closing marks of a word begin; 0 if the piece is not a word and its marks."""
+    word = piece.rstrip(MARKS)
+    return len(word) if len(word) < len(piece) and stands_apart(word) else 0
+
+
 class _Pieces(dict):
     """Numbers of pieces; new ones wait in ``new`` until they are encoded."""
 
@@ -111,44 +123,50 @@ class ChunkEncoder:
         self.used += len(ids)
 
     def _learn(self) -> None:
-        """Encode the waiting pieces. A word with a closing stop or comma is its word and
-        that mark, which are separate in every text."""
+        """Encode the waiting pieces. A word with closing marks is its word and those marks,
+        which are separate in every text. Ids are laid end to end at once: lists of tokens
+        kept by piece cost more than the model."""
         encode = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
-        memo, ended, at = self.memo, [], 0
+        tokenize, memo, at = self.model.tokenize, self.memo, 0
+        ended: list[int] = []
         while at < len(memo.new):
-            names, numbers, plain, plain_numbers = [], [], [], []
-            while at < len(memo.new) and len(names) + len(plain) < ENCODE_AT_ONCE:
+            names, numbers, plain_numbers, count, flat, offsets = [], [], [], [], [], []
+            while at < len(memo.new) and len(names) + len(plain_numbers) < ENCODE_AT_ONCE:
                 piece = memo.new[at]
                 at += 1
-                if piece[-1:] in (".", ",") and stands_apart(piece[:-1]):
-                    ended.append((memo[piece], memo[piece[:-1]], memo[piece[-1]], len(piece)))
-                elif is_plain(piece) and (piece.isascii() or not self.spans):
-                    plain.append(self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)))
+                ascii_only = piece.isascii()
+                if is_plain(piece) and (ascii_only or not self.spans):
+                    tokens = tokenize(piece if ascii_only else piece.encode().decode("latin-1").translate(self.letters))
                     plain_numbers.append(memo[piece])
+                    count.append(len(tokens))
+                    flat += [t.id for t in tokens]
+                    if self.spans:
+                        offsets += [t.offsets for t in tokens]
+                elif size := ending(piece):
+                    ended += memo[piece], memo[piece[:size]], memo[piece[size:]], size
                 else:
                     names.append(piece)
                     numbers.append(memo[piece])
-            found = encode(names, add_special_tokens=False) if names else []
-            ids = [[t.id for t in tokens] for tokens in plain] + [x.ids for x in found]
-            count = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(count.sum()))
-            offsets = None
-            if self.spans:
-                offsets = [t.offsets for tokens in plain for t in tokens] + [y for x in found for y in x.offsets]
-                offsets = np.array(offsets, np.int32).reshape(-1, 2)
-            self._store(np.array(plain_numbers + numbers, np.int64), count, flat, offsets)
+            for found in encode(names, add_special_tokens=False) if names else []:
+                ids = found.ids
+                count.append(len(ids))
+                flat += ids
+                if self.spans:
+                    offsets += found.offsets
+            spans = np.array(offsets, np.int32).reshape(-1, 2) if self.spans else None
+            self._store(np.array(plain_numbers + numbers, np.int64), np.array(count, np.int64), np.array(flat, np.uint32), spans)
         memo.new = []
         if ended:
-            whole, word, mark, size = np.array(ended).T
+            whole, word, mark, size = np.array(ended, np.int64).reshape(-1, 4).T
             pair = np.stack([word, mark], 1).ravel()
             count = self.count[pair]
             ends = np.cumsum(count)
             at = np.arange(int(ends[-1])) + np.repeat(self.first[pair] - (ends - count), count)
-            offsets = None
+            spans = None
             if self.spans:
-                shift = np.stack([np.zeros_like(size), size - 1], 1).ravel()
-                offsets = self.pool_span[at] + np.repeat(shift, count)[:, None]
-            self._store(whole, count.reshape(-1, 2).sum(1), self.pool[at], offsets)
+                shift = np.stack([np.zeros_like(size), size], 1).ravel()
+                spans = self.pool_span[at] + np.repeat(shift, count)[:, None]
+            self._store(whole, count.reshape(-1, 2).sum(1), self.pool[at], spans)
 
     def _looked_up(self, column: pa.Array) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """Texts, the piece numbers of all of them, and how many pieces each has."""

@@ -36,6 +36,37 @@ def test_any_letters_before_a_stop_equal_whole_encoding():
         assert ids.tolist() == want.ids and list(map(tuple, offsets.tolist())) == want.offsets, text
 
 
+def test_words_with_any_closing_marks_equal_whole_encoding():
+    rng = random.Random(12)
+    letters, marks = "abéİßςΣक\u0307", [".", ",", "!!", "%%%", "&", "<|", "|>", "=>", "'", ".'", "'s", "…", "\u0338"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 5))) + "".join(rng.choice(marks) for _ in range(rng.randrange(4))) for _ in range(6000)]
+    texts = [" ".join(words[i : i + 6]) for i in range(0, len(words), 6)]
+    plain, known, spans = Tokenizer.from_file(PATH), ChunkEncoder(PATH), ChunkEncoder(PATH, True)
+    column = pa.array(texts)
+    for text, ids, (_, offsets) in zip(texts, known.ids(column), spans.offsets(column)):
+        want = plain.encode(text, add_special_tokens=False)
+        assert ids.tolist() == want.ids and list(map(tuple, offsets.tolist())) == want.offsets, text
+
+
+def test_marks_after_a_word_need_no_whole_encoding():
+    """Words and their closing marks are learned apart: each word once, each run of marks once."""
+
+    class Counting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.seen = tokenizer, []
+
+        def encode_batch_fast(self, names, **options):
+            self.seen += names
+            return self.tokenizer.encode_batch_fast(names, **options)
+
+    known = ChunkEncoder(PATH)
+    known.tokenizer = counting = Counting(known.tokenizer)
+    texts = [" ".join(f"{word}{mark}" for word in ("one", "deux", "étré", "fünf") for mark in ("!!", "%%%", ".", ",###", ""))]
+    ids = next(known.ids(pa.array(texts)))
+    assert ids.tolist() == counting.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert sorted(counting.seen) == ["!!", "%%%", ",###", "."]
+
+
 def check(rows, texts, capacity):
     plain = Tokenizer.from_file(PATH)
     want = []
