@@ -5,8 +5,9 @@ Each such string is filed under its *seed*: the 24 bytes inside it whose hash is
 leftmost of equal ones). Equal strings have equal seeds, so only strings under the same
 seed are ever compared; neighbouring strings with one seed travel as one piece of text.
 
-Pieces first go by hash alone, and equal ones fold into the one of the smallest id: a later
-document's copy of a piece is repeated for certain. Only where different pieces share a
+Pieces first go by hash alone, packed by parcel and range of seeds (some 15 bytes a piece),
+and equal ones fold into the one of the smallest id: a later document's copy of a piece is
+repeated for certain. Only where different pieces share a
 seed does text travel, one copy of each, dealt out by seed. There they come in batches
 ordered by seed and document. A batch gets a suffix array (its strings sorted to ``length``
 bytes), is merge-scanned against the levels that earlier batches of the seed left, and
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfield.llm.words import MIX, MIX_2, MIX_3, finish
@@ -38,7 +39,10 @@ SEED_BYTES = 24
 #: Bytes of text whose seeds are found at a time (2 ** 24 at most), and pieces looked at
 #: together for copies before they are sent.
 PIECE_BYTES = 1 << 20
-PARCEL_PIECES = 400_000
+PARCEL_PIECES = 1_000_000
+#: Bytes of texts whose pieces make a shard: about two million pieces.
+SHARD_BYTES = 28 << 20
+MOST_SHARDS = (1 << 16) - 1
 #: Bytes of texts returned at a time.
 KEPT_BYTES = 8 << 20
 BATCH_ROWS = 10_000
@@ -174,31 +178,76 @@ def starts_and_ends(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, start + (place & ((1 << _SIZE_BITS) - 1))
 
 
-def folded_pieces(documents: DataFrame, length: int) -> DataFrame:
-    """route, whole, doc, place: the pieces of all documents by the hash of their seed and of
-    all their bytes. A parcel sends of equal pieces those of the smallest id; the others
-    repeat it for certain, and are rows with ``whole`` -1 that are routed anywhere."""
+def narrow(x: np.ndarray) -> bytes:
+    """Numbers in as many bytes each as the largest needs (the first byte), as unsigned."""
+    x = np.ascontiguousarray(x).astype("<u8")
+    size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + x.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    body = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    out = np.zeros((len(body), 8), np.uint8)
+    out[:, : data[0]] = body
+    return out.view("<u8").ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted numbers as the first and the differences; a running total undoes it."""
+    return np.diff(x.astype("<u8"), prepend=np.uint64(0))
+
+
+#: A row holds the pieces that one parcel has for one shard. ``docs`` and ``tags`` list their
+#: texts, ``who`` points into the lists; rows of certain copies have no ``seeds`` and ``whole``.
+PACKED = "shard int, docs binary, tags binary, who binary, start binary, size binary, seeds binary, whole binary"
+
+
+def _parcel(docs: np.ndarray, tags: np.ndarray, route: np.ndarray, whole: np.ndarray, who: np.ndarray, start: np.ndarray, size: np.ndarray, shards: int) -> pa.RecordBatch:
+    """The pieces of some texts by shard. Of equal pieces those of the smallest id are sent
+    with their hashes; the others repeat it for certain."""
+    order = np.lexsort((tags, docs))
+    new = _runs(docs[order], tags[order])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    docs, tags, who = docs[order][new], tags[order][new], number[who]
+    order = np.lexsort((whole, route))
+    route, whole, who, start, size = (c[order] for c in (route, whole, who, start, size))
+    doc, first = docs[who], np.flatnonzero(_runs(route, whole))
+    sent = doc == np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
+    rows: list[tuple] = []
+
+    def add(shard: np.ndarray, *columns: np.ndarray) -> None:
+        """Rows of pieces that lie in the order of their shard."""
+        cuts = np.flatnonzero(_runs(shard))
+        for a, z in zip(cuts, np.append(cuts[1:], len(shard))):
+            who, start, size, *hashes = (c[a:z] for c in columns)
+            used = np.zeros(len(docs), bool)
+            used[who] = True
+            names = narrow(_steps(docs[used])), narrow(tags[used]), narrow((np.cumsum(used) - 1)[who])
+            keys = (narrow(_steps(hashes[0])), narrow(hashes[1])) if hashes else (None, None)
+            rows.append((int(shard[a]), *names, narrow(start), narrow(size), *keys))
+
+    add((route[sent] * np.uint64(shards)) >> np.uint64(48), who[sent], start[sent], size[sent], route[sent], whole[sent])
+    anywhere = finish(doc[~sent].astype(np.uint64)) % np.uint64(shards)
+    order = np.argsort(anywhere, kind="stable")
+    add(anywhere[order], *(c[~sent][order] for c in (who, start, size)))
+    kinds = (pa.int32(), *[pa.binary()] * 7)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[f.split()[0] for f in PACKED.split(", ")])
+
+
+def folded_pieces(documents: DataFrame, length: int, shards: int) -> DataFrame:
+    """The pieces of all documents with the hashes of their seed and of all their bytes,
+    packed by shard: columns in as few bytes as they need, seeds sorted and as steps. A
+    shard is a range of seed hashes."""
+    most = PARCEL_PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(length)
         held: list[tuple[np.ndarray, ...]] = []
-        count = 0
-
-        def parcel() -> pa.RecordBatch:
-            route, whole, doc, place = (np.concatenate(c) for c in zip(*held))
-            order = np.lexsort((place, doc, whole, route))
-            route, whole, doc, place = (c[order] for c in (route, whole, doc, place))
-            new = _runs(route, whole)
-            sent = doc == doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            anywhere = finish(doc[~sent].astype(np.uint64) * MIX + place[~sent].astype(np.uint64) * MIX_2) & _HASH
-            route = np.concatenate([route[sent], anywhere])
-            whole = np.concatenate([whole[sent].astype(np.int64), np.full(len(anywhere), -1)])
-            columns = (route.astype(np.int64), whole, *(np.concatenate([c[sent], c[~sent]]) for c in (doc, place)))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["route", "whole", "doc", "place"])
-
+        count = known = 0
         for batch in batches:
             ids, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "th"))
-            tag = text_tag(th)
+            tag = th & ((1 << 24) - 1)
             for data, row, offset, ends in pieces.of(_texts(batch)):
                 start, n, seed = seeds_of(data, ends, length)
                 if not len(start):
@@ -206,30 +255,66 @@ def folded_pieces(documents: DataFrame, length: int) -> DataFrame:
                 piece = np.searchsorted(ends, start, "right")
                 whole = pieces.hashes(data)(start, n + length - 1)
                 at = start - np.concatenate([[0], ends[:-1]])[piece] + offset[piece]
-                held.append((seed & _HASH, whole & _HASH, ids[row[piece]], tag[row[piece]] | at << _SIZE_BITS | n + length - 1))
+                held.append((ids[row], tag[row], seed & _HASH, whole & _HASH, known + piece, at, n + length - 1))
                 count += len(seed)
-                if count >= PARCEL_PIECES:
-                    yield parcel()
-                    held, count = [], 0
+                known += len(row)
+                if count >= most:
+                    yield _parcel(*(np.concatenate(c) for c in zip(*held)), shards)
+                    held, count, known = [], 0, 0
         if held:
-            yield parcel()
-
-    return _keyed(documents).mapInArrow(run, "route long, whole long, doc long, place long")
+            yield _parcel(*(np.concatenate(c) for c in zip(*held)), shards)
+
+    return _keyed(documents).mapInArrow(run, PACKED)
+
+
+def _judge(rows: pa.Table, hot: int) -> pa.Table:
+    """doc, place and route of a shard's pieces: without route those that an earlier
+    document has for certain; with it the first of their kind where others share the seed."""
+    sure: list[tuple] = []
+    pieces: list[tuple] = []
+    for row in rows.to_pylist():
+        docs, tags, who = np.cumsum(wide(row["docs"])).view(np.int64), wide(row["tags"]), wide(row["who"]).astype(np.int64)
+        place = tags[who] << np.uint64(_TEXT_SHIFT) | wide(row["start"]) << np.uint64(_SIZE_BITS) | wide(row["size"])
+        found = docs[who], place.view(np.int64)
+        if row["seeds"] is None:
+            sure.append(found)
+        else:
+            pieces.append((*found, np.cumsum(wide(row["seeds"])), wide(row["whole"])))
+    tables = []
+    if sure:
+        doc, place = (np.concatenate(c) for c in zip(*sure))
+        tables.append((doc, place, pa.nulls(len(doc), pa.int64())))
+    if pieces:
+        doc, place, route, whole = (np.concatenate(c) for c in zip(*pieces))
+        order = np.lexsort((whole, route))
+        doc, place, route, whole = (c[order] for c in (doc, place, route, whole))
+        first = np.flatnonzero(_runs(route, whole))
+        copy = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
+        first = np.flatnonzero(_runs(route))
+        n = np.diff(np.append(first, len(doc)))
+        differ = (whole[first] < whole[first + n - 1]) & (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first))
+        asked = np.repeat(differ, n) & ~copy
+        where = route.astype(np.int64) + np.repeat(np.where(n >= hot, HOT, 0), n)
+        tables += [(doc[copy], place[copy], pa.nulls(int(copy.sum()), pa.int64())), (doc[asked], place[asked], where[asked])]
+    return pa.concat_tables(pa.table([pa.array(c, pa.int64()) for c in t], names=["doc", "place", "route"]) for t in tables)
+
+
+def _shards(documents: DataFrame) -> int:
+    """As many shards as shuffle partitions, more where the texts ask for it."""
+    size = _keyed(documents).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_SHARDS, max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES)))
 
 
 def judged_pieces(documents: DataFrame, length: int) -> DataFrame:
     """doc, copied (places that an earlier document has for certain) and asked (place and
     route of pieces that are the first of their kind, where others share the seed; bit
     ``HOT`` of the route is set where very many do)."""
-    equal, same = Window.partitionBy("route", "whole"), Window.partitionBy("route")
-    rows = folded_pieces(documents, length).repartition("route").withColumn("least", F.min("doc").over(equal))
-    rows = rows.select(
-        "*", F.count("*").over(same).alias("pieces"),
-        ((F.min("whole").over(same) < F.max("whole").over(same)) & (F.min("doc").over(same) < F.max("doc").over(same))).alias("differ"),
-    )
-    copy = (F.col("whole") < 0) | (F.col("doc") > F.col("least"))
-    route = F.col("route") + F.when(F.col("pieces") >= HOT_PIECES, F.lit(HOT)).otherwise(F.lit(0))
-    rows = rows.where(copy | F.col("differ")).select("doc", "place", F.when(~copy, route).alias("route"))
+    hot = HOT_PIECES
+
+    def judge(rows: pa.Table) -> pa.Table:
+        return _judge(rows, hot)
+
+    rows = folded_pieces(documents, length, _shards(documents)).groupBy("shard").applyInArrow(judge, "doc long, place long, route long")
     asked = F.collect_list(F.when(F.col("route").isNotNull(), F.struct("place", "route")))
     return rows.groupBy("doc").agg(F.collect_list(F.when(F.col("route").isNull(), F.col("place"))).alias("copied"), asked.alias("asked"))
 
@@ -293,16 +378,6 @@ def asked_texts(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc", "th", "text", "place", "route").mapInArrow(run, "route long, doc long, place long, s binary")
 
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before it, in sorted columns."""
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = False
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-    return new
-
-
 class SuffixFamily:
     """Suffix arrays of growing size over strings of one length, each string with the
     smallest id that has it."""
@@ -404,9 +479,9 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     if not SEED_BYTES + 8 <= length <= 255:
         raise ValueError(f"length must be {SEED_BYTES + 8} to 255 bytes")
     judged = stage(judged_pieces(documents, length), "judged-pieces")
+    # The list grows with the texts, so it is never broadcast: one plan at every size.
     asked = judged.where(F.size("asked") > 0).select("doc", "asked.place", "asked.route")
-    small = F.broadcast(asked) if fits_broadcast(asked) else asked
-    texts = asked_texts(_keyed(documents).join(small, "doc"), length)
+    texts = asked_texts(_keyed(documents).join(asked.hint("merge"), "doc"), length)
     dealt = texts.repartition("route").sortWithinPartitions("route", "doc", "place")
     found = stage(repeated_pieces(dealt, length).groupBy("doc").agg(F.collect_list("place").alias("found")), "found-pieces")
     rows = judged.select("doc", "copied").join(found, "doc", "full")

@@ -75,6 +75,30 @@ def test_small_pieces_parcels_and_hot_seeds(make_documents, monkeypatch, parcel)
     assert found(df, 50) == plain(rows, 50)
 
 
+def test_pieces_travel_in_few_bytes(make_documents):
+    """Columns of a shard's pieces are as narrow as they can be: rows of four longs took 32 bytes a piece."""
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(4000))) for i in range(150)]
+    packed = suffixes.folded_pieces(make_documents(rows).repartition(2), 50, 3).collect()
+    pieces = sum(len(suffixes.wide(r["size"])) for r in packed)
+    assert pieces > 30_000 and {r["shard"] for r in packed} == {0, 1, 2}
+    assert sum(len(c) for r in packed for c in r if isinstance(c, (bytes, bytearray))) < 18 * pieces
+
+
+def test_narrow_columns_round_trip():
+    for values in ([], [0], [255, 256], [2**63 - 1, 5], [-1, -(2**63), 7]):
+        x = np.array(values, np.int64)
+        assert suffixes.wide(suffixes.narrow(x)).view(np.int64).tolist() == values
+        x.sort()
+        assert np.cumsum(suffixes.wide(suffixes.narrow(suffixes._steps(x)))).view(np.int64).tolist() == x.tolist()
+
+
+def test_ids_of_any_size(make_documents):
+    text = "".join(random.Random(8).choice("abcdefgh ") for _ in range(300))
+    rows = [(2**62, text), (-(2**63), "x" + text[:200]), (-1, text[100:]), (0, text + "y"), (2**63 - 1, text[50:90])]
+    assert found(make_documents(rows).repartition(3), 50) == plain(rows, 50)
+
+
 def test_families_over_many_batches(spark, make_documents, monkeypatch):
     """A seed whose pieces come in many batches is looked up in the merged levels."""
     rng = random.Random(9)
