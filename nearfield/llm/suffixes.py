@@ -43,6 +43,9 @@ PARCEL_PIECES = 1_000_000
 #: Bytes of texts whose pieces make a shard: about two million pieces.
 SHARD_BYTES = 28 << 20
 MOST_SHARDS = (1 << 16) - 1
+#: Pieces of a shard that are unpacked and judged at a time; one with more (seeds of which
+#: very many differ) stays packed and is judged by parts.
+JUDGED_PIECES = 4_000_000
 #: Bytes of texts returned at a time.
 KEPT_BYTES = 8 << 20
 BATCH_ROWS = 10_000
@@ -267,36 +270,62 @@ def folded_pieces(documents: DataFrame, length: int, shards: int) -> DataFrame:
     return _keyed(documents).mapInArrow(run, PACKED)
 
 
-def _judge(rows: pa.Table, hot: int) -> pa.Table:
+def _places(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """doc and place of a row's pieces."""
+    docs, tags, who = np.cumsum(wide(row["docs"])).view(np.int64), wide(row["tags"]), wide(row["who"]).astype(np.int64)
+    place = tags[who] << np.uint64(_TEXT_SHIFT) | wide(row["start"]) << np.uint64(_SIZE_BITS) | wide(row["size"])
+    return docs[who], place.view(np.int64)
+
+
+def _count(rows: list[dict]) -> int:
+    return sum((len(r["size"]) - 1) // r["size"][0] for r in rows)
+
+
+def _slices(rows: list[dict], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """route, whole, doc and place of a shard's pieces in the order of route and whole, about
+    ``most`` at a time; equal pieces stay together."""
+    parts = max(1, -(-_count(rows) // most))
+    for part in range(parts if rows else 0):
+        held = []
+        for row in rows:
+            columns = (np.cumsum(wide(row["seeds"])), wide(row["whole"]), *_places(row))
+            mine = columns[1] % np.uint64(parts) == part
+            held.append(tuple(c[mine] for c in columns) if parts > 1 else columns)
+        route, whole, doc, place = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((whole, route))
+        if len(order):
+            yield route[order], whole[order], doc[order], place[order]
+
+
+def _judged(rows: list[dict], hot: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     """doc, place and route of a shard's pieces: without route those that an earlier
-    document has for certain; with it the first of their kind where others share the seed."""
-    sure: list[tuple] = []
-    pieces: list[tuple] = []
-    for row in rows.to_pylist():
-        docs, tags, who = np.cumsum(wide(row["docs"])).view(np.int64), wide(row["tags"]), wide(row["who"]).astype(np.int64)
-        place = tags[who] << np.uint64(_TEXT_SHIFT) | wide(row["start"]) << np.uint64(_SIZE_BITS) | wide(row["size"])
-        found = docs[who], place.view(np.int64)
+    document has for certain, with it the first of their kind where others share the seed."""
+    for row in rows:
         if row["seeds"] is None:
-            sure.append(found)
-        else:
-            pieces.append((*found, np.cumsum(wide(row["seeds"])), wide(row["whole"])))
-    tables = []
-    if sure:
-        doc, place = (np.concatenate(c) for c in zip(*sure))
-        tables.append((doc, place, pa.nulls(len(doc), pa.int64())))
-    if pieces:
-        doc, place, route, whole = (np.concatenate(c) for c in zip(*pieces))
-        order = np.lexsort((whole, route))
-        doc, place, route, whole = (c[order] for c in (doc, place, route, whole))
-        first = np.flatnonzero(_runs(route, whole))
-        copy = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
+            yield *_places(row), None
+    rows = [row for row in rows if row["seeds"] is not None]
+    only = list(_slices(rows, most)) if _count(rows) <= most else None
+    seen = []
+    for route, whole, doc, _ in only or _slices(rows, most):
         first = np.flatnonzero(_runs(route))
         n = np.diff(np.append(first, len(doc)))
-        differ = (whole[first] < whole[first + n - 1]) & (np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first))
-        asked = np.repeat(differ, n) & ~copy
-        where = route.astype(np.int64) + np.repeat(np.where(n >= hot, HOT, 0), n)
-        tables += [(doc[copy], place[copy], pa.nulls(int(copy.sum()), pa.int64())), (doc[asked], place[asked], where[asked])]
-    return pa.concat_tables(pa.table([pa.array(c, pa.int64()) for c in t], names=["doc", "place", "route"]) for t in tables)
+        seen.append((route[first], n, whole[first], whole[first + n - 1], np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)))
+    if not seen:
+        return
+    routes, *columns = (np.concatenate(c) for c in zip(*seen))
+    order = np.argsort(routes, kind="stable")
+    first = np.flatnonzero(_runs(routes[order]))
+    routes = routes[order][first]
+    with_all = (np.add, np.minimum, np.maximum, np.minimum, np.maximum)
+    n, least, most_whole, first_doc, last_doc = (f.reduceat(c[order], first) for f, c in zip(with_all, columns))
+    differ = (least < most_whole) & (first_doc < last_doc)
+    for route, whole, doc, place in only or _slices(rows, most):
+        first = np.flatnonzero(_runs(route, whole))
+        copy = doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(doc))))
+        yield doc[copy], place[copy], None
+        which = np.searchsorted(routes, route)
+        asked = differ[which] & ~copy
+        yield doc[asked], place[asked], route[asked].astype(np.int64) + np.where(n[which[asked]] >= hot, HOT, 0)
 
 
 def _shards(documents: DataFrame) -> int:
@@ -309,10 +338,13 @@ def judged_pieces(documents: DataFrame, length: int) -> DataFrame:
     """doc, copied (places that an earlier document has for certain) and asked (place and
     route of pieces that are the first of their kind, where others share the seed; bit
     ``HOT`` of the route is set where very many do)."""
-    hot = HOT_PIECES
+    hot, most = HOT_PIECES, JUDGED_PIECES
 
-    def judge(rows: pa.Table) -> pa.Table:
-        return _judge(rows, hot)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        for doc, place, route in _judged(rows, hot, most):
+            routes = pa.nulls(len(doc), pa.int64()) if route is None else pa.array(route, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), routes], names=["doc", "place", "route"])
 
     rows = folded_pieces(documents, length, _shards(documents)).groupBy("shard").applyInArrow(judge, "doc long, place long, route long")
     asked = F.collect_list(F.when(F.col("route").isNotNull(), F.struct("place", "route")))

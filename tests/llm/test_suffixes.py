@@ -85,6 +85,21 @@ def test_pieces_travel_in_few_bytes(make_documents):
     assert sum(len(c) for r in packed for c in r if isinstance(c, (bytes, bytearray))) < 18 * pieces
 
 
+def test_shards_judged_by_parts(make_documents, monkeypatch):
+    """A shard that holds more than may be unpacked at once gives the same."""
+    rng = random.Random(17)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    rows = [(i, t + common + str(i % 9)) for i, t in passages(rng, 8, 80)]
+    whole = found(make_documents(rows).repartition(3), 50)
+    monkeypatch.setattr(suffixes, "JUDGED_PIECES", 40)
+    assert found(make_documents(rows).repartition(3), 50) == whole == plain(rows, 50)
+    packed = [r.asDict() for r in suffixes.folded_pieces(make_documents(rows), 50, 1).where("seeds is not null").collect()]
+    parts = list(suffixes._slices(packed, 40))
+    assert len(parts) > 5 and sum(len(p[0]) for p in parts) == sum(len(suffixes.wide(r["size"])) for r in packed)
+    alike = [set(zip(p[0].tolist(), p[1].tolist())) for p in parts]
+    assert len(set().union(*alike)) == sum(map(len, alike))
+
+
 def test_narrow_columns_round_trip():
     for values in ([], [0], [255, 256], [2**63 - 1, 5], [-1, -(2**63), 7]):
         x = np.array(values, np.int64)
