@@ -1,5 +1,8 @@
 """The search queries are also asked for every object whose id 50 divides."""
 
+import math
+import random
+
 import pytest
 
 from nearfield import workload
@@ -31,3 +34,20 @@ def test_many_queries_leave_the_literal_path(spark, objects, brute, monkeypatch)
         if row["id"] % 10 == 0:
             best = sorted(zip(brute.distances(row).round(9), brute.ids))[: workload.K]
             assert [got[row["id"]][k + 1] for k in range(workload.K)] == [i for _, i in best]
+
+
+@pytest.mark.parametrize("n", [200, 1200])
+def test_the_radius_of_a_batch_does_not_fall_with_the_table(spark, tmp_path, n):
+    draw = random.Random(n)
+    customers = [(i, draw.uniform(-1000, 10000), draw.randrange(25)) for i in range(30)]
+    orders = [(i, draw.randrange(30), draw.uniform(0, 500000), f"1996-01-{1 + i % 28:02d}") for i in range(n)]
+    spark.createDataFrame(customers, "c_custkey long, c_acctbal double, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    made = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double, day string")
+    made.selectExpr("* except (day)", "cast(day as timestamp) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+
+    def near(a, b):
+        sides = [((customers[o[1]][1] + 1000) / 11000, (1 + o[0] % 28) / 366, customers[o[1]][2] / 25) for o in (a, b)]
+        return abs(a[2] - b[2]) / 500000 + math.dist(*sides)
+
+    got = {(r["qid"], r["id"]) for r in workload.registered()["range_query_batch_many"](spark, str(tmp_path)).collect()}
+    assert got == {(q[0], o[0]) for q in orders[::50] for o in orders if round(near(q, o), 9) <= 0.2}
