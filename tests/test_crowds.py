@@ -74,6 +74,29 @@ def test_crowd_reads_the_buckets_few_queries_read(spark, rows, monkeypatch):
         assert crowd[name] == listed(call()), name
 
 
+def test_a_crowd_does_not_pass_through_the_driver(spark, rows, monkeypatch):
+    objects = spark.createDataFrame(rows, SCHEMA)
+    vector = "array(pmod(id, 991) / 991D, pmod(id, 983) / 983D, 0.5D)"
+    queries = spark.range(50_000).selectExpr("id as qid", "pmod(id, 997) / 997D as number", f"{vector} as vector", "0.01D as radius")
+
+    def joins():
+        found = similarity.range_query_batch(objects, queries, METRIC)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        return found, [line for line in plan.splitlines() if "Join" in line and "_cell" in line and "Inner" in line]
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, planned = joins()
+        assert planned and not any("BroadcastHashJoin" in line for line in planned)
+        monkeypatch.setattr(similarity, "CROWD_BYTES", similarity.BROADCAST_BYTES)
+        other, planned = joins()
+        assert any("BroadcastHashJoin" in line for line in planned)
+        assert listed(found) == listed(other)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_long_vectors_in_blocks(spark):
     draw = random.Random(5)
     made = [(i, [draw.gauss(0, 1) for _ in range(24)]) for i in range(1400)]
